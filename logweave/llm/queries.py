@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from logweave.llm import bpe, exact_dedup, token_counts
+from logweave.llm import bpe, decontaminate, exact_dedup, token_counts
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op5_exact_dedup": exact_dedup.op5_exact_dedup,
         "op6_bpe": bpe.op6_bpe,
         "op7_token_counts": token_counts.op7_token_counts,
+        "op9_decontaminate": decontaminate.op9_decontaminate,
     }
 
 
