@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from logweave.llm import bpe, decontaminate, exact_dedup, token_counts
+from logweave.llm import bpe, decontaminate, exact_dedup, simhash, token_counts
 
 
 def queries() -> dict:
     return {
+        "op3_simhash": simhash.op3_simhash,
         "op5_exact_dedup": exact_dedup.op5_exact_dedup,
         "op6_bpe": bpe.op6_bpe,
         "op7_token_counts": token_counts.op7_token_counts,
