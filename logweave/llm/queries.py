@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from logweave.llm import bpe, decontaminate, exact_dedup, simhash, token_counts
+from logweave.llm import bpe, decontaminate, exact_dedup, simhash, substring_dedup, token_counts
 
 
 def queries() -> dict:
     return {
+        "op1_substring_dedup": substring_dedup.op1_substring_dedup,
         "op3_simhash": simhash.op3_simhash,
         "op5_exact_dedup": exact_dedup.op5_exact_dedup,
         "op6_bpe": bpe.op6_bpe,
