@@ -7,12 +7,13 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel  # noqa: F401  (re-exported for callers)
 
 #: ASCII white space, the only separators of the word contracts.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
+#: What bounded() lets a broadcast hold.
+BROADCAST_BYTES = 32 << 20
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 #: Stands for a null id inside joins; sorts after every real id.
@@ -56,3 +57,9 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
+
+
+def bounded(df: DataFrame, row_bytes: Column) -> DataFrame:
+    """``df`` with a broadcast hint if its measured size allows it; beyond that it is joined by a shuffle."""
+    size = df.select(F.coalesce(F.sum(row_bytes + 64), F.lit(0))).first()[0]
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df

@@ -20,13 +20,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from logweave.llm.common import NULL_ID, ascii_lower, fresh, table, written
+from logweave.llm.common import NULL_ID, ascii_lower, bounded, fresh, table, written
 
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
 SLOP = 5
-#: Test terms are broadcast up to this size; beyond it they are joined by a shuffle.
-BROADCAST_BYTES = 32 << 20
 KEY = ["doc", "text_hash"]
 
 
@@ -39,12 +37,6 @@ def _pairs(col: str) -> Column:
     return F.posexplode(F.arrays_zip(F.col(col).alias("w1"), F.slice(col, 2, F.greatest(F.size(col), F.lit(1))).alias("w2")))
 
 
-def _bounded(df: DataFrame, row_bytes: Column) -> DataFrame:
-    """``df`` with a broadcast hint if its measured size allows it."""
-    size = df.select(F.coalesce(F.sum(row_bytes + 64), F.lit(0))).first()[0]
-    return F.broadcast(df) if size <= BROADCAST_BYTES else df
-
-
 class PositionalIndex:
     """The test items, their terms, and the postings of these terms in ``docs``."""
 
@@ -60,16 +52,16 @@ class PositionalIndex:
         self.item_terms = written(pairs.join(terms, ["w1", "w2"]).select("item", "n", "j", "term"), "index-item-terms")
         source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"), F.xxhash64(text_col).alias("text_hash"), words(F.col(text_col)).alias("words"))
         found = source.select(*KEY, _pairs("words")).select(*KEY, "pos", "col.w1", "col.w2")
-        terms = _bounded(terms, F.octet_length("w1") + F.octet_length("w2"))
+        terms = bounded(terms, F.octet_length("w1") + F.octet_length("w2"))
         self.postings = written(found.join(terms, ["w1", "w2"]).select("term", *KEY, "pos"), "index-postings")
         self.frequency = written(self.postings.groupBy("term").agg(F.count(F.lit(1)).alias("freq")), "index-frequency")
         single = self.items.where(F.size("words") == 1).select("item", F.col("words")[0].alias("word"))
         self.single = None
         if single.head(1):  # items of one word have no pair: their list is that of the word
             at = source.select(*KEY, F.posexplode("words").alias("pos", "word"))
-            self.single = at.join(_bounded(single, F.octet_length("word")), "word").select(*KEY, "item", F.col("pos").alias("start"), (F.col("pos") + 1).alias("end"))
+            self.single = at.join(bounded(single, F.octet_length("word")), "word").select(*KEY, "item", F.col("pos").alias("start"), (F.col("pos") + 1).alias("end"))
         self.item_terms = self.item_terms.join(self.frequency, "term", "left").fillna(0, ["freq"])
-        self.item_terms = _bounded(written(self.item_terms, "index-item-terms"), F.lit(40))
+        self.item_terms = bounded(written(self.item_terms, "index-item-terms"), F.lit(40))
 
     def phrases(self) -> DataFrame:
         """doc, text_hash, item, start, end (exclusive): maximal runs of words that exact windows cover."""
@@ -77,7 +69,7 @@ class PositionalIndex:
         led = self.item_terms.withColumn("lead", F.min(F.struct("freq", "j", "term")).over(ahead))
         led = led.where((F.col("j") <= F.greatest(F.col("n") - self.window, F.lit(0))) & (F.col("lead.freq") > 0))
         leads = led.select("item", F.col("lead.j").alias("j"), F.col("lead.term").alias("term")).distinct()
-        leads = _bounded(written(leads, "index-leads"), F.lit(24))
+        leads = bounded(written(leads, "index-leads"), F.lit(24))
         shifts = self.postings.join(leads, "term").select(*KEY, "item", (F.col("pos") - F.col("j")).alias("shift")).distinct()
         wanted = shifts.join(self.item_terms, "item").select(*KEY, "item", "n", "shift", "j", "term", (F.col("shift") + F.col("j")).alias("pos"))
         met = wanted.join(self.postings, ["term", *KEY, "pos"]).select(*KEY, "item", "n", "shift", "j")
@@ -92,7 +84,7 @@ class PositionalIndex:
         by = Window.partitionBy("item").orderBy("freq", "j")
         two = self.item_terms.where("freq > 0").withColumn("r", F.row_number().over(by)).where("r <= 2")
         two = written(two.select("item", "term", "j", "r"), "index-rarest")
-        at = self.postings.join(_bounded(two, F.lit(24)), "term").select(*KEY, "item", "r", (F.col("pos") - F.col("j")).alias("shift"))
+        at = self.postings.join(bounded(two, F.lit(24)), "term").select(*KEY, "item", "r", (F.col("pos") - F.col("j")).alias("shift"))
         # A grid over shifts: places within slop of each other are in the same cell or in neighbours.
         cell = F.floor(F.col("shift") / (slop + 1))
         first = at.where("r = 1").select(*KEY, "item", F.col("shift").alias("s1"), cell.alias("cell")).distinct()
@@ -137,7 +129,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
     bad = written(index.phrases().select(*KEY).distinct(), "contaminated")
     doc, text_hash = fresh(docs, "doc", "text_hash")
     keyed = docs.withColumn(doc, F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))).withColumn(text_hash, F.xxhash64(text_col))
-    bad = _bounded(bad.withColumnsRenamed({"doc": doc, "text_hash": text_hash}), F.lit(16))
+    bad = bounded(bad.withColumnsRenamed({"doc": doc, "text_hash": text_hash}), F.lit(16))
     return keyed.join(bad, [doc, text_hash], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

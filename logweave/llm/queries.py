@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from logweave.llm import bpe, decontaminate, exact_dedup, secrets, simhash, substring_dedup, token_counts
+from logweave.llm import bpe, decontaminate, exact_dedup, quality, secrets, simhash, substring_dedup, token_counts
 
 
 def queries() -> dict:
     return {
         "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+        "op2_quality": quality.op2_quality,
         "op3_simhash": simhash.op3_simhash,
         "op4_secret_scan": secrets.op4_secret_scan,
         "op5_exact_dedup": exact_dedup.op5_exact_dedup,
