@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from logweave.llm import bpe, decontaminate, exact_dedup, quality, secrets, simhash, substring_dedup, token_counts
+from logweave.llm import bpe, decontaminate, exact_dedup, html_extract, quality, secrets, simhash, substring_dedup, token_counts
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_exact_dedup": exact_dedup.op5_exact_dedup,
         "op6_bpe": bpe.op6_bpe,
         "op7_token_counts": token_counts.op7_token_counts,
+        "op8_html_extract": html_extract.op8_html_extract,
         "op9_decontaminate": decontaminate.op9_decontaminate,
     }
 
