@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from logweave.llm import bpe, decontaminate, exact_dedup, html_extract, quality, secrets, simhash, substring_dedup, token_counts
+from logweave.llm import bpe, decontaminate, exact_dedup, html_extract, licenses, quality, secrets, simhash, substring_dedup, token_counts
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op6_bpe": bpe.op6_bpe,
         "op7_token_counts": token_counts.op7_token_counts,
         "op8_html_extract": html_extract.op8_html_extract,
+        "op10_license_scan": licenses.op10_license_scan,
         "op9_decontaminate": decontaminate.op9_decontaminate,
     }
 
