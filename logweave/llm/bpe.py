@@ -16,6 +16,7 @@ import struct
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -176,8 +177,6 @@ def encode_decode(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", text_co
 
 
 def _packed(docs: DataFrame, tokenizer: str, text_col: str) -> DataFrame:
-    import pandas as pd
-
     @F.pandas_udf("struct<ids array<long>, decoded string>")
     def both(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         encoder = None

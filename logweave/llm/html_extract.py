@@ -15,6 +15,7 @@ import re
 from collections import deque
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -257,8 +258,6 @@ def main_text(page: str | None) -> str:
 
 def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text") -> DataFrame:
     """``pages`` with the main text; null and empty pages give an empty text. All rows stay; the new column must not exist yet."""
-    import pandas as pd
-
     if text_col.lower() in {c.lower() for c in pages.columns}:
         raise ValueError(f"column exists already: {text_col}")
 
