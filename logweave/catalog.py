@@ -2,16 +2,458 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from logweave.functions import scalars as S
+from logweave.model import EVENT_LOGS_SQL, LogFilter, event_logs
+from logweave.operators import bins as B
+from logweave.operators import kv, sched
+from logweave.operators import ranges as R
+from logweave.plans.query import CachedQuery, DividedQuery, point_lookup, size_sieve, tip_of
+
+#: Blocks in a bin of the views below, whose blocks hold four logs.
+BIN = 50
+LOG = ["address", "block_number", "block_hash", "log_index", "tx_hash", "data"]
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(fn):
+        QUERIES[fn.__name__] = fn
+        if sql:
+            SQL[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _ranges(spark: SparkSession, *rows: tuple[int, int]) -> DataFrame:
+    return spark.createDataFrame(list(rows), "from_block long, to_block long")
+
+
+def order_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A range for each order: its customer's number of blocks from its key on."""
+    o = table(spark, sf_dir, "orders")
+    return o.select((F.col("o_custkey") % 97).alias("lane"), (F.col("o_orderkey") * 7).alias("from_block"), (F.col("o_orderkey") * 7 + F.col("o_custkey") % 11).alias("to_block"))
+
+
+ORDER_RANGES = "r AS (SELECT o_custkey % 97 AS lane, o_orderkey * 7 AS from_block, o_orderkey * 7 + o_custkey % 11 AS to_block FROM orders)"
+
+
+# --- scans -------------------------------------------------------------------
+
+
+@query(f"WITH {EVENT_LOGS_SQL} SELECT address, block_number, block_hash, log_index, tx_hash, data FROM logs WHERE topic0 = 'error' AND block_number BETWEEN 100 AND 2000")
+def range_scan(spark, sf_dir):
+    query = DividedQuery(LogFilter(topics=(("error",),), from_block=100, to_block=2000), max_range=BIN, align=BIN)
+    return query.execute(event_logs(spark, sf_dir)).select(*LOG)
+
+
+@query(f"WITH {EVENT_LOGS_SQL} SELECT address, block_number, block_hash, log_index, tx_hash, data FROM logs WHERE topic0 IN ('click', 'view') AND address IN ('0x' || lpad('7', 40, '0'), '0x' || lpad('8', 40, '0'))")
+def address_topic_scan(spark, sf_dir):
+    wanted = LogFilter(addresses=tuple("0x" + n.rjust(40, "0") for n in "78"), topics=(("CLICK", "view"),))
+    return DividedQuery(wanted).execute(event_logs(spark, sf_dir)).select(*LOG)
+
+
+@query(f"WITH {EVENT_LOGS_SQL}, tip AS (SELECT max(block_number) AS tip FROM logs) SELECT address, block_number, block_hash, log_index, tx_hash, data FROM logs, tip WHERE block_number BETWEEN tip - 10 AND least(tip + 1000, tip)")
+def tip_clamp(spark, sf_dir):
+    logs = event_logs(spark, sf_dir)
+    tip = tip_of(logs)
+    return DividedQuery(LogFilter(from_block=tip - 10, to_block=tip + 1000)).execute(logs, tip).select(*LOG)
+
+
+@query(f"WITH {EVENT_LOGS_SQL} SELECT address, block_number, block_hash, log_index, tx_hash, data FROM logs WHERE block_hash = '0x' || lpad('42', 64, '0')")
+def point_by_hash(spark, sf_dir):
+    return point_lookup(event_logs(spark, sf_dir), LogFilter(block_hash="0x" + "42".rjust(64, "0"))).select(*LOG)
+
+
+# --- ranges --------------------------------------------------------------------
+
+
+@query(
+    f"WITH {ORDER_RANGES}, a AS (SELECT lane, from_block // 10 * 10 AS s, to_block // 10 * 10 + 9 AS e FROM r), c AS (SELECT lane, s, e, unnest(range(0, (e - s) // 4 + 1)) AS chunk_index FROM a) "
+    "SELECT lane, chunk_index, s + 4 * chunk_index AS from_block, least(s + 4 * chunk_index + 3, e) AS to_block FROM c"
+)
+def divide_aligned(spark, sf_dir):
+    return R.divide(order_ranges(spark, sf_dir), 4, 10)
+
+
+MERGE_SQL = (
+    "m AS (SELECT lane, from_block, to_block, CASE WHEN from_block <= max(to_block) OVER (PARTITION BY lane ORDER BY from_block, to_block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 0 ELSE 1 END AS n FROM w), "
+    "i AS (SELECT lane, from_block, to_block, sum(n) OVER (PARTITION BY lane ORDER BY from_block, to_block ROWS UNBOUNDED PRECEDING) AS island FROM m)"
+)
+
+
+@query(f"WITH {ORDER_RANGES}, w AS (SELECT lane % 7 AS lane, from_block, to_block FROM r), {MERGE_SQL} SELECT lane, min(from_block) AS from_block, max(to_block) AS to_block FROM i GROUP BY lane, island")
+def merge_ranges(spark, sf_dir):
+    return R.merge(order_ranges(spark, sf_dir).withColumn("lane", F.col("lane") % 7), ["lane"])
+
+
+@query(
+    f"WITH {ORDER_RANGES}, h AS (SELECT lane, from_block, to_block, from_block + (to_block - from_block + 1) // 2 - 1 AS mid FROM r WHERE from_block < to_block) "
+    "SELECT lane, 0::BIGINT AS half, from_block, mid AS to_block FROM h UNION ALL SELECT lane, 1, mid + 1, to_block FROM h"
+)
+def halve_once(spark, sf_dir):
+    return R.halve(order_ranges(spark, sf_dir))
+
+
+def event_counts(spark, sf_dir):
+    """Logs of each block of a skewed view: a user's number of logs in the user's block."""
+    return table(spark, sf_dir, "events").groupBy((F.col("user_id") * 3).alias("block_number")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    """WITH RECURSIVE c AS (SELECT user_id * 3 AS b, count(*) AS n FROM events GROUP BY 1), m AS (SELECT max(b) AS top FROM c),
+    t(f, t, d, n) AS (
+      SELECT CAST(0 AS BIGINT), CAST(top AS BIGINT), CAST(0 AS BIGINT), CAST((SELECT sum(n) FROM c) AS BIGINT) FROM m
+      UNION ALL
+      SELECT x.f, x.t, x.d, CAST(coalesce((SELECT sum(c.n) FROM c WHERE c.b BETWEEN x.f AND x.t), 0) AS BIGINT) FROM (
+        SELECT CASE WHEN h = 0 THEN f ELSE f + (t - f + 1) // 2 END AS f, CASE WHEN h = 0 THEN f + (t - f + 1) // 2 - 1 ELSE t END AS t, d + 1 AS d
+        FROM t, (VALUES (0), (1)) v(h) WHERE n > 300 AND f < t) x
+    ) SELECT f AS from_block, t AS to_block, d AS depth, n AS n_rows, n <= 300 AS accepted FROM t WHERE n <= 300 OR f = t"""
+)
+def adaptive_bisect(spark, sf_dir):
+    counts = event_counts(spark, sf_dir)
+    return R.bisect(counts, 0, counts.agg(F.max("block_number")).first()[0], 300)
+
+
+@query("WITH t AS (SELECT user_id, arg_max(event_type <> 'signup', event_id) AS at_tip, min(CASE WHEN event_type <> 'signup' AND event_id >= 10 THEN event_id END) AS first FROM events GROUP BY user_id) SELECT user_id, coalesce(CASE WHEN at_tip THEN first END, -1) AS deploy_block FROM t")
+def deploy_block(spark, sf_dir):
+    """-1: no code at the tip."""
+    probes = table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("block_number"), (F.col("event_type") != "signup").alias("has_code"))
+    return R.boundary(probes, "user_id", 10, (1 << 62)).fillna(-1, ["deploy_block"])
+
+
+# --- bins ------------------------------------------------------------------------
+
+
+def responses(spark, sf_dir):
+    """A response for every order; some overlap, some leave holes."""
+    o = table(spark, sf_dir, "orders")
+    start = F.col("o_orderkey") * 5
+    return o.select(start.alias("from_block"), (start + F.col("o_custkey") % 9).alias("to_block"), (F.col("o_orderkey") + 1000).alias("fetched_at"), (F.col("o_orderkey") + F.col("o_custkey")).alias("fetched_at_block"))
+
+
+RESPONSES = "p AS (SELECT o_orderkey * 5 AS f, o_orderkey * 5 + o_custkey % 9 AS t, o_orderkey + 1000 AS fetched_at, o_orderkey + o_custkey AS fetched_at_block FROM orders)"
+PARTS = "q AS (SELECT f, t, fetched_at, fetched_at_block, unnest(range(f // 20 * 20, t // 20 * 20 + 1, 20)) AS bin_start FROM p), w AS (SELECT bin_start AS lane, greatest(f, bin_start) AS from_block, least(t, bin_start + 19) AS to_block, fetched_at, fetched_at_block FROM q)"
+
+
+@query(f"WITH {RESPONSES}, {PARTS} SELECT lane AS bin_start, from_block AS covered_from, to_block AS covered_to, fetched_at, fetched_at_block FROM w")
+def bin_assign(spark, sf_dir):
+    return B.fan_out(responses(spark, sf_dir), 20)
+
+
+@query(
+    f"WITH {RESPONSES}, {PARTS}, {MERGE_SQL}, g AS (SELECT lane, island, min(from_block) AS a, max(to_block) AS b FROM i GROUP BY 1, 2), "
+    "d AS (SELECT lane FROM g GROUP BY lane HAVING count(*) = 1 AND min(a) <= lane AND max(b) >= lane + 19) "
+    "SELECT lane AS bin_start, lane + 19 AS bin_end, max(fetched_at) AS fetched_at, max(fetched_at_block) AS fetched_at_block FROM w WHERE lane IN (SELECT lane FROM d) GROUP BY lane"
+)
+def bin_complete(spark, sf_dir):
+    return B.complete_bins(responses(spark, sf_dir), 20)
+
+
+@query(f"WITH {RESPONSES}, {PARTS}, {MERGE_SQL} SELECT lane AS bin_start, count(DISTINCT island) AS n_ranges, min(from_block) AS first_block, max(to_block) AS last_block FROM i GROUP BY lane")
+def bin_coverage(spark, sf_dir):
+    parts = B.fan_out(responses(spark, sf_dir), 20)
+    merged = R.merge(parts.select("bin_start", F.col("covered_from").alias("from_block"), F.col("covered_to").alias("to_block")), ["bin_start"])
+    return merged.groupBy("bin_start").agg(F.count(F.lit(1)).alias("n_ranges"), F.min("from_block").alias("first_block"), F.max("to_block").alias("last_block"))
+
+
+ITEM_ORDER = ["l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
+
+
+@query(f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY {', '.join(ITEM_ORDER)}) = 1")
+def dedupe_first(spark, sf_dir):
+    return B.first_wins(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"], ITEM_ORDER).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+
+
+def manifest(spark, sf_dir):
+    """Every third bin is stored; every ninth ends early."""
+    logs = event_logs(spark, sf_dir)
+    starts = logs.select(R.align_down(F.col("block_number"), BIN).alias("bin_start")).distinct().where(F.col("bin_start") % (3 * BIN) == 0)
+    return starts.select("bin_start", (F.col("bin_start") + BIN - 1 - F.when(F.col("bin_start") % (9 * BIN) == 0, 1).otherwise(0)).alias("fetched_to"), F.lit(0).cast("long").alias("fetched_at"), (F.col("bin_start") + 1000).alias("fetched_at_block"))
+
+
+MANIFEST = f"man AS (SELECT DISTINCT block_number // {BIN} * {BIN} AS bin_start FROM logs WHERE block_number // {BIN} * {BIN} % {3 * BIN} = 0), hit AS (SELECT bin_start FROM man WHERE bin_start % {9 * BIN} <> 0 AND bin_start BETWEEN 100 // {BIN} * {BIN} AND 2000 // {BIN} * {BIN})"
+WANTED = f"tip AS (SELECT least(2000, max(block_number)) AS hi FROM logs), wanted AS (SELECT unnest(range(100 // {BIN} * {BIN}, hi // {BIN} * {BIN} + 1, {BIN})) AS bin_start FROM tip)"
+CACHED = CachedQuery(LogFilter(topics=(("error",),), from_block=100, to_block=2000), BIN)
+
+
+@query(f"WITH {EVENT_LOGS_SQL}, {MANIFEST}, {WANTED} SELECT bin_start, bin_start + {BIN - 1} AS bin_end FROM wanted WHERE bin_start IN (SELECT bin_start FROM hit)")
+def cache_hits(spark, sf_dir):
+    return CACHED.plan(event_logs(spark, sf_dir), manifest(spark, sf_dir))[0]
+
+
+@query(
+    f"WITH {EVENT_LOGS_SQL}, {MANIFEST}, {WANTED}, w AS (SELECT 0 AS lane, bin_start AS from_block, bin_start + {BIN - 1} AS to_block FROM wanted WHERE bin_start NOT IN (SELECT bin_start FROM hit)), {MERGE_SQL} "
+    "SELECT min(from_block) AS from_block, max(to_block) AS to_block FROM i GROUP BY island"
+)
+def cache_gaps(spark, sf_dir):
+    return CACHED.plan(event_logs(spark, sf_dir), manifest(spark, sf_dir))[1]
+
+
+@query(SQL["range_scan"])
+def cached_range_query(spark, sf_dir):
+    logs = event_logs(spark, sf_dir)
+    return CACHED.execute(logs, B.bin_logs(logs, BIN), manifest(spark, sf_dir)).select(*LOG)
+
+
+# --- freshness -------------------------------------------------------------------
+
+
+def ages(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return e.select("event_id", (F.col("event_id") % 700).alias("confirmations"), (F.col("event_id") * 300_000 % 3_000_000_000).alias("age_ms"), (F.col("event_id") % 9 + 1).alias("chunks"))
+
+
+AGES = "g AS (SELECT event_id, event_id % 700 AS confirmations, event_id * 300000 % 3000000000 AS age_ms, event_id % 9 + 1 AS chunks FROM events)"
+
+
+@query(
+    f"WITH {AGES}, v AS (SELECT *, least(CAST(1 AS DOUBLE), CAST(0.001 AS DOUBLE) / chunks) AS p FROM g) SELECT event_id, round(CASE WHEN age_ms < 5000 THEN 0 WHEN confirmations < 128 THEN 1 "
+    "ELSE least(CAST(1 AS DOUBLE), p * exp(-ln(p) / 31 * (age_ms / CAST(86400000 AS DOUBLE)))) END, 9) AS chance FROM v"
+)
+def invalidate_simple(spark, sf_dir):
+    return ages(spark, sf_dir).select("event_id", F.round(S.simple_invalidation(F.col("confirmations"), F.col("age_ms"), F.col("chunks")), 9).alias("chance"))
+
+
+@query(
+    f"WITH {AGES} SELECT event_id, round(greatest(CAST(0 AS DOUBLE), least(CAST(1 AS DOUBLE), (exp(0.125::DOUBLE * (age_ms / CAST(86400000 AS DOUBLE) - 31)) - exp(-3.875::DOUBLE)) / (1 - exp(-3.875::DOUBLE)) "
+    "+ 0.875::DOUBLE * exp(-confirmations / CAST(64 AS DOUBLE)))), 9) AS chance FROM g"
+)
+def invalidate_exp(spark, sf_dir):
+    return ages(spark, sf_dir).select("event_id", F.round(S.exponential_invalidation(F.col("confirmations"), F.col("age_ms")), 9).alias("chance"))
+
+
+# --- scalars -----------------------------------------------------------------------
+
+
+@query("SELECT doc_id, CAST(strlen(text) AS BIGINT) AS n_bytes, CAST(length(text) AS BIGINT) AS n_points FROM documents")
+def utf8_sizes(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", S.utf8_bytes(F.col("text")).alias("n_bytes"), F.length("text").cast("long").alias("n_points"))
+
+
+NODE_SIZE = "(strlen(address) + 2 + strlen(topic0) + 4 + strlen(data) + 2 + (2 + strlen(to_hex(block_number))) + 2 + strlen(tx_hash) + 2 + 5 + strlen(block_hash) + 2 + 5 + 5 + 120)"
+
+
+@query(f"WITH {EVENT_LOGS_SQL} SELECT tx_hash, CAST({NODE_SIZE} AS BIGINT) AS n_bytes FROM logs WHERE {NODE_SIZE} <= 416")
+def size_sieve_logs(spark, sf_dir):
+    kept = size_sieve(event_logs(spark, sf_dir), 416)
+    return kept.select("tx_hash", S.estimate_bytes(S.node_log(), S.NODE_LOG_TYPE).alias("n_bytes"))
+
+
+IMUL = "CAST((CAST({a} AS HUGEINT) * {b}) % 4294967296 AS BIGINT)"
+
+
+def _cyrb_sql(text: str, source: str, keep: str) -> str:
+    """The hash of ``text`` as hash, beside ``keep``, over BMP text."""
+    fold = lambda start, by: f"list_reduce(list_prepend(CAST({start ^ S.HASH_SEED} AS BIGINT), list_transform(string_split({text}, ''), lambda x: CAST(ord(x) AS BIGINT))), lambda h, u: {IMUL.format(a='xor(h, u)', b=by)})"
+    shr = lambda x, n: f"xor({x}, {x} >> {n})"
+    return (
+        f"f AS (SELECT {keep}, {fold(S.STATE_1, S.MUL_1)} AS a, {fold(S.STATE_2, S.MUL_2)} AS b FROM {source}), "
+        f"f1 AS (SELECT *, xor({IMUL.format(a=shr('a', 16), b=S.MUL_3)}, {IMUL.format(a=shr('b', 13), b=S.MUL_4)}) AS h1 FROM f), "
+        f"f2 AS (SELECT *, xor({IMUL.format(a=shr('b', 16), b=S.MUL_3)}, {IMUL.format(a=shr('h1', 13), b=S.MUL_4)}) AS h2 FROM f1), "
+        f"hashed AS (SELECT {keep}, lower(to_base(h2, 36, 7)) || lower(to_base(h1, 36, 7)) AS hash FROM f2)"
+    )
+
+
+@query(f"WITH u AS (SELECT DISTINCT user_id, '0x' || lpad(CAST(user_id AS VARCHAR), 40, '0') AS address FROM events), {_cyrb_sql('address', 'u', 'user_id')} SELECT user_id, hash FROM hashed")
+def cyrb64_hashes(spark, sf_dir):
+    users = table(spark, sf_dir, "events").select("user_id").distinct()
+    return users.select("user_id", S.cyrb64_hash(F.concat(F.lit("0x"), F.lpad(F.col("user_id").cast("string"), 40, "0"))).alias("hash"))
+
+
+@query(
+    "WITH u AS (SELECT DISTINCT user_id, event_type, '0x' || lpad(CAST(user_id AS VARCHAR), 40, '0') || ':[\"' || event_type || '\",null,[\"0xabc\",\"0xdef\"]]' AS t FROM events), "
+    f"{_cyrb_sql('t', 'u', 'user_id, event_type')} SELECT user_id, event_type, '1:ethGetLogs:' || hash || '+' || CAST(user_id * 10000 AS VARCHAR) || ':' || CAST(user_id * 10000 + 9999 AS VARCHAR) AS cache_key FROM hashed"
+)
+def cache_keys(spark, sf_dir):
+    users = table(spark, sf_dir, "events").select("user_id", "event_type").distinct()
+    address = F.array(F.concat(F.lit("0x"), F.lpad(F.col("user_id").cast("string"), 40, "0")))
+    topics = F.array(F.array("event_type"), F.lit(None).cast("array<string>"), F.array(F.lit("0xdef"), F.lit("0xabc")))
+    low = F.col("user_id") * 10_000
+    return users.select("user_id", "event_type", S.cache_key(F.lit(1), S.filter_text(address, topics), low, low + 9_999).alias("cache_key"))
+
+
+@query(
+    "WITH k AS (SELECT doc_id, '1:ethGetLogs:x' || CAST(doc_id % 7 AS VARCHAR) || '+' || CAST(doc_id AS VARCHAR) AS key FROM documents) SELECT split_part(key, '+', 1) AS key_group, count(*) AS n_keys, max(split_part(key, '+', 2)) AS last_rest FROM k GROUP BY 1"
+)
+def group_by_prefix(spark, sf_dir):
+    key = F.concat(F.lit("1:ethGetLogs:x"), (F.col("doc_id") % 7).cast("string"), F.lit("+"), F.col("doc_id").cast("string"))
+    parts = table(spark, sf_dir, "documents").select(S.split_key(key).alias("k"))
+    return parts.groupBy(F.col("k.group").alias("key_group")).agg(F.count(F.lit(1)).alias("n_keys"), F.max("k.rest").alias("last_rest"))
+
+
+@query()
+def shard_greedy(spark, sf_dir):
+    """Pieces of each question: number, bytes of the largest, and whether they join back."""
+    text = F.col("text")
+    pieces = table(spark, sf_dir, "benchmark").select("item_id", text.alias("text"), S.shard_text(text, 48).alias("s"))
+    return pieces.select("item_id", F.size("s").cast("long").alias("n_shards"), F.array_max(F.transform("s", F.octet_length)).cast("long").alias("largest"), (F.array_join("s", "") == F.col("text")).alias("joins_back"))
+
+
+@query(
+    "WITH e AS (SELECT event_id, CASE event_id % 8 WHEN 0 THEN -32602 WHEN 1 THEN -32005 WHEN 2 THEN -32001 ELSE 3 END AS code, "
+    "CASE event_id % 5 WHEN 0 THEN 'block Range is TOO wide' WHEN 1 THEN 'query returned more than 10000 results' WHEN 2 THEN 'nonce low' WHEN 3 THEN 'exceeds max block span' ELSE event_type END AS message FROM events) "
+    "SELECT event_id, code IN (-32602, -32005, -32012, -32000) OR regexp_matches(message, '(?i)range.*exceed|range.*too|exceed.*block|max.*block|blocks|returned more than|response size') AS is_range FROM e"
+)
+def error_classify(spark, sf_dir):
+    i = F.col("event_id")
+    code = F.when(i % 8 == 0, -32602).when(i % 8 == 1, -32005).when(i % 8 == 2, -32001).otherwise(3)
+    said = F.when(i % 5 == 0, "block Range is TOO wide").when(i % 5 == 1, "query returned more than 10000 results").when(i % 5 == 2, "nonce low").when(i % 5 == 3, "exceeds max block span").otherwise(F.col("event_type"))
+    return table(spark, sf_dir, "events").select("event_id", S.is_range_error(code, said).alias("is_range"))
+
+
+# --- keyed storage -------------------------------------------------------------------
+
+
+@query(
+    "WITH s AS (SELECT c_custkey AS k, c_name AS v FROM customer), n AS (SELECT o_custkey + 100 AS k, arg_max(o_orderpriority, o_orderkey) AS v FROM orders GROUP BY 1) SELECT coalesce(n.k, s.k) AS k, coalesce(n.v, s.v) AS v FROM s FULL JOIN n ON s.k = n.k"
+)
+def upsert_merge(spark, sf_dir):
+    stored = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("v"))
+    new = B.latest_per_key(table(spark, sf_dir, "orders").select((F.col("o_custkey") + 100).alias("k"), "o_orderkey", F.col("o_orderpriority").alias("v")), "k", "o_orderkey", "v")
+    return kv.upsert(stored, new, "k", "v")
+
+
+@query("SELECT user_id, arg_max(value, event_id) AS value FROM events GROUP BY user_id HAVING arg_max(event_type, event_id) <> 'signup'")
+def latest_per_key(spark, sf_dir):
+    changes = table(spark, sf_dir, "events").select("user_id", "event_id", "value", F.when(F.col("event_type") == "signup", "delete").otherwise("set").alias("op"))
+    return B.latest_per_key(changes, "user_id", "event_id", "value", "op")
+
+
+@query(
+    "WITH k AS (SELECT p_partkey AS k FROM part), a AS (SELECT p_partkey AS k, p_brand AS v FROM part WHERE p_partkey % 5 = 0), b AS (SELECT s_suppkey AS k, s_name AS v FROM supplier) "
+    "SELECT k.k, coalesce(a.v, b.v) AS v, CASE WHEN a.v IS NOT NULL THEN 1 WHEN b.v IS NOT NULL THEN 2 ELSE 0 END AS tier FROM k LEFT JOIN a ON k.k = a.k LEFT JOIN b ON k.k = b.k"
+)
+def tiered_lookup(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    keys = part.select(F.col("p_partkey").alias("k"))
+    near = part.where("p_partkey % 5 = 0").select(F.col("p_partkey").alias("k"), F.col("p_brand").alias("v"))
+    far = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("v"))
+    return kv.tiered(keys, [near, far], "k", "v").fillna(0, ["tier"])
+
+
+@query("WITH k AS (SELECT DISTINCT c_mktsegment || CASE WHEN c_custkey % 2 = 0 THEN ' x' ELSE '' END AS key FROM customer) SELECT key, row_number() OVER (ORDER BY '\"' || key || '\"') AS position FROM k")
+def rawkey_sort(spark, sf_dir):
+    keys = table(spark, sf_dir, "customer").select(F.concat("c_mktsegment", F.when(F.col("c_custkey") % 2 == 0, " x").otherwise("")).alias("key")).distinct()
+    return keys.select("key", F.row_number().over(Window.orderBy(S.raw_key(F.col("key")))).cast("long").alias("position"))
+
+
+@query(
+    "WITH e AS (SELECT event_id, event_type, 'k' || lpad(CAST(user_id AS VARCHAR), 4, '0') AS key, props AS value FROM events), s AS (SELECT key, arg_max(value, event_id) AS value FROM e WHERE event_type IN ('view', 'click') GROUP BY key), p AS (SELECT key, arg_max(value, event_id) AS value FROM e WHERE event_type NOT IN ('view', 'click') GROUP BY key) "
+    "SELECT coalesce(p.key, s.key) AS key, coalesce(p.value, s.value) AS value FROM s FULL JOIN p ON s.key = p.key"
+)
+def line_map_merge(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", F.col("event_type").isin("view", "click").alias("old"), F.concat(F.lit("k"), F.lpad(F.col("user_id").cast("string"), 4, "0")).alias("key"), F.col("props").alias("value"))
+    stored = B.latest_per_key(e.where("old"), "key", "event_id", "value")
+    line = F.concat(F.lit('{"key":'), S.raw_key(F.col("key")), F.lit(',"value":'), "value", F.lit("}"))
+    lines = stored.select(F.row_number().over(Window.orderBy("key")).alias("line_no"), line.alias("line"))
+    pending = e.where("NOT old").select(S.raw_key(F.col("key")).alias("raw"), "key", "value", F.col("event_id").alias("seq"))
+    return kv.merge_lines(kv.parse_lines(lines), pending).select("key", "value")
+
+
+@query("SELECT c_custkey, c_name AS value FROM customer WHERE c_custkey % 13 <> 0 UNION ALL SELECT c_custkey, NULL FROM customer WHERE c_custkey % 13 = 0 AND length(c_name) > 0")
+def sharded_values(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    shards = kv.to_shards(c.select("c_custkey", F.encode("c_name", "utf-8").alias("v")), "c_custkey", "v", 27, "0" * 15 + "1")
+    torn = F.when((F.col("c_custkey") % 13 == 0) & (F.col("shard_no") == 1), F.concat(F.lit("f" * 16 + "|"), F.substring("payload", 18, 100))).otherwise(F.col("payload"))
+    return kv.from_shards(shards.withColumn("payload", torn), "c_custkey", "v").select("c_custkey", F.decode("v", "utf-8").alias("value"))
+
+
+@query()
+def lru_hits(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    op = F.when(F.col("event_type").isin("view", "click"), "get").when(F.col("event_type") == "error", "delete").otherwise("set")
+    ops = e.select((F.col("user_id") % 16).alias("cache_id"), F.col("event_id").alias("seq"), op.alias("op"), F.col("user_id").cast("string").alias("key"), F.octet_length("props").cast("long").alias("bytes"))
+    return kv.lru(ops, 60)
+
+
+@query()
+def flush_threshold(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select((F.col("user_id") % 16).alias("lane"), "event_id", F.octet_length("props").cast("long").alias("n_bytes"))
+    return kv.flush_ids(e, 100, ["lane"], "event_id", "n_bytes")
+
+
+# --- scheduling ----------------------------------------------------------------------
+
+
+def trace(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return e.select("user_id", F.col("event_id").alias("seq"), F.unix_micros(F.col("ts").cast("timestamp")).alias("arrival_us"), (F.col("event_id") % 50 * 1_000_000_000).alias("duration_us"), "event_type")
+
+
+TRACE = "x AS (SELECT user_id, event_id AS seq, epoch_us(ts) AS arrival_us, event_id % 50 * 1000000000 AS duration_us, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events)"
+
+
+@query(
+    f"WITH {TRACE}, m AS (SELECT *, max(arrival_us - i * 20000000000) OVER (PARTITION BY user_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS r FROM x) SELECT user_id, seq, greatest(arrival_us, r + (i + 1 - 3) * 20000000000) AS start_us, greatest(arrival_us, r + (i + 1 - 3) * 20000000000) - arrival_us AS wait_us FROM m"
+)
+def token_bucket(spark, sf_dir):
+    return sched.token_bucket(trace(spark, sf_dir), ["user_id"], 3, 20_000_000_000).select("user_id", "seq", "start_us", "wait_us")
+
+
+@query(
+    f"WITH {TRACE}, b AS (SELECT *, coalesce(sum(duration_us) OVER (PARTITION BY user_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM x), m AS (SELECT *, max(arrival_us - before) OVER (PARTITION BY user_id ORDER BY seq ROWS UNBOUNDED PRECEDING) + before AS start_us FROM b) "
+    "SELECT user_id, seq, CAST(start_us AS BIGINT) AS start_us, CAST(start_us + duration_us AS BIGINT) AS end_us FROM m"
+)
+def keyed_mutex(spark, sf_dir):
+    return sched.mutex(trace(spark, sf_dir), "user_id", "arrival_us", "duration_us", "seq").select("user_id", "seq", "start_us", "end_us")
+
+
+@query(f"WITH {ORDER_RANGES}, c AS (SELECT lane, from_block AS f, unnest(range(0, (to_block - from_block) // 4 + 1)) AS chunk_index FROM r) SELECT lane, f, chunk_index, 10 + chunk_index / CAST(count(*) OVER (PARTITION BY lane, f) AS DOUBLE) AS priority FROM c")
+def chunk_priority(spark, sf_dir):
+    ranges = order_ranges(spark, sf_dir).withColumn("f", F.col("from_block"))
+    return sched.chunk_priority(R.divide(ranges, 4), 10, ["lane", "f"]).select("lane", "f", "chunk_index", "priority")
+
+
+@query(
+    f"WITH {TRACE}, m AS (SELECT *, CASE WHEN arrival_us - lag(arrival_us) OVER (PARTITION BY user_id ORDER BY seq) < 3600000000 THEN 0 ELSE 1 END AS n FROM x), s AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS g FROM m) "
+    "SELECT user_id, min(arrival_us) AS first_us, max(arrival_us) AS last_us, count(*) AS n_writes, max(seq) AS last_seq FROM s GROUP BY user_id, g"
+)
+def debounce_sessions(spark, sf_dir):
+    return sched.debounce_sessions(trace(spark, sf_dir), "user_id", "arrival_us", 3_600_000_000, "seq")
+
+
+@query()
+def debounce_full(spark, sf_dir):
+    ops = trace(spark, sf_dir).select("user_id", F.col("arrival_us").alias("at"), "seq")
+    return sched.debounced_writes(ops, "user_id", 3_600_000_000, 9_000_000_000, 7_200_000_000)
+
+
+@query()
+def limiter_trace(spark, sf_dir):
+    priority = F.when(F.col("event_type") == "error", 0.0).when(F.col("event_type") == "purchase", 1.0)
+    return sched.limiter(trace(spark, sf_dir).withColumn("priority", priority), "user_id", 2, 0.0001, 2)
+
+
+@query()
+def in_flight_calls(spark, sf_dir):
+    calls = trace(spark, sf_dir).select("user_id", F.col("arrival_us").alias("call_start"), (F.col("arrival_us") + F.col("duration_us")).alias("call_end"))
+    return sched.in_flight_dedupe(calls, "user_id", "call_start", "call_end")
+
+
+@query("SELECT c_mktsegment AS lane, min(c_custkey) AS first_key, max(c_custkey) AS last_key, CAST(sum(strlen(c_name)) AS BIGINT) AS n_bytes FROM customer GROUP BY 1")
+def fold_and_totals(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    return c.groupBy(F.col("c_mktsegment").alias("lane")).agg(F.min("c_custkey").alias("first_key"), F.max("c_custkey").alias("last_key"), F.sum(F.octet_length("c_name")).alias("n_bytes"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+    return cached_range_query(spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
+
+
