@@ -65,17 +65,17 @@ _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuv
 
 
 def fingerprints(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc (null ids as the largest) and fp of each row."""
+    """doc (null ids as the largest), text_hash and fp of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
             fp = [fingerprint(t.as_py(), shingle, xxhash.xxh64_intdigest) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp, pa.int64())], ["doc", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fp, pa.int64())], ["doc", "text_hash", "fp"])
 
-    narrow = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"), F.col(text_col).alias("text"))
-    return narrow.mapInArrow(run, "doc long, fp long")
+    narrow = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
+    return narrow.mapInArrow(run, "doc long, text_hash long, fp long")
 
 
 def embedding(fp: Column) -> Column:
@@ -104,10 +104,11 @@ def _first_grid(x: Column) -> Column:
 
 def links(points: DataFrame) -> DataFrame:
     """a, b: links that give the components of all pairs of distinct fp within RADIUS bits. Pairs of small cells are all there; crowded ones by way of a smallest member."""
-    fp = points.select("fp").distinct()
+    parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    fp = points.select("fp").distinct().repartition(parts, "fp")  # the rows are few, their 70 cells each are not
     cells = fp.withColumn("e", embedding(F.col("fp"))).select("fp", "e", F.posexplode(_cells(F.col("e"))).alias("grid", "cell"))
     sizes = written(cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "simhash-cells")
-    shared = written(cells.join(sizes, "cell"), "simhash-shared")
+    shared = written(cells.join(sizes.hint("merge"), "cell"), "simhash-shared")
     near, hot = shared.where(F.col("n") <= CELL_ROWS), shared.where(F.col("n") > CELL_ROWS).select("fp").distinct()
     bits = F.element_at(F.array(*[F.lit(_signed(sum(1 << 8 * g for g in grid))) for grid in GRIDS]), F.col("grid") + 1)
     left = near.select("cell", F.col("fp").alias("a"), F.col("e").alias("ea"), bits.alias("kept"))
@@ -119,11 +120,11 @@ def links(points: DataFrame) -> DataFrame:
     hot = written(hot, "simhash-hot")
     if not hot.head(1):
         return pairs
-    flips = [0, *(1 << i for i in range(64)), *(1 << i | 1 << j for i, j in combinations(range(64), 2))]
-    spark = points.sparkSession
-    flip = F.broadcast(spark.createDataFrame([([_signed(x) for x in flips],)], "flips array<long>"))  # 2,081 longs
-    # One row of flips stands beside every fingerprint; it isn't a join of two growing sides.
-    mid = hot.repartition(F.col("fp")).join(flip, F.col("fp").isNotNull()).select("fp", F.explode("flips").alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("mid"))
+    # Bits i and j flip, i < j; bit 64 is none. No flip at all stands as (64, 64).
+    bit = lambda i: F.when(i < 64, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(0)
+    first = hot.repartition(parts, "fp").select("fp", F.explode(F.sequence(F.lit(0), F.lit(64))).alias("i"))
+    both = first.select("fp", "i", F.explode(F.sequence(F.least(F.col("i") + 1, F.lit(64)), F.lit(64))).alias("j"))
+    mid = both.select("fp", F.col("fp").bitwiseXOR(bit(F.col("i"))).bitwiseXOR(bit(F.col("j"))).alias("mid"))
     least = written(mid.groupBy("mid").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("mid", "a"), "simhash-mid")
     stars = mid.join(least, "mid").where("a < fp").select("a", F.col("fp").alias("b")).distinct()
     return pairs.unionByName(stars)
@@ -152,21 +153,26 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def near_duplicate_groups(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of ``docs``: doc_id, fingerprint, component_id (the smallest doc_id reachable over links).
-
-    Null texts and texts without words have fingerprint zero and are linked like any other. Null ids sort
-    last: component_id is null only where all ids of a component are. Repeated rows stay. Other columns are ignored.
-    """
+def _resolved(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
+    """doc, text_hash, fp, root (of the component, a fingerprint) and component (its smallest doc) of each row."""
     points = written(fingerprints(docs, shingle, id_col, text_col), "simhash-points")
     first = written(points.groupBy("fp").agg(F.min("doc").alias("first")), "simhash-first")
     roots = components(links(first))
     rooted = first.join(roots, first.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     named = written(rooted, "simhash-rooted")
     smallest = written(named.groupBy("root").agg(F.min("first").alias("component")), "simhash-smallest")
-    by_fp = written(named.join(smallest, "root").select("fp", "component"), "simhash-components")
+    by_fp = written(named.join(smallest, "root").select("fp", "root", "component"), "simhash-components")
+    return points.join(by_fp, "fp")
+
+
+def near_duplicate_groups(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each row of ``docs``: doc_id, fingerprint, component_id (the smallest doc_id reachable over links).
+
+    Null texts and texts without words have fingerprint zero and are linked like any other. Null ids sort
+    last: component_id is null only where all ids of a component are. Repeated rows stay. Other columns are ignored.
+    """
     void = F.lit(NULL_ID)
-    return points.join(by_fp, "fp").select(
+    return _resolved(docs, shingle, id_col, text_col).select(
         F.nullif("doc", void).alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.nullif("component", void).alias("component_id")
     )
 
@@ -174,16 +180,19 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 4, id_col: str = "doc_
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each near-duplicate component, that of the smallest id; all columns stay.
 
-    Of rows with the same smallest id, one stays.
+    Of several rows with the smallest id of one component, one stays.
     """
-    groups = near_duplicate_groups(docs, shingle, id_col, text_col)
-    keep, row = fresh(docs, "keep", "row")
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias(keep)).distinct()
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))
-    stay = docs.join(written(kept, "simhash-kept"), key == F.col(keep), "left_semi")
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    (k,) = fresh(docs, "k")
-    return stay.groupBy(key.alias(k)).agg(F.first(whole).alias(row)).select(f"{row}.*")
+    resolved = _resolved(docs, shingle, id_col, text_col).where("doc = component")
+    doc, text_hash, root, n, row = fresh(docs, "doc", "text_hash", "root", "n", "row")
+    chosen = resolved.groupBy("doc", "root").agg(F.count(F.lit(1)).alias("n"), F.min("text_hash").alias("text_hash"))
+    chosen = written(chosen.select(F.col("doc").alias(doc), F.col("root").alias(root), F.col("text_hash").alias(text_hash), F.col("n").alias(n)), "simhash-kept")
+    keyed = docs.withColumn(doc, F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))).withColumn(text_hash, F.xxhash64(text_col))
+    stay = keyed.join(chosen, [doc, text_hash])
+    plain = [F.col(f"`{c}`") for c in docs.columns]
+    one = stay.where(F.col(n) == 1).select(*plain)
+    # Ids that occur more than once: only these rows are grouped.
+    several = stay.where(F.col(n) > 1).groupBy(doc, root).agg(F.first(F.struct(*plain)).alias(row)).select(f"{row}.*")
+    return one.unionByName(several)
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
