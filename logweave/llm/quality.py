@@ -166,10 +166,10 @@ def _by_join(narrow: DataFrame, scores: DataFrame, order: int) -> DataFrame:
     def counted(texts: pd.Series) -> pd.Series:
         return pd.Series([[{"gram": int(g), "n": int(n)} for g, n in zip(*np.unique(grams(t, order), return_counts=True), strict=True)] if t else [] for t in texts])
 
-    keyed = narrow.withColumn("row", F.monotonically_increasing_id())
-    each = keyed.select("row", "lang", F.explode(counted("text")).alias("g")).select("row", "lang", "g.gram", "g.n")
-    sums = each.join(scores, ["lang", "gram"]).groupBy("row").agg(F.struct(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("log_p").cast("float")).alias("total")).alias("score"))
-    return keyed.join(sums, "row", "left").drop("row")
+    keyed = narrow.withColumn("row_no", F.monotonically_increasing_id())
+    each = keyed.select("row_no", "lang", F.explode(counted("text")).alias("g")).select("row_no", "lang", "g.gram", "g.n")
+    sums = each.join(scores, ["lang", "gram"]).groupBy("row_no").agg(F.struct(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("log_p").cast("float")).alias("total")).alias("score"))
+    return keyed.join(sums, "row_no", "left").drop("row_no")
 
 
 def perplexities(docs: DataFrame, trusted_ids: DataFrame, order: int = ORDER, quantile: float = QUANTILE, slack: float = SLACK, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_score_bytes: int = 256 << 20) -> DataFrame:
