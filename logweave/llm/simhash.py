@@ -17,12 +17,22 @@ share one are within four bits of each other, so each is linked to the smallest.
 each such fingerprint, whatever the cell's size, spread evenly over tasks.
 
 Equal fingerprints are one point from the start. Links are followed to components by alternating stars.
+
+A radius of four bits of 64 stands for nearly equal texts. Texts whose shingle sets are similar to 0.8 lie
+about ten bits apart, too far for exact grids. For them the fingerprint has 256 bits and segments are one
+bit wide, so that the Manhattan distance of two embeddings is their Hamming distance. Grids are random
+choices of coordinates: so many, of so many bits, that a pair at the wanted similarity meets in one of them
+with probability RECALL, and that cells of unrelated texts stay nearly empty whatever the number of
+documents. Cells of up to CELL_PAIRS points give pairs; the points of larger ones are paired with one
+member that a hash of the cell picks, another one in each grid. Every pair is verified by its distance.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import acos, ceil, log, log2, pi, sqrt
+from random import Random
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +40,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logweave.llm.common import NULL_ID, fresh, table, written
+from logweave.llm.substring_dedup import MIX_A, mix
 
 #: The hash seed of the fingerprints, and the grid for a radius of four.
 SEED, RADIUS, GROUPS = 42, 4, 8
 CELL_ROWS = 64
+#: The wide fingerprint: longs, the chance that a grid shows a pair of the wanted similarity, and the largest cell that gives all its pairs.
+LANES, RECALL, CELL_PAIRS = 4, 0.97, 8
+SIMILARITY, SPREADS = 0.8, 2.0
 GRIDS = list(combinations(range(GROUPS), GROUPS - RADIUS))
 
 
@@ -41,41 +55,45 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def fingerprint(text: str | None, shingle: int, join) -> int:
-    """A 64-bit SimHash of the text's word shingles, as a signed integer."""
+def fingerprint(text: str | None, shingle: int, join, lanes: int = 1) -> list[int]:
+    """SimHashes of the text's word shingles, 64 bits a lane, as signed integers. The first lane takes the shingles' hashes as they are."""
     lowered = bytes(text or "", "utf-8").translate(_LOWER).split()  # bytes.split() takes ASCII white space only
     if not lowered:
-        return 0
+        return [0] * lanes
+    line = b" ".join(lowered)
     if len(lowered) <= shingle:
-        starts, ends, line = [0], [sum(map(len, lowered)) + len(lowered) - 1], b" ".join(lowered)
+        starts, ends = [0], [len(line)]
     else:
-        line = b" ".join(lowered)
         size = np.fromiter(map(len, lowered), np.int64, len(lowered)) + 1
         end = np.cumsum(size)
         starts, ends = (end - size)[: len(lowered) - shingle + 1].tolist(), (end[shingle - 1 :] - 1).tolist()
-    total, n = np.zeros(64, np.int64), len(starts)
+    total, n = np.zeros((lanes, 64), np.int64), len(starts)
     for at in range(0, n, 1 << 16):  # bounds the unpacked bits of very long texts
         part = np.fromiter([join(line[a:b], SEED) for a, b in zip(starts[at : at + (1 << 16)], ends[at : at + (1 << 16)], strict=True)], np.uint64)
-        total += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = np.packbits(2 * total > n, bitorder="little")
-    return int(bits.view("<i8")[0])
+        for lane in range(lanes):
+            h = mix(part + np.uint64(lane) * MIX_A) if lane else part
+            total[lane] += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    bits = np.packbits(2 * total > n, axis=1, bitorder="little")
+    return bits.view("<i8").ravel().tolist()
 
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
-def fingerprints(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc (null ids as the largest), text_hash and fp of each row."""
+def fingerprints(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str = "text", lanes: int = 1) -> DataFrame:
+    """doc (null ids as the largest), text_hash and the lanes fp, fp1, … of each row."""
+    names = ["fp", *[f"fp{i}" for i in range(1, lanes)]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
-            fp = [fingerprint(t.as_py(), shingle, xxhash.xxh64_intdigest) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fp, pa.int64())], ["doc", "text_hash", "fp"])
+            with np.errstate(over="ignore"):
+                fps = [fingerprint(t.as_py(), shingle, xxhash.xxh64_intdigest, lanes) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *[pa.array([f[i] for f in fps], pa.int64()) for i in range(lanes)]], ["doc", "text_hash", *names])
 
     narrow = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
-    return narrow.mapInArrow(run, "doc long, text_hash long, fp long")
+    return narrow.mapInArrow(run, "doc long, text_hash long, " + ", ".join(f"{n} long" for n in names))
 
 
 def embedding(fp: Column) -> Column:
@@ -153,16 +171,55 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def _resolved(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """doc, text_hash, fp, root (of the component, a fingerprint) and component (its smallest doc) of each row."""
-    points = written(fingerprints(docs, shingle, id_col, text_col), "simhash-points")
-    first = written(points.groupBy("fp").agg(F.min("doc").alias("first")), "simhash-first")
-    roots = components(links(first))
-    rooted = first.join(roots, first.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+def _flip_rate(similarity: float) -> float:
+    """The share of bits in which texts of a Jaccard similarity differ: the angle between their shingle vectors, over pi."""
+    return acos(2 * similarity / (1 + similarity)) / pi
+
+
+def similar_links(points: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """a, b: links between the nodes of ``points`` (node, fp, fp1, …; one row each) whose fingerprints are as close as those of similar texts."""
+    rate, width = _flip_rate(similarity), 64 * LANES
+    most = int(width * rate + SPREADS * sqrt(width * rate * (1 - rate)))
+    n = points.count()
+    bits = min(48, max(12, ceil(log2(max(2, n))) + 2))
+    grids = ceil(log(1 - RECALL) / log(1 - (1 - rate) ** bits))
+    rng = Random(SEED)
+    masks = []
+    for _ in range(grids):
+        lanes = [0] * LANES
+        for at in rng.sample(range(width), bits):
+            lanes[at // 64] |= 1 << at % 64
+        masks.append(F.struct(*[F.lit(_signed(m)).alias(f"m{i}") for i, m in enumerate(lanes)]))
+    names = ["fp", *[f"fp{i}" for i in range(1, LANES)]]
+    parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = points.repartition(parts, "node").select("node", *names, F.posexplode(F.array(*masks)).alias("grid", "m"))
+    cells = spread.select("node", F.xxhash64("grid", *[F.col(f).bitwiseAND(F.col(f"m.m{i}")) for i, f in enumerate(names)]).alias("cell"))
+    pick = F.min_by("node", F.xxhash64("cell", "node"))
+    sizes = written(cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), pick.alias("leader")).where("n > 1"), "similar-cells")
+    shared = written(cells.join(sizes.hint("merge"), "cell"), "similar-shared")
+    small = shared.where(F.col("n") <= CELL_PAIRS)
+    left, right = small.select("cell", F.col("node").alias("a")), small.select("cell", F.col("node").alias("b"))
+    pairs = left.join(right.hint("merge"), "cell").where("a < b").select("a", "b")
+    stars = shared.where((F.col("n") > CELL_PAIRS) & (F.col("node") != F.col("leader"))).select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
+    pairs = pairs.unionByName(stars).distinct()
+    of = lambda side: points.select(F.col("node").alias(side), *[F.col(f).alias(f"{side}_{f}") for f in names])
+    held = pairs.join(of("a"), "a").join(of("b"), "b")
+    apart = sum((F.bit_count(F.col(f"a_{f}").bitwiseXOR(F.col(f"b_{f}"))) for f in names), F.lit(0))
+    return held.where(apart <= most).select("a", "b")
+
+
+def _resolved(docs: DataFrame, shingle: int, id_col: str, text_col: str, similarity: float | None = None) -> DataFrame:
+    """doc, text_hash, fp, root (of the component, a node) and component (its smallest doc) of each row. Nodes are fingerprints, or hashes of wide ones."""
+    points = fingerprints(docs, shingle, id_col, text_col, lanes=1 if similarity is None else LANES)
+    lanes = points.columns[2:]
+    points = written(points.withColumn("node", F.col("fp") if similarity is None else F.xxhash64(*lanes)), "simhash-points")
+    first = written(points.groupBy("node").agg(F.min("doc").alias("first"), *[F.first(f).alias(f) for f in lanes]), "simhash-first")
+    roots = components(links(first) if similarity is None else similar_links(first.drop("first"), similarity))
+    rooted = first.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     named = written(rooted, "simhash-rooted")
     smallest = written(named.groupBy("root").agg(F.min("first").alias("component")), "simhash-smallest")
-    by_fp = written(named.join(smallest, "root").select("fp", "root", "component"), "simhash-components")
-    return points.join(by_fp, "fp")
+    by_node = written(named.join(smallest, "root").select("node", "root", "component"), "simhash-components")
+    return points.join(by_node, "node")
 
 
 def near_duplicate_groups(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -177,12 +234,12 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 4, id_col: str = "doc_
     )
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each near-duplicate component, that of the smallest id; all columns stay.
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each component of similar texts, that of the smallest id; all columns stay.
 
     Of several rows with the smallest id of one component, one stays.
     """
-    resolved = _resolved(docs, shingle, id_col, text_col).where("doc = component")
+    resolved = _resolved(docs, shingle, id_col, text_col, similarity).where("doc = component")
     doc, text_hash, root, n, row = fresh(docs, "doc", "text_hash", "root", "n", "row")
     chosen = resolved.groupBy("doc", "root").agg(F.count(F.lit(1)).alias("n"), F.min("text_hash").alias("text_hash"))
     chosen = written(chosen.select(F.col("doc").alias(doc), F.col("root").alias(root), F.col("text_hash").alias(text_hash), F.col("n").alias(n)), "simhash-kept")
