@@ -218,6 +218,26 @@ def test_near_duplicates(spark):
     assert got == {i: (f"{p:016x}", expected[i]) for i, p in points}
 
 
+def test_similar_texts(spark, monkeypatch):
+    """Copies with edits down to a similarity of 0.8 meet, in small and in crowded cells; other texts don't."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(4))
+    texts, source = [], []
+    for k, copies in enumerate([1] * 30 + [3] * 8 + [40]):
+        base = [word() for _ in range(300)]
+        for c in range(copies):
+            w = list(base)
+            for at in rng.sample(range(0, 300, 6), 5 if c else 0):  # about 25 of 296 shingles change
+                w[at] = word()
+            texts.append(" ".join(w))
+            source.append(k)
+    left = sorted(r.doc_id for r in simhash.drop_near_duplicates(frame(spark, texts)).collect())
+    first = [source.index(k) for k in range(max(source) + 1)]
+    assert set(first) <= set(left) and len(left) <= len(first) + 2
+    groups = simhash._resolved(frame(spark, texts), 5, "doc_id", "text", 0.8).collect()
+    assert all(source[r.component] == source[r.doc] for r in groups)
+
+
 def test_near_odd_rows(spark):
     df = frame(spark, ["a b c d e f", "a b c d e f", "a b c d e f", None, "q r s t u v w"], [2, 2, None, None, 9])
     got = sorted(((r.doc_id, r.component_id) for r in simhash.near_duplicate_groups(df).collect()), key=repr)
