@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from logweave.llm.common import fresh, table
 from logweave.llm.token_counts import pieces, tokenizer_path, word_splitter
 
-KNOWN_ENTRIES, KNOWN_PIECE = 300_000, 64
+KNOWN_ENTRIES, KNOWN_PIECE = 700_000, 64
 
 
 def byte_letters() -> list[str]:
