@@ -19,7 +19,7 @@ bits fit a long, so prefixes and suffixes are shifts and masks.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -131,8 +131,8 @@ class KneserNey:
         return below.select("lang", F.col("suffix").alias("gram"), F.log("below").alias("log_p"))
 
 
-def _by_table(narrow: DataFrame, scores: DataFrame, order: int) -> DataFrame:
-    """key, n, total of log_p for each row of ``narrow`` (key, lang, text), from a broadcast table."""
+def _by_table(scores: DataFrame, order: int) -> Callable[[DataFrame], DataFrame]:
+    """A function that adds score (n, total of log_p) to frames with lang and text, from a broadcast table."""
     tables: dict[str, tuple[np.ndarray, np.ndarray]] = {}
     arrow = scores.orderBy("lang", "gram").toArrow()  # within max_score_bytes, as the caller has measured
     lang, gram, log_p = arrow.column(0).to_numpy(), arrow.column(1).to_numpy(), arrow.column(2).to_numpy().astype(np.float32)
@@ -140,7 +140,7 @@ def _by_table(narrow: DataFrame, scores: DataFrame, order: int) -> DataFrame:
     for a, b in zip(np.r_[0, edges].astype(int), np.r_[edges, len(lang)].astype(int), strict=True):
         if b > a:
             tables[str(lang[a])] = (gram[a:b].copy(), log_p[a:b].copy())
-    sent = narrow.sparkSession.sparkContext.broadcast(tables)
+    sent = scores.sparkSession.sparkContext.broadcast(tables)
 
     @F.pandas_udf("struct<n long, total double>")
     def score(langs: pd.Series, texts: pd.Series) -> pd.DataFrame:
@@ -156,23 +156,26 @@ def _by_table(narrow: DataFrame, scores: DataFrame, order: int) -> DataFrame:
             total.append(float(t[1][np.searchsorted(t[0], gram)].sum(dtype=np.float64)))
         return pd.DataFrame({"n": n, "total": total})
 
-    return narrow.withColumn("score", score("lang", "text"))
+    return lambda frame: frame.withColumn("score", score("lang", "text"))
 
 
-def _by_join(narrow: DataFrame, scores: DataFrame, order: int) -> DataFrame:
+def _by_join(scores: DataFrame, order: int) -> Callable[[DataFrame], DataFrame]:
     """As _by_table(), through a join of each text's distinct n-grams with the sharded scores."""
 
     @F.pandas_udf("array<struct<gram long, n long>>")
     def counted(texts: pd.Series) -> pd.Series:
         return pd.Series([[{"gram": int(g), "n": int(n)} for g, n in zip(*np.unique(grams(t, order), return_counts=True), strict=True)] if t else [] for t in texts])
 
-    keyed = narrow.withColumn("row_no", F.monotonically_increasing_id())
-    each = keyed.select("row_no", "lang", F.explode(counted("text")).alias("g")).select("row_no", "lang", "g.gram", "g.n")
-    sums = each.join(scores, ["lang", "gram"]).groupBy("row_no").agg(F.struct(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("log_p").cast("float")).alias("total")).alias("score"))
-    return keyed.join(sums, "row_no", "left").drop("row_no")
+    def add(frame: DataFrame) -> DataFrame:
+        keyed = frame.withColumn("row_no", F.monotonically_increasing_id())
+        each = keyed.select("row_no", "lang", F.explode(counted("text")).alias("g")).select("row_no", "lang", "g.gram", "g.n")
+        sums = each.join(scores, ["lang", "gram"]).groupBy("row_no").agg(F.struct(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("log_p").cast("float")).alias("total")).alias("score"))
+        return keyed.join(sums, "row_no", "left").drop("row_no")
 
+    return add
 
-def perplexities(docs: DataFrame, trusted_ids: DataFrame, order: int = ORDER, quantile: float = QUANTILE, slack: float = SLACK, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_score_bytes: int = 256 << 20) -> DataFrame:
+
+def perplexities(docs: DataFrame, trusted_ids: DataFrame, order: int = ORDER, quantile: float = QUANTILE, slack: float = SLACK, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_score_bytes: int = 64 << 20) -> DataFrame:
     """``docs`` with perplexity, threshold and accepted under names that ``docs`` doesn't have; the frame's ``added`` attribute tells them.
 
     ``trusted_ids`` has one column of ids. A null language is one language of its own. Texts that are null
@@ -187,15 +190,14 @@ def perplexities(docs: DataFrame, trusted_ids: DataFrame, order: int = ORDER, qu
     model = KneserNey(narrow.join(train, narrow.id == train.trusted_id, "left_semi"), order)
     wanted = written(gram_counts(narrow, order).select("lang", "gram"), "kn-wanted")
     scores = model.scores(wanted)
-    p_col, t_col, a_col, row, lang_key, flag, score_col = fresh(docs, "perplexity", "threshold", "accepted", "row", "lang_key", "trusted_flag", "score")
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), lang.alias("lang"), text.alias("text"))
-    by = _by_table if scores.count() * 12 <= max_score_bytes else _by_join
+    p_col, t_col, a_col = fresh(docs, "perplexity", "threshold", "accepted")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), lang.alias("lang"), text.alias("text"))
+    add_score = (_by_table if scores.count() * 12 <= max_score_bytes else _by_join)(scores, order)
     perplexity = F.when(F.col("score.n") > 0, F.exp(-F.col("score.total") / F.col("score.n")))
-    scored = by(narrow, scores, order).select("id", "lang", perplexity.alias("p"))
-    scored = written(scored, "kn-perplexities")
-    limits = scored.join(held, scored.id == held.trusted_id, "left_semi").groupBy("lang").agg((F.percentile_approx("p", quantile, 20_000) * slack).alias("limit"))
+    unseen = add_score(narrow.join(held, narrow.id == held.trusted_id, "left_semi")).select("lang", perplexity.alias("p"))
+    limits = unseen.groupBy("lang").agg((F.percentile_approx("p", quantile, 20_000) * slack).alias("limit"))
     limits = bounded(written(limits.where("limit IS NOT NULL"), "kn-limits"), F.octet_length("lang"))
-    out = by(whole, scores, order).join(limits.withColumnRenamed("lang", "limit_lang"), F.col("lang") == F.col("limit_lang"), "left")
+    out = add_score(whole).join(limits.withColumnRenamed("lang", "limit_lang"), F.col("lang") == F.col("limit_lang"), "left")
     out = out.select("row", perplexity.alias("p"), F.col("limit"), F.col("text"))
     accepted = F.coalesce(F.octet_length("text") > 0, F.lit(False)) & F.coalesce(F.col("p") <= F.col("limit"), F.lit(True))
     out = out.select("row.*", F.col("p").alias(p_col), F.col("limit").alias(t_col), accepted.alias(a_col))
