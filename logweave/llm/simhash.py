@@ -123,7 +123,7 @@ def _first_grid(x: Column) -> Column:
 def links(points: DataFrame) -> DataFrame:
     """a, b: links that give the components of all pairs of distinct fp within RADIUS bits. Pairs of small cells are all there; crowded ones by way of a smallest member."""
     parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    fp = points.select("fp").distinct().repartition(parts, "fp")  # the rows are few, their 70 cells each are not
+    fp = points.select("fp").distinct().repartition(parts)  # the rows are few, their 70 cells each are not
     cells = fp.withColumn("e", embedding(F.col("fp"))).select("fp", "e", F.posexplode(_cells(F.col("e"))).alias("grid", "cell"))
     sizes = written(cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "simhash-cells")
     shared = written(cells.join(sizes.hint("merge"), "cell"), "simhash-shared")
