@@ -135,3 +135,37 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP9_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), i AS (
+  SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), iw AS (
+  SELECT DISTINCT item_id, least(10, len(w)) AS n, unnest(list_transform(range(1, len(w) - least(10, len(w)) + 2), lambda s: array_to_string(w[s:s + least(10, len(w)) - 1], ' '))) AS k FROM i WHERE len(w) > 0
+), dw AS (
+  SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS s, unnest(list_transform(range(1, len(w) - n + 2), lambda s: array_to_string(w[s:s + n - 1], ' '))) AS k
+  FROM d, (SELECT DISTINCT n FROM iw) WHERE len(w) >= n
+), m AS (
+  SELECT doc_id, s, dw.n, item_id FROM dw JOIN iw ON dw.n = iw.n AND dw.k = iw.k
+), hit AS (
+  SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS j FROM (SELECT DISTINCT doc_id, s, n FROM m)) GROUP BY doc_id
+), who AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT doc_id, item_id FROM m) GROUP BY doc_id
+), dp AS (
+  SELECT doc_id, unnest(range(1, len(w))) AS pos, unnest(list_transform(range(1, len(w)), lambda s: w[s] || ' ' || w[s + 1])) AS pair FROM d WHERE len(w) > 1
+), ip AS (
+  SELECT item_id, unnest(range(1, len(w))) AS j, unnest(list_transform(range(1, len(w)), lambda s: w[s] || ' ' || w[s + 1])) AS pair FROM i WHERE len(w) > 1
+), f AS (
+  SELECT pair, count(*) AS c FROM dp WHERE pair IN (SELECT pair FROM ip) GROUP BY pair
+), two AS (
+  SELECT item_id, j, pair, row_number() OVER (PARTITION BY item_id ORDER BY c, j) AS r FROM ip JOIN f USING (pair) QUALIFY r <= 2
+), near AS (
+  SELECT a.doc_id, count(DISTINCT t.item_id) AS n_near
+  FROM two t JOIN two u ON t.item_id = u.item_id AND t.r = 1 AND u.r = 2 JOIN dp a ON a.pair = t.pair JOIN dp b ON b.pair = u.pair AND a.doc_id = b.doc_id
+  WHERE abs((a.pos - t.j) - (b.pos - u.j)) <= 5 GROUP BY a.doc_id
+)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0) AS n_near
+FROM d LEFT JOIN hit ON d.doc_id = hit.doc_id LEFT JOIN who ON d.doc_id = who.doc_id LEFT JOIN near ON d.doc_id = near.doc_id
+"""

@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": exact_dedup.OP5_SQL}
+    return {"op1_substring_dedup": substring_dedup.OP1_SQL, "op5_exact_dedup": exact_dedup.OP5_SQL, "op9_decontaminate": decontaminate.OP9_SQL}
