@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from logweave.functions import scalars as S
 from logweave.model import EVENT_LOGS_SQL, LogFilter, event_logs
@@ -445,6 +446,73 @@ def fold_and_totals(spark, sf_dir):
     return c.groupBy(F.col("c_mktsegment").alias("lane")).agg(F.min("c_custkey").alias("first_key"), F.max("c_custkey").alias("last_key"), F.sum(F.octet_length("c_name")).alias("n_bytes"))
 
 
+# --- small forms -----------------------------------------------------------------------
+
+
+@query(f"WITH {EVENT_LOGS_SQL} SELECT tx_hash, lower(to_hex(block_number)) AS block_hex, block_number FROM logs")
+def hex_numbers(spark, sf_dir):
+    """Numbers to hex text and back."""
+    logs = event_logs(spark, sf_dir).select("tx_hash", F.lower(F.hex("block_number")).alias("block_hex"))
+    return logs.withColumn("block_number", F.conv("block_hex", 16, 10).cast("long"))
+
+
+@query("SELECT c_custkey, base64(encode(c_name)) AS packed, c_name AS unpacked FROM customer")
+def base64_round_trip(spark, sf_dir):
+    packed = table(spark, sf_dir, "customer").select("c_custkey", F.base64(F.encode("c_name", "utf-8")).alias("packed"))
+    return packed.withColumn("unpacked", F.decode(F.unbase64("packed"), "utf-8"))
+
+
+@query("SELECT c_custkey, c_mktsegment, CAST(NULL AS VARCHAR) AS missing FROM customer")
+def pick_fields(spark, sf_dir):
+    """A field that isn't there is null; dropping one that isn't there changes nothing."""
+    return table(spark, sf_dir, "customer").drop("c_name", "no_such_field").select("c_custkey", "c_mktsegment", F.lit(None).cast("string").alias("missing"))
+
+
+@query("SELECT user_id, arg_min(event_id, {'p': event_id % 7, 's': event_id}) AS next_seq FROM events GROUP BY user_id")
+def next_by_priority(spark, sf_dir):
+    """Of each queue the job of least priority value, first come first served."""
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.min_by("event_id", F.struct(F.col("event_id") % 7, "event_id")).alias("next_seq"))
+
+
+@query("SELECT event_type, arg_min(user_id, {'p': -(event_id % 5), 'd': epoch_us(ts)}) AS next_key FROM events GROUP BY event_type")
+def next_flush(spark, sf_dir):
+    """Of each store the key of highest flush priority, earliest deadline first."""
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.min_by("user_id", F.struct(-(F.col("event_id") % 5), F.unix_micros(F.col("ts").cast("timestamp")))).alias("next_key"))
+
+
+@query(f"WITH {EVENT_LOGS_SQL}, tip AS (SELECT max(block_number) - 7 AS tip FROM logs) SELECT DISTINCT block_number // {BIN} * {BIN} AS bin_start FROM logs, tip WHERE block_number // {BIN} * {BIN} + {BIN - 1} <= tip")
+def cold_bins(spark, sf_dir):
+    """Bins that the tip has passed: only these can be stored."""
+    logs = event_logs(spark, sf_dir)
+    tip = tip_of(logs) - 7
+    return B.bin_logs(logs, BIN).where(F.col("bin_start") + BIN - 1 <= tip).select("bin_start").distinct()
+
+
+@query(f"WITH {TRACE}, e AS (SELECT user_id, seq, arrival_us, max(arrival_us + duration_us) OVER (PARTITION BY user_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS until FROM x) SELECT user_id, seq, greatest(arrival_us, coalesce(until, arrival_us)) AS released_us FROM e")
+def flush_barrier(spark, sf_dir):
+    """When a flush asked for with each request is released: once all work accepted before it has ended."""
+    w = Window.partitionBy("user_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    until = F.max(F.col("arrival_us") + F.col("duration_us")).over(w)
+    return trace(spark, sf_dir).select("user_id", "seq", F.greatest("arrival_us", F.coalesce(until, F.col("arrival_us"))).alias("released_us"))
+
+
+@query("WITH e AS (SELECT user_id, event_id, value, epoch_us(ts) AS t, max(epoch_us(ts)) OVER () AS tip FROM events) SELECT user_id, count(*) AS n_fresh, max(event_id) AS last_seq FROM e WHERE tip - t <= 86400000000 GROUP BY user_id")
+def stale_drop(spark, sf_dir):
+    """Buffered writes that are younger than a day at the last event."""
+    t = trace(spark, sf_dir)
+    now = t.agg(F.max("arrival_us")).first()[0]
+    return t.where(F.lit(now) - F.col("arrival_us") <= 86_400_000_000).groupBy("user_id").agg(F.count(F.lit(1)).alias("n_fresh"), F.max("seq").alias("last_seq"))
+
+
+@query("WITH w AS (SELECT conv_id, turn, strlen(role) + strlen(text) + strlen('{\"role\":\"\",\"text\":\"\",\"ref\":null}') AS n FROM conversations) SELECT conv_id, count(*) AS n_turns, CAST(sum(n) AS BIGINT) AS n_bytes FROM w GROUP BY conv_id")
+def json_sizes(spark, sf_dir):
+    """Bytes of each conversation's turns as JSON objects of role, text and a null ref."""
+    turn = F.struct("role", "text", F.lit(None).cast("string").alias("ref"))
+    kind = T.StructType([T.StructField(n, T.StringType()) for n in ("role", "text", "ref")])
+    sized = table(spark, sf_dir, "conversations").select("conv_id", S.estimate_bytes(turn, kind).alias("n"))
+    return sized.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_turns"), F.sum("n").alias("n_bytes"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cached_range_query(spark, sf_dir)
 
