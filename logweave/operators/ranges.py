@@ -13,11 +13,6 @@ def in_range(block: Column, low: Column | int, high: Column | int) -> Column:
     return F.coalesce(block.between(low, high), F.lit(False))
 
 
-def bin_of(block: Column, size: int) -> Column:
-    """The number of the bin that holds a block."""
-    return F.floor((block - F.pmod(block, F.lit(size))) / F.lit(size)).cast(LONG)
-
-
 def align_down(block: Column, size: int) -> Column:
     return (block - F.pmod(block, F.lit(size))).cast(LONG)
 
