@@ -18,36 +18,34 @@ each such fingerprint, whatever the cell's size, spread evenly over tasks.
 
 Equal fingerprints are one point from the start. Links are followed to components by alternating stars.
 
-A radius of four bits of 64 stands for nearly equal texts. Texts whose shingle sets are similar to 0.8 lie
-about ten bits apart, too far for exact grids. For them the fingerprint has 256 bits and segments are one
-bit wide, so that the Manhattan distance of two embeddings is their Hamming distance. Grids are random
-choices of coordinates: so many, of so many bits, that a pair at the wanted similarity meets in one of them
-with probability RECALL, and that cells of unrelated texts stay nearly empty whatever the number of
-documents. Cells of up to CELL_PAIRS points give pairs; the points of larger ones are paired with one
-member that a hash of the cell picks, another one in each grid. Every pair is verified by its distance.
+A radius of four bits of 64 stands for nearly equal texts. Texts whose shingle sets are similar to 0.8 are
+found by an exact join of the sets. Shingles have one order for all texts, those that a sample of the texts
+shows as common last; two sets of that similarity share one of the first fifth of their shingles (and one
+more), so each of these makes a cell. Places in the sets bound the overlap of a cell's pair, and every pair
+left is verified by the similarity of the two sets. Only components are wanted: the members of crowded cells
+are held against their smallest member first, and then all pairs of a cell that are not in one component
+yet, crowded cells block against block. No pair is left out.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from fractions import Fraction
 from itertools import combinations
-from math import acos, ceil, log, log2, pi, sqrt
-from random import Random
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from logweave.llm.common import NULL_ID, fresh, table, written
-from logweave.llm.substring_dedup import MIX_A, mix
+from logweave.llm.common import NULL_ID, bounded, fresh, table, written
 
 #: The hash seed of the fingerprints, and the grid for a radius of four.
 SEED, RADIUS, GROUPS = 42, 4, 8
 CELL_ROWS = 64
-#: The wide fingerprint: longs, the chance that a grid shows a pair of the wanted similarity, and the largest cell that gives all its pairs.
-LANES, RECALL, CELL_PAIRS = 4, 0.97, 8
-SIMILARITY, SPREADS = 0.8, 2.0
+#: Similar texts: the wanted similarity, the largest cell without a first round, the members of a block, and the order's sample and length.
+SIMILARITY, CELL_PAIRS, BLOCK = 0.8, 8, 256
+SAMPLE_ROWS, SAMPLE_SHARE, COMMON = 50_000, 16, 1 << 19
 GRIDS = list(combinations(range(GROUPS), GROUPS - RADIUS))
 
 
@@ -55,45 +53,52 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def fingerprint(text: str | None, shingle: int, join, lanes: int = 1) -> list[int]:
-    """SimHashes of the text's word shingles, 64 bits a lane, as signed integers. The first lane takes the shingles' hashes as they are."""
+def _shingle_places(text: str | None, shingle: int) -> tuple[bytes, list[int], list[int]]:
+    """The text's words in one line, and the start and end of each shingle in it."""
     lowered = bytes(text or "", "utf-8").translate(_LOWER).split()  # bytes.split() takes ASCII white space only
-    if not lowered:
-        return [0] * lanes
     line = b" ".join(lowered)
     if len(lowered) <= shingle:
-        starts, ends = [0], [len(line)]
-    else:
-        size = np.fromiter(map(len, lowered), np.int64, len(lowered)) + 1
-        end = np.cumsum(size)
-        starts, ends = (end - size)[: len(lowered) - shingle + 1].tolist(), (end[shingle - 1 :] - 1).tolist()
-    total, n = np.zeros((lanes, 64), np.int64), len(starts)
+        return line, [0] * bool(lowered), [len(line)] * bool(lowered)
+    size = np.fromiter(map(len, lowered), np.int64, len(lowered)) + 1
+    end = np.cumsum(size)
+    return line, (end - size)[: len(lowered) - shingle + 1].tolist(), (end[shingle - 1 :] - 1).tolist()
+
+
+def fingerprint(text: str | None, shingle: int, join) -> int:
+    """SimHash of the text's word shingles, as a signed integer."""
+    line, starts, ends = _shingle_places(text, shingle)
+    total, n = np.zeros(64, np.int64), len(starts)
     for at in range(0, n, 1 << 16):  # bounds the unpacked bits of very long texts
         part = np.fromiter([join(line[a:b], SEED) for a, b in zip(starts[at : at + (1 << 16)], ends[at : at + (1 << 16)], strict=True)], np.uint64)
-        for lane in range(lanes):
-            h = mix(part + np.uint64(lane) * MIX_A) if lane else part
-            total[lane] += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = np.packbits(2 * total > n, axis=1, bitorder="little")
-    return bits.view("<i8").ravel().tolist()
+        total += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * total > n, bitorder="little").view("<i8")[0])
+
+
+def shingle_set(text: str | None, shingle: int, join) -> np.ndarray:
+    """Hashes of the text's distinct word shingles, ascending."""
+    line, starts, ends = _shingle_places(text, shingle)
+    return np.unique(np.fromiter([join(line[a:b], SEED) for a, b in zip(starts, ends, strict=True)], np.uint64, len(starts)).view(np.int64))
 
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
-def fingerprints(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str = "text", lanes: int = 1) -> DataFrame:
-    """doc (null ids as the largest), text_hash and the lanes fp, fp1, … of each row."""
-    names = ["fp", *[f"fp{i}" for i in range(1, lanes)]]
+def _narrow(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc (null ids as the largest), text and text_hash of each row."""
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
+
+
+def fingerprints(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc (null ids as the largest), text_hash and fp of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
-            with np.errstate(over="ignore"):
-                fps = [fingerprint(t.as_py(), shingle, xxhash.xxh64_intdigest, lanes) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *[pa.array([f[i] for f in fps], pa.int64()) for i in range(lanes)]], ["doc", "text_hash", *names])
+            fps = [fingerprint(t.as_py(), shingle, xxhash.xxh64_intdigest) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps, pa.int64())], ["doc", "text_hash", "fp"])
 
-    narrow = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
-    return narrow.mapInArrow(run, "doc long, text_hash long, " + ", ".join(f"{n} long" for n in names))
+    return _narrow(docs, id_col, text_col).mapInArrow(run, "doc long, text_hash long, fp long")
 
 
 def embedding(fp: Column) -> Column:
@@ -171,50 +176,119 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def _flip_rate(similarity: float) -> float:
-    """The share of bits in which texts of a Jaccard similarity differ: the angle between their shingle vectors, over pi."""
-    return acos(2 * similarity / (1 + similarity)) / pi
-
-
-def similar_links(points: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """a, b: links between the nodes of ``points`` (node, fp, fp1, …; one row each) whose fingerprints are as close as those of similar texts."""
-    rate, width = _flip_rate(similarity), 64 * LANES
-    most = int(width * rate + SPREADS * sqrt(width * rate * (1 - rate)))
-    n = points.count()
-    bits = min(48, max(12, ceil(log2(max(2, n))) + 2))
-    grids = ceil(log(1 - RECALL) / log(1 - (1 - rate) ** bits))
-    rng = Random(SEED)
-    masks = []
-    for _ in range(grids):
-        lanes = [0] * LANES
-        for at in rng.sample(range(width), bits):
-            lanes[at // 64] |= 1 << at % 64
-        masks.append(F.struct(*[F.lit(_signed(m)).alias(f"m{i}") for i, m in enumerate(lanes)]))
-    names = ["fp", *[f"fp{i}" for i in range(1, LANES)]]
-    parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = points.repartition(parts, "node").select("node", *names, F.posexplode(F.array(*masks)).alias("grid", "m"))
-    cells = spread.select("node", F.xxhash64("grid", *[F.col(f).bitwiseAND(F.col(f"m.m{i}")) for i, f in enumerate(names)]).alias("cell"))
-    pick = F.min_by("node", F.xxhash64("cell", "node"))
-    sizes = written(cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), pick.alias("leader")).where("n > 1"), "similar-cells")
-    shared = written(cells.join(sizes.hint("merge"), "cell"), "similar-shared")
-    small = shared.where(F.col("n") <= CELL_PAIRS)
-    left, right = small.select("cell", F.col("node").alias("a")), small.select("cell", F.col("node").alias("b"))
-    pairs = left.join(right.hint("merge"), "cell").where("a < b").select("a", "b")
-    stars = shared.where((F.col("n") > CELL_PAIRS) & (F.col("node") != F.col("leader"))).select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
-    pairs = pairs.unionByName(stars).distinct()
-    of = lambda side: points.select(F.col("node").alias(side), *[F.col(f).alias(f"{side}_{f}") for f in names])
-    held = pairs.join(of("a"), "a").join(of("b"), "b")
-    apart = sum((F.bit_count(F.col(f"a_{f}").bitwiseXOR(F.col(f"b_{f}"))) for f in names), F.lit(0))
-    return held.where(apart <= most).select("a", "b")
+def _common_shingles(narrow: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most common shingles of a sample of the texts, ascending, and their counts. They order the shingles and decide on no pair."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in batches:
+            for t in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t.as_py(), shingle, xxhash.xxh64_intdigest))], ["token"])
+
+    share = min(SAMPLE_SHARE, max(1, narrow.count() // SAMPLE_ROWS))
+    some = narrow.where(F.pmod("text_hash", F.lit(share)) == 0).select("text")
+    counts = some.mapInArrow(run, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    most = counts.orderBy(F.desc("n"), "token").limit(COMMON).toArrow()
+    token, n = most.column(0).to_numpy(), most.column(1).to_numpy()
+    order = np.argsort(token)
+    return token[order], n[order].astype(np.int32)
+
+
+def _prefixes(narrow: DataFrame, shingle: int, similarity: Fraction) -> DataFrame:
+    """doc, text_hash, node (a hash of the shingle set), size of the set and its first shingles, of each row."""
+    sent = narrow.sparkSession.sparkContext.broadcast(_common_shingles(narrow, shingle))
+    num, den = similarity.as_integer_ratio()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        common, count = sent.value
+        for batch in batches:
+            nodes, sizes, first = [], [], []
+            for t in batch.column(1):
+                h = shingle_set(t.as_py(), shingle, xxhash.xxh64_intdigest)
+                nodes.append(_signed(xxhash.xxh64_intdigest(h.tobytes(), SEED)))
+                sizes.append(len(h))
+                if len(common) and len(h):
+                    at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+                    h = h[np.argsort(np.where(common[at] == h, count[at], 0), kind="stable")]
+                first.append(h[: len(h) + (-num * len(h) // den) + 1])
+            columns = [batch.column(0), batch.column(2), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(first, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc", "text_hash", "node", "size", "prefix"])
+
+    return narrow.mapInArrow(run, "doc long, text_hash long, node long, size int, prefix array<long>")
+
+
+def _shingle_sets(narrow: DataFrame, shingle: int, rows: DataFrame) -> DataFrame:
+    """node and its whole set, for the nodes of ``rows`` (doc, text_hash, node)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in batches:
+            sets = [shingle_set(t.as_py(), shingle, xxhash.xxh64_intdigest) for t in batch.column(0)]
+            nodes = [_signed(xxhash.xxh64_intdigest(h.tobytes(), SEED)) for h in sets]
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
+
+    wanted = narrow.join(bounded(rows, F.lit(16)), ["doc", "text_hash"], "left_semi").select("text")
+    return wanted.mapInArrow(run, "node long, shingles array<long>").dropDuplicates(["node"])
+
+
+def similar_links(points: DataFrame, sets: Callable[[DataFrame], DataFrame], similarity: Fraction) -> DataFrame:
+    """a, b: links that give the components of all pairs of nodes whose sets are similar.
+
+    ``points`` has node, size and prefix, as of _prefixes(); ``sets`` gives node and shingles of the nodes of a frame.
+    """
+    num, den = similarity.as_integer_ratio()
+    by_token = Window.partitionBy("token")
+    cells = points.select("node", "size", F.posexplode("prefix").alias("pos", "token"))
+    cells = cells.select("*", F.min("node").over(by_token).alias("low"), F.max("node").over(by_token).alias("high")).where("low < high")
+    cells = cells.groupBy("token", "node").agg(F.min("size").alias("size"), F.min("pos").alias("pos"))
+    lead = F.min(F.struct("node", "size", "pos")).over(by_token)
+    cells = written(cells.select("*", F.count(F.lit(1)).over(by_token).alias("n"), lead.alias("lead")), "similar-cells")
+    # A pair's first common shingle leaves at most so many after it: the overlap of similar sets must fit in.
+    fits = lambda a, b: F.expr(f"{num + den} * least({a}size - {a}pos, {b}size - {b}pos) >= {num} * ({a}size + {b}size)")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        whole = written(sets(nodes), "similar-sets")
+        of = lambda side: whole.select(F.col("node").alias(side), F.col("shingles").alias(f"{side}_set"))
+        both = F.size(F.array_intersect("a_set", "b_set"))
+        held = pairs.join(of("a"), "a").join(of("b"), "b").where(both * (num + den) >= (F.size("a_set") + F.size("b_set")) * num)
+        return written(held.select("a", "b"), "similar-links")
+
+    stars = cells.where((F.col("n") > CELL_PAIRS) & (F.col("node") != F.col("lead.node")) & fits("", "lead."))
+    stars = written(stars.select(F.col("lead.node").alias("a"), F.col("node").alias("b")).distinct(), "similar-stars")
+    near = verified(stars)
+    roots = components(near)
+    cells = cells.drop("lead").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    cells = cells.select("*", F.min("root").over(by_token).alias("low"), F.max("root").over(by_token).alias("high")).where("low < high").drop("low", "high")
+    cells = cells.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    cells = written(cells.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "similar-open")
+    side = lambda x: F.struct("node", "root", "size", "pos").alias(x)
+    left = cells.select("token", F.col("block").alias("i"), F.explode(F.expr("sequence(block, blocks - 1)")).alias("j"), side("x"))
+    right = cells.select("token", F.explode(F.expr("sequence(0, block)")).alias("i"), F.col("block").alias("j"), side("y"))
+    pairs = left.join(right.hint("merge"), ["token", "i", "j"]).where("x.root <> y.root AND (i < j OR x.node < y.node)").where(fits("x.", "y."))
+    pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    pairs = written(pairs.join(stars, ["a", "b"], "left_anti"), "similar-pairs")
+    return near.unionByName(verified(pairs))
 
 
 def _resolved(docs: DataFrame, shingle: int, id_col: str, text_col: str, similarity: float | None = None) -> DataFrame:
-    """doc, text_hash, fp, root (of the component, a node) and component (its smallest doc) of each row. Nodes are fingerprints, or hashes of wide ones."""
-    points = fingerprints(docs, shingle, id_col, text_col, lanes=1 if similarity is None else LANES)
-    lanes = points.columns[2:]
-    points = written(points.withColumn("node", F.col("fp") if similarity is None else F.xxhash64(*lanes)), "simhash-points")
-    first = written(points.groupBy("node").agg(F.min("doc").alias("first"), *[F.first(f).alias(f) for f in lanes]), "simhash-first")
-    roots = components(links(first) if similarity is None else similar_links(first.drop("first"), similarity))
+    """doc, text_hash, root (of the component, a node) and component (its smallest doc) of each row. Nodes are fingerprints (also as fp), or hashes of shingle sets."""
+    if similarity is None:
+        points = fingerprints(docs, shingle, id_col, text_col)
+        points = written(points.withColumn("node", F.col("fp")), "simhash-points")
+        first = written(points.groupBy("node").agg(F.min("doc").alias("first"), F.first("fp").alias("fp")), "simhash-first")
+        roots = components(links(first))
+    else:
+        narrow, wanted = _narrow(docs, id_col, text_col), Fraction(similarity).limit_denominator(1000)
+        points = written(_prefixes(narrow, shingle, wanted), "similar-points")
+        first = written(points.groupBy("node").agg(F.min(F.struct("doc", "text_hash")).alias("row")).select("node", F.col("row.doc").alias("first"), "row.text_hash"), "similar-first")
+        rows = lambda nodes: first.join(nodes, "node").select(F.col("first").alias("doc"), "text_hash")
+        roots = components(similar_links(points, lambda nodes: _shingle_sets(narrow, shingle, rows(nodes)), wanted))
+        points = points.drop("size", "prefix")
     rooted = first.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     named = written(rooted, "simhash-rooted")
     smallest = written(named.groupBy("root").agg(F.min("first").alias("component")), "simhash-smallest")

@@ -238,6 +238,42 @@ def test_similar_texts(spark, monkeypatch):
     assert all(source[r.component] == source[r.doc] for r in groups)
 
 
+def brute_similar(texts, shingle=5):
+    """The smallest index reachable over pairs of similarity 0.8, of each text."""
+    sets = []
+    for t in texts:
+        w = space_words((t or "").lower())
+        sets.append({tuple(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))})
+    root = list(range(len(texts)))
+    for j, b in enumerate(sets):
+        for i, a in enumerate(sets[:j]):
+            if root[i] != root[j] and 9 * len(a & b) >= 4 * (len(a) + len(b)):
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    return dict(enumerate(root))
+
+
+def similar_components(spark, texts):
+    return {r.doc: r.component for r in simhash._resolved(frame(spark, texts).repartition(3), 5, "doc_id", "text", 0.8).collect()}
+
+
+def test_unlike_texts_stay(spark):
+    """Texts of a similarity below 0.8, and unlike ones with a much-repeated line, are kept; other repeat counts of one text are not."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(4))
+    base, line = [word() for _ in range(300)], [word() for _ in range(8)]
+    texts = []
+    for _ in range(30):
+        w = list(base)
+        for at in rng.sample(range(0, 300, 6), 8):
+            w[at] = word()
+        texts.append(" ".join(w))
+    texts += [" ".join(line * 60 + [word() for _ in range(60)]) for _ in range(5)]
+    texts += [" ".join(line * 3), " ".join(line * 30), " ".join(line * 7)]
+    got = similar_components(spark, texts)
+    assert got == brute_similar(texts) == {i: min(i, 35) for i in range(38)}
+
+
 def test_near_odd_rows(spark):
     df = frame(spark, ["a b c d e f", "a b c d e f", "a b c d e f", None, "q r s t u v w"], [2, 2, None, None, 9])
     got = sorted(((r.doc_id, r.component_id) for r in simhash.near_duplicate_groups(df).collect()), key=repr)
