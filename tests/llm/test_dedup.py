@@ -274,6 +274,27 @@ def test_unlike_texts_stay(spark):
     assert got == brute_similar(texts) == {i: min(i, 35) for i in range(38)}
 
 
+@pytest.mark.parametrize("cell,block", [(8, 256), (1, 2)])
+def test_similar_pairs_in_crowded_cells(spark, monkeypatch, cell, block):
+    """Texts that share half of their shingles, with planted pairs just above 0.8 and chains of them: as brute force has it."""
+    monkeypatch.setattr(simhash, "CELL_PAIRS", cell)
+    monkeypatch.setattr(simhash, "BLOCK", block, raising=False)
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(4))
+    shared, texts = [word() for _ in range(120)], []
+    for k in range(60):
+        w = shared + [word() for _ in range(60)]
+        texts.append(" ".join(w))
+        for _ in range((0, 1, 3)[k % 3]):
+            w = list(w)
+            for at in rng.sample(range(2, 178, 7), 3):
+                w[at] = word()
+            texts.append(" ".join(w))
+    rng.shuffle(texts)
+    got = similar_components(spark, texts)
+    assert got == brute_similar(texts) and len(set(got.values())) < len(texts)
+
+
 def test_near_odd_rows(spark):
     df = frame(spark, ["a b c d e f", "a b c d e f", "a b c d e f", None, "q r s t u v w"], [2, 2, None, None, 9])
     got = sorted(((r.doc_id, r.component_id) for r in simhash.near_duplicate_groups(df).collect()), key=repr)
