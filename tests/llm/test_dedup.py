@@ -295,6 +295,20 @@ def test_similar_pairs_in_crowded_cells(spark, monkeypatch, cell, block):
     assert got == brute_similar(texts) and len(set(got.values())) < len(texts)
 
 
+def test_similar_pairs_are_found_whatever_else_there_is(spark):
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(4))
+    texts = []
+    for _ in range(100):
+        w = [word() for _ in range(101)]
+        texts.append(" ".join(w))
+        texts.append(" ".join(w[:92] + [word() for _ in range(9)]))  # 88 of 97 shingles each: 0.83
+    want = brute_similar(texts)
+    assert similar_components(spark, texts) == want == {i: i - i % 2 for i in range(200)}
+    more = similar_components(spark, texts + [" ".join(word() for _ in range(60)) for _ in range(1500)])
+    assert {i: more[i] for i in want} == want
+
+
 def test_near_odd_rows(spark):
     df = frame(spark, ["a b c d e f", "a b c d e f", "a b c d e f", None, "q r s t u v w"], [2, 2, None, None, 9])
     got = sorted(((r.doc_id, r.component_id) for r in simhash.near_duplicate_groups(df).collect()), key=repr)
