@@ -10,8 +10,9 @@ upwards. The resolved scores go back to the texts in a table of 12 bytes an n-gr
 is within ``max_score_bytes`` and joined by a shuffle beyond it; both ways give the same perplexities.
 
 The trusted documents are dealt into two halves by a hash of their ids. The model is trained on all texts
-of one half; the limit of each language is a quantile of the other half's perplexities, which the model
-hasn't seen, times a small slack. A text is kept if its perplexity does not exceed its language's limit.
+of one half; the limit of each language comes from the other half's perplexities, which the model hasn't
+seen: in logarithms, the median plus SPREADS robust standard deviations (of the median absolute deviation),
+so that no odd trusted text sets it. A text is kept if its perplexity does not exceed its language's limit.
 
 Characters are code points below 4,095; all others are one symbol. n-grams of up to five symbols of 12
 bits fit a long, so prefixes and suffixes are shifts and masks.
@@ -20,6 +21,7 @@ bits fit a long, so prefixes and suffixes are shifts and masks.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from math import log
 
 import numpy as np
 import pandas as pd
@@ -31,7 +33,8 @@ from logweave.llm.common import bounded, fresh, table, written
 
 ORDER, SYMBOL_BITS = 5, 12
 OTHER = (1 << SYMBOL_BITS) - 1
-QUANTILE, SLACK = 0.999, 1.1
+#: Robust standard deviations from the median to the limit, and the least factor between them (a few equal texts have no deviation).
+SPREADS, SLACK = 6.0, 1.1
 #: Characters that are reduced together in a task.
 CHUNK = 1 << 22
 PAD = "\n"
@@ -175,7 +178,7 @@ def _by_join(scores: DataFrame, order: int) -> Callable[[DataFrame], DataFrame]:
     return add
 
 
-def perplexities(docs: DataFrame, trusted_ids: DataFrame, order: int = ORDER, quantile: float = QUANTILE, slack: float = SLACK, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_score_bytes: int = 64 << 20) -> DataFrame:
+def perplexities(docs: DataFrame, trusted_ids: DataFrame, order: int = ORDER, spreads: float = SPREADS, slack: float = SLACK, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_score_bytes: int = 64 << 20) -> DataFrame:
     """``docs`` with perplexity, threshold and accepted under names that ``docs`` doesn't have; the frame's ``added`` attribute tells them.
 
     ``trusted_ids`` has one column of ids. A null language is one language of its own. Texts that are null
@@ -195,8 +198,11 @@ def perplexities(docs: DataFrame, trusted_ids: DataFrame, order: int = ORDER, qu
     add_score = (_by_table if scores.count() * 12 <= max_score_bytes else _by_join)(scores, order)
     perplexity = F.when(F.col("score.n") > 0, F.exp(-F.col("score.total") / F.col("score.n")))
     unseen = add_score(narrow.join(held, narrow.id == held.trusted_id, "left_semi")).select("lang", perplexity.alias("p"))
-    limits = unseen.groupBy("lang").agg((F.percentile_approx("p", quantile, 20_000) * slack).alias("limit"))
-    limits = bounded(written(limits.where("limit IS NOT NULL"), "kn-limits"), F.octet_length("lang"))
+    unseen = written(unseen.where("p IS NOT NULL").select("lang", F.log("p").alias("log_p")), "kn-held")
+    middle = unseen.groupBy("lang").agg(F.percentile_approx("log_p", 0.5, 20_000).alias("middle"))
+    apart = unseen.join(middle, "lang").groupBy("lang", "middle").agg((F.percentile_approx(F.abs(F.col("log_p") - F.col("middle")), 0.5, 20_000) * 1.4826).alias("spread"))
+    limits = apart.select("lang", F.exp(F.col("middle") + F.greatest(F.col("spread") * spreads, F.lit(log(slack)))).alias("limit"))
+    limits = bounded(written(limits, "kn-limits"), F.octet_length("lang"))
     out = add_score(whole).join(limits.withColumnRenamed("lang", "limit_lang"), F.col("lang") == F.col("limit_lang"), "left")
     out = out.select("row", perplexity.alias("p"), F.col("limit"), F.col("text"))
     accepted = F.coalesce(F.octet_length("text") > 0, F.lit(False)) & F.coalesce(F.col("p") <= F.col("limit"), F.lit(True))

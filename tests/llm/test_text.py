@@ -253,6 +253,17 @@ def test_quality(spark, room):
     assert left.columns == df.columns and left.count() == 80
 
 
+def test_odd_trusted_texts_do_not_set_the_limit(spark):
+    rng = random.Random(17)
+    clean = lambda: " ".join(rng.choice(["the", "river", "stone", "walks", "over", "green", "hills"]) for _ in range(60)) + "."
+    junk = lambda: "".join(rng.choice("#$%&*XQZ19") for _ in range(200))
+    texts = [clean() for _ in range(60)] + [junk() for _ in range(8)] + ["stone the " * 40 + junk()[:60] for _ in range(6)]
+    ids = spark.createDataFrame([(i,) for i in range(64)], "doc_id long")  # four trusted texts are junk
+    scored = quality.perplexities(frame(spark, texts), ids)
+    kept = {r.doc_id for r in scored.where(scored.added[2]).collect()}
+    assert set(range(60)) <= kept and not kept & set(range(64, 74))
+
+
 def test_quality_odd_tables(spark):
     df = frame(spark, ["abc", None, "abc"], [1, 2, None], lang=None)
     none = spark.createDataFrame([], "doc_id long")
