@@ -6,9 +6,10 @@ a text is a sequence of identifiers with their places. A licence rule is an orde
 identifiers; it holds where they occur in this order with at most ``GAP`` other sentences between
 neighbours. A rule that another one of more sentences covers at the same places is not reported.
 
-Line ends are ambiguous: a wrapped sentence runs over them, a heading or notice line ends with them. The
-text is therefore cut twice, with line ends as spaces and as sentence ends, and a known sentence of
-either cut counts.
+Line ends and marks are ambiguous: a wrapped sentence runs over line ends, a heading or notice line ends
+with them, and some known sentences have a colon, semicolon or abbreviation inside. The text is therefore
+cut at all of them, and every run of pieces whose words are those of a known sentence counts. Of several
+runs from one piece the longest does, unless it only joins two that are known by themselves.
 """
 
 from __future__ import annotations
@@ -84,8 +85,7 @@ RULES = {
     "CC-BY-NC-ND-4.0": [["cc-by-nc-nd-4"]],
 }
 
-_END = r"[.!?;:]+(?=\s|\Z)"
-_SOFT, _HARD = re.compile(_END), re.compile(_END + r"|[\r\n]+")
+_ENDS = re.compile(r"[.!?;:]+(?=\s|\Z)|[\r\n]+")
 _WORD = re.compile(r"[^\W_]+")
 #: One of these stems stands in every known sentence: texts without any of them are done.
 _STEMS = re.compile(r"licensed?|permission|copyright|warrant|redistribut|endorse|released|domain|reserved|software", re.I)
@@ -102,6 +102,7 @@ class SentenceBook:
     def __init__(self, sentences: dict[str, list[str]] = SENTENCES):
         self.whole: dict[str, str] = {}
         self.gapped: dict[str, list[tuple[str, str, str]]] = {}
+        self.starts: set[str] = set()  # of known sentences, up to the gap, word by word
         for name, forms in sentences.items():
             for form in forms:
                 if "{}" not in form:
@@ -109,6 +110,8 @@ class SentenceBook:
                 else:
                     head, tail = map(normalise, form.split("{}"))
                     self.gapped.setdefault(" ".join(head.split()[:3]), []).append((head, tail, name))
+                words = normalise(form.split("{}")[0]).split()
+                self.starts.update(" ".join(words[:k]) for k in range(1, len(words) + ("{}" in form)))
 
     def identify(self, sentence: str) -> str | None:
         """The identifier of a normalised sentence."""
@@ -122,9 +125,17 @@ class SentenceBook:
         return None
 
 
-def _cut(text: str, ends: re.Pattern) -> Iterator[tuple[int, int]]:
+    def goes_on(self, words: str) -> bool:
+        """Whether a known sentence may start with these normalised words and have more."""
+        if words in self.starts:
+            return True
+        forms = self.gapped.get(" ".join(words.split(" ", 3)[:3]), ())
+        return any(words.startswith(head + " ") and words.count(" ") < len(head.split()) + 7 + len(tail.split()) for head, tail, _ in forms)
+
+
+def _cut(text: str) -> Iterator[tuple[int, int]]:
     at = 0
-    for m in ends.finditer(text):
+    for m in _ENDS.finditer(text):
         yield at, m.start()
         at = m.end()
     yield at, len(text)
@@ -134,14 +145,28 @@ def known_sentences(text: str, book: SentenceBook) -> list[tuple[int, int, int,
     """(start, end, first and last place among all sentences, identifier) of the known sentences, in order."""
     if not _STEMS.search(text):
         return []
+    lines = list(_cut(text))
+    words = [normalise(text[a:b]) for a, b in lines]
+    full = [i for i, w in enumerate(words) if w]
+    runs: list[dict[int, str]] = []  # of each piece with words: the last pieces of known sentences from there, by number in full
+    for first in range(len(full)):
+        sentence, ends = "", {}
+        for last in range(first, len(full)):
+            sentence = f"{sentence} {words[full[last]]}".lstrip()
+            if name := book.identify(sentence):
+                ends[last] = name
+                if sentence not in book.whole:
+                    break  # a gap at its shortest
+            if not book.goes_on(sentence):
+                break
+        runs.append(ends)
     found: dict[tuple[int, int], str] = {}
-    lines = list(_cut(text, _HARD))
-    for a, b in (*lines, *_cut(text, _SOFT)):
-        if b - a > 2000:
-            continue  # longer than any known sentence
-        if name := book.identify(normalise(text[a:b])):
+    for first, ends in enumerate(runs):
+        single = [e for e in ends if not any(m < e and e in runs[m + 1] for m in ends)]
+        if single:
+            a, b = lines[full[first]][0], lines[full[max(single)]][1]
             a += len(text[a:b]) - len(text[a:b].lstrip())
-            found[a, b] = name
+            found[a, b] = ends[max(single)]
     starts = [a for a, _ in lines]
     place = lambda x: bisect.bisect_right(starts, x) - 1
     return sorted((a, b, place(a), place(b - 1), name) for (a, b), name in found.items())

@@ -357,3 +357,79 @@ def test_rules_need_order_and_nearness():
     assert licenses.rule_matches(seq((0, "a"), (4, "b")), rules) == [(0, 5, "L", 2)]
     assert licenses.rule_matches(seq((0, "a"), (5, "b")), rules) == []
     assert licenses.rule_matches(seq((0, "b"), (1, "a")), rules) == []
+
+
+HOLDER = "Copyright (c) 2020 Some Holder\n"
+GPL = """    This program is free software%s you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation%s either version %d of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+"""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+"""
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+"""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+"""
+WRAPPED = {
+    "GPL-3.0-or-later": (GPL % (":", ",", 3), 2),
+    "GPL-2.0-or-later": (GPL % (";", ";", 2), 2),
+    "Apache-2.0": (APACHE, 4),
+    "MPL-2.0": (MPL, 1),
+    "MIT": (MIT, 3),
+    "ISC": (ISC, 1),
+    "BSD-2-Clause": (BSD, 3),
+    "BSD-3-Clause": (BSD + ENDORSE, 4),
+}
+
+
+def test_wrapped_licences(spark):
+    """Canonical texts, alone, after a notice line with and without a blank line, and as comments."""
+    forms = [lambda t: t, lambda t: HOLDER + t, lambda t: HOLDER + "\n" + t, lambda t: "".join(f" * {line}\n" for line in (HOLDER + "\n" + t).splitlines())]
+    cases = [(form(text), name, n) for name, (text, n) in WRAPPED.items() for form in forms]
+    got = {r.doc_id: (r.licenses, r.n_sentences) for r in licenses.license_scan(frame(spark, [t for t, _, _ in cases])).collect()}
+    assert got == {i: (name, n) for i, (_, name, n) in enumerate(cases)}
+
+
+def test_every_known_form_is_found_in_a_text():
+    """As one line within a text, and with a line for each word."""
+    book = licenses.SentenceBook()
+    for name, forms in licenses.SENTENCES.items():
+        for form in forms:
+            text = form.replace("{}", "some name")
+            for inside in (text, text.replace(" ", "\n")):
+                names = [x[4] for x in licenses.known_sentences(f"Some words. {inside}.\nMore words.", book)]
+                assert name in names, inside
