@@ -72,7 +72,8 @@ class PositionalIndex:
         leads = bounded(written(leads, "index-leads"), F.lit(24))
         shifts = self.postings.join(leads, "term").select(*KEY, "item", (F.col("pos") - F.col("j")).alias("shift")).distinct()
         wanted = shifts.join(self.item_terms, "item").select(*KEY, "item", "n", "shift", "j", "term", (F.col("shift") + F.col("j")).alias("pos"))
-        met = wanted.join(self.postings, ["term", *KEY, "pos"]).select(*KEY, "item", "n", "shift", "j")
+        # Rows alike in id and text have the same postings: each place counts once.
+        met = wanted.join(self.postings, ["term", *KEY, "pos"]).select(*KEY, "item", "n", "shift", "j").distinct()
         line = Window.partitionBy(*KEY, "item", "shift").orderBy("j")
         runs = met.withColumn("run", F.col("j") - F.row_number().over(line)).groupBy(*KEY, "item", "shift", "n", "run").agg(F.min("j").alias("a"), F.max("j").alias("b"))
         runs = runs.where(F.col("b") - F.col("a") + 2 >= F.least(F.col("n"), F.lit(self.window)))

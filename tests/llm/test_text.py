@@ -150,6 +150,16 @@ def test_contamination_odd_tables(spark):
     assert [r.n_hit for r in decontaminate.contamination(df, it.limit(0)).collect()] == [0, 0, 0]
 
 
+def test_contamination_of_repeated_rows(spark):
+    """Rows alike in id and text, and rows without ids, are hit as often as one."""
+    leak = "x y a b c d e f g h i j k z"
+    df = frame(spark, [leak, leak, leak, leak, leak, "x y z"], [1, 2, 2, None, None, 3])
+    it = spark.createDataFrame([(7, "a b c d e f g h i j k")], "item_id long, text string")
+    got = decontaminate.contamination(df, it).collect()
+    assert sorted(((r.doc_id, r.n_hit, r.contaminated) for r in got), key=repr) == sorted([(1, 11, True), *[(2, 11, True)] * 2, *[(None, 11, True)] * 2, (3, 0, False)], key=repr)
+    assert [r.doc_id for r in decontaminate.drop_contaminated(df, it).collect()] == [3]
+
+
 # --- secrets -------------------------------------------------------------------------
 
 
