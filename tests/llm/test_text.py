@@ -443,3 +443,9 @@ def test_every_known_form_is_found_in_a_text():
             for inside in (text, text.replace(" ", "\n")):
                 names = [x[4] for x in licenses.known_sentences(f"Some words. {inside}.\nMore words.", book)]
                 assert name in names, inside
+
+
+def test_padded_licences(spark):
+    """Indents and comment signs don't count as length."""
+    text = "".join(" " * 400 + "#" * 40 + line + " " * 100 + "\n" for line in MIT.splitlines())
+    assert [(r.licenses, r.n_sentences) for r in licenses.license_scan(frame(spark, [text])).collect()] == [("MIT", 3)]
