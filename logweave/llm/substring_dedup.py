@@ -1,4 +1,7 @@
-"""Substring deduplication: relative Lempel-Ziv parsing against indexed reference blocks.
+"""Substring deduplication after relative Lempel-Ziv parsing, with membership in an index of hashes instead of reference places.
+
+A factor joins neighbouring windows and stretches that smaller documents have, which may be different
+documents: it need not be a substring of any one of them. The words removed are the same.
 
 The reference of a document is the text of all documents with smaller ids. Its blocks are all runs of
 ``window`` words, found by content-defined anchors: of the grams of ``GRAM`` words inside a window, the
