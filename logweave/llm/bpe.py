@@ -165,18 +165,17 @@ class PrefixEncoder:
 
 
 def encode_decode(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", text_col: str = "text", ids_col: str = "token_ids", decoded_col: str = "decoded") -> DataFrame:
-    """``docs`` with its token ids (array of long) and the text decoded from them.
+    """``docs`` with its token ids (array of long) and the text decoded from them as the last two columns.
 
-    A null text is encoded as the empty text. All rows and columns stay; the new columns must not exist yet.
+    Where ``docs`` has a column of such a name, underscores go before the new one. A null text is encoded as
+    the empty text. All rows and columns stay, repeated rows and null ids too; empty tables give empty results.
     """
-    if clash := {ids_col.lower(), decoded_col.lower()} & {c.lower() for c in docs.columns}:
-        raise ValueError(f"columns exist already: {sorted(clash)}")
-    packed = _packed(docs, tokenizer, text_col)
-    (ids,) = packed.columns[len(docs.columns) : len(docs.columns) + 1]
-    return packed.select(*[F.col(f"`{c}`") for c in docs.columns], F.col(f"{ids}.ids").alias(ids_col), F.col(f"{ids}.decoded").alias(decoded_col))
+    packed, ids_name, decoded_name = fresh(docs, "packed", ids_col, decoded_col)
+    both = docs.withColumn(packed, _encoder(tokenizer)(F.col(text_col)))
+    return both.select(*[F.col(f"`{c}`") for c in docs.columns], F.col(f"{packed}.ids").alias(ids_name), F.col(f"{packed}.decoded").alias(decoded_name))
 
 
-def _packed(docs: DataFrame, tokenizer: str, text_col: str) -> DataFrame:
+def _encoder(tokenizer: str):
     @F.pandas_udf("struct<ids array<long>, decoded string>")
     def both(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         encoder = None
@@ -185,8 +184,7 @@ def _packed(docs: DataFrame, tokenizer: str, text_col: str) -> DataFrame:
             ids = [encoder.encode(t or "") for t in texts]
             yield pd.DataFrame({"ids": [np.frombuffer(i, "<u4").astype(np.int64) for i in ids], "decoded": [encoder.decode(i) for i in ids]})
 
-    (name,) = fresh(docs, "packed")
-    return docs.withColumn(name, both(F.col(text_col)))
+    return both
 
 
 def encode_digests(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

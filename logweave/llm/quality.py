@@ -7,15 +7,18 @@ counts of each order, as do the weights of each context.
 Scoring resolves every distinct n-gram of the corpus, not every occurrence: the corpus' n-grams are
 reduced in each task, then joined, sharded by n-gram, with the counts of each order from the unigrams
 upwards. The resolved scores go back to the texts in a table of 12 bytes an n-gram, broadcast while it
-is within ``max_score_bytes`` and joined by a shuffle beyond it; both ways give the same perplexities.
+is within ``max_score_bytes``. Beyond it only the common n-grams' scores are broadcast (those with at least
+1 / COMMON of all occurrences, so COMMON of them at most) and each text's other n-grams join the sharded
+scores; both ways give the same perplexities.
 
 The trusted documents are dealt into two halves by a hash of their ids. The model is trained on all texts
 of one half; the limit of each language comes from the other half's perplexities, which the model hasn't
 seen: in logarithms, the median plus SPREADS robust standard deviations (of the median absolute deviation),
 so that no odd trusted text sets it. A text is kept if its perplexity does not exceed its language's limit.
 
-Characters are code points below 4,095; all others are one symbol. n-grams of up to five symbols of 12
-bits fit a long, so prefixes and suffixes are shifts and masks.
+Symbols have 12 bits: a code point below PLAIN is one symbol, any other a lead and a trail, so that every
+script keeps all its characters. n-grams of up to five symbols fit a long, so prefixes and suffixes are
+shifts and masks.
 """
 
 from __future__ import annotations
@@ -32,17 +35,34 @@ from pyspark.sql import functions as F
 from logweave.llm.common import bounded, fresh, table, written
 
 ORDER, SYMBOL_BITS = 5, 12
-OTHER = (1 << SYMBOL_BITS) - 1
+#: Code points that are one symbol; PAIR leads and as many trails cover all others.
+PLAIN, PAIR = 1984, 1056
 #: Robust standard deviations from the median to the limit, and the least factor between them (a few equal texts have no deviation).
 SPREADS, SLACK = 6.0, 1.1
-#: Characters that are reduced together in a task.
-CHUNK = 1 << 22
+#: Symbols that are reduced together in a task.
+CHUNK = 1 << 20
+#: Most common n-grams whose scores are always broadcast, 12 bytes each.
+COMMON = 1 << 16
 PAD = "\n"
 
 
+def symbols(text: str) -> np.ndarray:
+    """The text's symbols."""
+    codes = np.frombuffer(text.encode("utf-32-le", "replace"), "<u4").astype(np.int64)
+    wide = codes >= PLAIN
+    if not wide.any():
+        return codes
+    at = np.cumsum(wide) + np.arange(len(codes))  # the place of each character's last symbol
+    out = np.empty(len(codes) + int(wide.sum()), np.int64)
+    lead, trail = np.divmod(codes - PLAIN, PAIR)
+    out[at] = np.where(wide, PLAIN + PAIR + trail, codes)
+    out[at[wide] - 1] = PLAIN + lead[wide]
+    return out
+
+
 def grams(text: str, order: int) -> np.ndarray:
-    """The n-gram that ends at each character, after line ends as padding."""
-    codes = np.minimum(np.frombuffer((PAD * (order - 1) + text).encode("utf-32-le", "replace"), "<u4"), OTHER).astype(np.int64)
+    """The n-gram that ends at each symbol, after line ends as padding."""
+    codes = np.concatenate([np.full(order - 1, ord(PAD), np.int64), symbols(text)])
     out = np.zeros(len(codes) - order + 1, np.int64)
     for i in range(order):
         out = (out << SYMBOL_BITS) | codes[i : len(codes) - order + 1 + i]
@@ -59,7 +79,7 @@ def _gram_counts(order: int):
         def flush():
             for lang, parts in held.items():
                 gram, n = np.unique(np.concatenate(parts), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram), pa.string()), pa.array(gram, pa.int64()), pa.array(n, pa.int64())], ["lang", "gram", "c"])
+                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang, pa.string()), len(gram)), pa.array(gram, pa.int64()), pa.array(n, pa.int64())], ["lang", "gram", "c"])
             held.clear()
 
         for batch in batches:
@@ -134,16 +154,21 @@ class KneserNey:
         return below.select("lang", F.col("suffix").alias("gram"), F.log("below").alias("log_p"))
 
 
-def _by_table(scores: DataFrame, order: int) -> Callable[[DataFrame], DataFrame]:
-    """A function that adds score (n, total of log_p) to frames with lang and text, from a broadcast table."""
+def _score_tables(scores: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """n-grams, ascending, and their scores by language. The caller bounds the rows."""
     tables: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-    arrow = scores.orderBy("lang", "gram").toArrow()  # within max_score_bytes, as the caller has measured
-    lang, gram, log_p = arrow.column(0).to_numpy(), arrow.column(1).to_numpy(), arrow.column(2).to_numpy().astype(np.float32)
+    arrow = scores.select("lang", "gram", F.col("log_p").cast("float")).orderBy("lang", "gram").toArrow()
+    lang, gram, log_p = arrow.column(0).to_numpy(), arrow.column(1).to_numpy(), arrow.column(2).to_numpy()
     edges = np.flatnonzero(lang[1:] != lang[:-1]) + 1 if len(lang) else np.array([], int)
     for a, b in zip(np.r_[0, edges].astype(int), np.r_[edges, len(lang)].astype(int), strict=True):
         if b > a:
             tables[str(lang[a])] = (gram[a:b].copy(), log_p[a:b].copy())
-    sent = scores.sparkSession.sparkContext.broadcast(tables)
+    return tables
+
+
+def _by_table(scores: DataFrame, order: int) -> Callable[[DataFrame], DataFrame]:
+    """A function that adds score (n, total of log_p) to frames with lang and text, from a broadcast table."""
+    sent = scores.sparkSession.sparkContext.broadcast(_score_tables(scores))
 
     @F.pandas_udf("struct<n long, total double>")
     def score(langs: pd.Series, texts: pd.Series) -> pd.DataFrame:
@@ -163,23 +188,41 @@ def _by_table(scores: DataFrame, order: int) -> Callable[[DataFrame], DataFrame]
 
 
 def _by_join(scores: DataFrame, order: int) -> Callable[[DataFrame], DataFrame]:
-    """As _by_table(), through a join of each text's distinct n-grams with the sharded scores."""
+    """As _by_table(), but only common n-grams' scores are broadcast: a text's other n-grams join the sharded scores.
 
-    @F.pandas_udf("array<struct<gram long, n long>>")
-    def counted(texts: pd.Series) -> pd.Series:
-        return pd.Series([[{"gram": int(g), "n": int(n)} for g, n in zip(*np.unique(grams(t, order), return_counts=True), strict=True)] if t else [] for t in texts])
+    ``scores`` has c, the occurrences of each n-gram.
+    """
+    every = scores.agg(F.sum("c")).first()[0] or 0
+    often = scores.where(F.col("c") * COMMON >= every)  # COMMON rows at most
+    sent = scores.sparkSession.sparkContext.broadcast(_score_tables(often))
+    rest = scores.where(F.col("c") * COMMON < every).select("lang", "gram", F.col("log_p").cast("float").alias("log_p"))
+
+    @F.pandas_udf("struct<n long, total double, rest array<struct<gram long, n long>>>")
+    def split(langs: pd.Series, texts: pd.Series) -> pd.DataFrame:
+        out = []
+        for lang, text in zip(langs, texts, strict=True):
+            gram, n = np.unique(grams(text, order), return_counts=True) if text else (np.array([], np.int64), np.array([], np.int64))
+            have, log_p = sent.value.get(lang, (np.array([], np.int64), np.array([], np.float32)))
+            at = np.minimum(np.searchsorted(have, gram), max(0, len(have) - 1))
+            known = have[at] == gram if len(have) else np.zeros(len(gram), bool)
+            total = float((log_p[at[known]].astype(np.float64) * n[known]).sum()) if known.any() else 0.0
+            out.append((int(n[known].sum()), total, [{"gram": int(g), "n": int(k)} for g, k in zip(gram[~known], n[~known], strict=True)]))
+        return pd.DataFrame(out, columns=["n", "total", "rest"])
 
     def add(frame: DataFrame) -> DataFrame:
-        keyed = frame.withColumn("row_no", F.monotonically_increasing_id())
-        each = keyed.select("row_no", "lang", F.explode(counted("text")).alias("g")).select("row_no", "lang", "g.gram", "g.n")
-        sums = each.join(scores, ["lang", "gram"]).groupBy("row_no").agg(F.struct(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("log_p").cast("float")).alias("total")).alias("score"))
+        # Row numbers are written before they are used twice: a task that runs again can't deal them anew.
+        keyed = written(frame.withColumn("row_no", F.monotonically_increasing_id()), "kn-rows")
+        parts = written(keyed.select("row_no", "lang", split("lang", "text").alias("s")), "kn-parts")
+        each = parts.select("row_no", "lang", F.explode("s.rest").alias("g")).select("row_no", "lang", "g.gram", "g.n")
+        sums = each.join(rest, ["lang", "gram"]).groupBy("row_no").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("log_p").cast("double")).alias("total"))
+        sums = parts.select("row_no", F.col("s.n").alias("n"), F.col("s.total").alias("total")).unionByName(sums).groupBy("row_no").agg(F.struct(F.sum("n").alias("n"), F.sum("total").alias("total")).alias("score"))
         return keyed.join(sums, "row_no", "left").drop("row_no")
 
     return add
 
 
 def perplexities(docs: DataFrame, trusted_ids: DataFrame, order: int = ORDER, spreads: float = SPREADS, slack: float = SLACK, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_score_bytes: int = 64 << 20) -> DataFrame:
-    """``docs`` with perplexity, threshold and accepted under names that ``docs`` doesn't have; the frame's ``added`` attribute tells them.
+    """``docs`` with perplexity, threshold and accepted as the last three columns, under names that ``docs`` doesn't have (underscores go before them).
 
     ``trusted_ids`` has one column of ids. A null language is one language of its own. Texts that are null
     or empty have no perplexity and are not accepted. Texts of a language without trusted text have no
@@ -191,11 +234,14 @@ def perplexities(docs: DataFrame, trusted_ids: DataFrame, order: int = ORDER, sp
     train, held = (bounded(ids.where(half == i), F.lit(8)) for i in (0, 1))
     narrow = docs.select(F.col(id_col).alias("id"), lang.alias("lang"), text.alias("text"))
     model = KneserNey(narrow.join(train, narrow.id == train.trusted_id, "left_semi"), order)
-    wanted = written(gram_counts(narrow, order).select("lang", "gram"), "kn-wanted")
-    scores = model.scores(wanted)
+    wanted = written(gram_counts(narrow, order), "kn-wanted")
+    scores = model.scores(wanted.select("lang", "gram"))
     p_col, t_col, a_col = fresh(docs, "perplexity", "threshold", "accepted")
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), lang.alias("lang"), text.alias("text"))
-    add_score = (_by_table if scores.count() * 12 <= max_score_bytes else _by_join)(scores, order)
+    if scores.count() * 12 <= max_score_bytes:
+        add_score = _by_table(scores, order)
+    else:
+        add_score = _by_join(written(scores.join(wanted, ["lang", "gram"]), "kn-counted-scores"), order)
     perplexity = F.when(F.col("score.n") > 0, F.exp(-F.col("score.total") / F.col("score.n")))
     unseen = add_score(narrow.join(held, narrow.id == held.trusted_id, "left_semi")).select("lang", perplexity.alias("p"))
     unseen = written(unseen.where("p IS NOT NULL").select("lang", F.log("p").alias("log_p")), "kn-held")
@@ -206,9 +252,7 @@ def perplexities(docs: DataFrame, trusted_ids: DataFrame, order: int = ORDER, sp
     out = add_score(whole).join(limits.withColumnRenamed("lang", "limit_lang"), F.col("lang") == F.col("limit_lang"), "left")
     out = out.select("row", perplexity.alias("p"), F.col("limit"), F.col("text"))
     accepted = F.coalesce(F.octet_length("text") > 0, F.lit(False)) & F.coalesce(F.col("p") <= F.col("limit"), F.lit(True))
-    out = out.select("row.*", F.col("p").alias(p_col), F.col("limit").alias(t_col), accepted.alias(a_col))
-    out.added = (p_col, t_col, a_col)
-    return out
+    return out.select("row.*", F.col("p").alias(p_col), F.col("limit").alias(t_col), accepted.alias(a_col))
 
 
 def trusted(labels: DataFrame) -> DataFrame:
@@ -216,12 +260,16 @@ def trusted(labels: DataFrame) -> DataFrame:
 
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """``docs`` without the rows that the classifier rejects; all columns stay."""
+    """``docs`` without the rows that the classifier rejects; all columns stay.
+
+    Rows with null or empty texts go; rows of a language without trusted text stay. Repeated rows share their
+    fate; null ids are never trusted. Empty tables give empty results.
+    """
     scored = perplexities(docs, trusted(labels), **options)
-    return scored.where(F.col(scored.added[2])).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return scored.where(F.col(f"`{scored.columns[-1]}`")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, lang, perplexity, threshold and kept of every document."""
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return perplexities(docs, trusted(table(spark, sf_dir, "labels"))).select("doc_id", "lang", "perplexity", "threshold", F.col("accepted").alias("kept"))

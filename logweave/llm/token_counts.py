@@ -78,19 +78,21 @@ class LengthEncoder:
         batch, size = [], 0
         for i, word in enumerate(words, 1):
             batch.append(word)
-            size += len(word)
+            size += len(word.encode())
             if size >= BATCH_BYTES or i == len(words):
                 self.words.update(zip(batch, map(len, self.encode.encode_batch(batch, add_special_tokens=False)), strict=True))
                 batch, size = [], 0
 
-    def lengths(self, texts: list[str | None]) -> list[int]:
+    def lengths(self, texts: list[str | None], sizes: list[int] | None = None) -> list[int]:
+        """Token counts of texts; ``sizes`` are their bytes."""
+        sizes = sizes or [len((t or "").encode()) for t in texts]
         out: list[int] = []
         at = 0
         while at < len(texts):  # groups of texts of about equal bytes
             group, size = [], 0
             while at < len(texts) and (not group or size < 4 * BATCH_BYTES):
                 group.append(pieces(texts[at] or ""))
-                size += len(texts[at] or "")
+                size += sizes[at]
                 at += 1
             for table_ in (self.known, self.words):
                 if len(table_) > KNOWN_ENTRIES:
@@ -119,7 +121,7 @@ def token_counts(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", limit: i
         encoder = None
         for batch in batches:
             encoder = encoder or LengthEncoder(tokenizer)
-            n = pa.array(encoder.lengths(batch.column(2).to_pylist()), pa.int64())
+            n = pa.array(encoder.lengths(batch.column(2).to_pylist(), batch.column(1).to_pylist()), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), n], ["doc_id", "n_bytes", "n_tokens"])
 
     text = F.coalesce(F.col(text_col), F.lit(""))

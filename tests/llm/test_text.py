@@ -64,8 +64,8 @@ def test_token_queries(spark, library):
     assert [r.decoded_sha256 for r in digests] == [hashlib.sha256((t or "").encode()).hexdigest() for t in texts]
     both = bpe.encode_decode(df)
     assert both.columns == [*df.columns, "token_ids", "decoded"] and [list(r.token_ids) for r in both.collect()] == want
-    with pytest.raises(ValueError):
-        bpe.encode_decode(df, ids_col="Token")
+    clash = bpe.encode_decode(df.withColumnRenamed("score", "Decoded"), ids_col="Token")
+    assert clash.columns[-2:] == ["_Token", "_decoded"] and [r["_decoded"] for r in clash.collect()] == [t or "" for t in texts]
     assert token_counts.token_counts(df.limit(0)).count() == bpe.encode_digests(df.limit(0)).count() == 0
 
 
@@ -255,7 +255,7 @@ def test_quality(spark, room):
     df = frame(spark, texts)
     ids = spark.createDataFrame([(i,) for i in range(60)] + [(3,), (None,)], "doc_id long")
     scored = quality.perplexities(df, ids, max_score_bytes=room)
-    kept = {r.doc_id for r in scored.where(scored.added[2]).collect()}
+    kept = {r.doc_id for r in scored.where(scored.columns[-1]).collect()}
     assert kept == set(range(80))
     assert scored.count() == len(texts) and scored.columns[: len(df.columns)] == df.columns
     labels = ids.selectExpr("doc_id", "1 AS quality", "0 AS toxic")
@@ -270,7 +270,7 @@ def test_odd_trusted_texts_do_not_set_the_limit(spark):
     texts = [clean() for _ in range(60)] + [junk() for _ in range(8)] + ["stone the " * 40 + junk()[:60] for _ in range(6)]
     ids = spark.createDataFrame([(i,) for i in range(64)], "doc_id long")  # four trusted texts are junk
     scored = quality.perplexities(frame(spark, texts), ids)
-    kept = {r.doc_id for r in scored.where(scored.added[2]).collect()}
+    kept = {r.doc_id for r in scored.where(scored.columns[-1]).collect()}
     assert set(range(60)) <= kept and not kept & set(range(64, 74))
 
 
@@ -278,7 +278,7 @@ def test_quality_odd_tables(spark):
     df = frame(spark, ["abc", None, "abc"], [1, 2, None], lang=None)
     none = spark.createDataFrame([], "doc_id long")
     scored = quality.perplexities(df, none)
-    assert sorted((r[scored.added[2]] for r in scored.collect())) == [False, True, True]
+    assert sorted((r[scored.columns[-1]] for r in scored.collect())) == [False, True, True]
     assert quality.perplexities(df.limit(0), none).count() == 0
 
 
