@@ -25,19 +25,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that every executor sees: spark.checkpoint.dir, or one of our own where it is unset."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or getattr(spark, "_logweave_shared", None)
+    """The folder of this application that every executor sees, in spark.checkpoint.dir.
+
+    Where that is unset, a local master gets a temporary folder and a cluster an error: its machines don't
+    share a local one. The folder goes when the driver ends.
+    """
+    root = getattr(spark.sparkContext, "_logweave_shared", None)
     if root is None:
-        local = tempfile.mkdtemp(prefix="logweave-")
-        atexit.register(shutil.rmtree, local, ignore_errors=True)
-        root = spark._logweave_shared = f"file://{local}"
-    return root.rstrip("/")
+        sc = spark.sparkContext
+        base = sc.getConf().get("spark.checkpoint.dir")
+        if base is None:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            base = tempfile.mkdtemp(prefix="logweave-")
+            atexit.register(shutil.rmtree, base, ignore_errors=True)
+            base = f"file://{base}"
+        root = sc._logweave_shared = f"{base.rstrip('/')}/logweave-{sc.applicationId}-{uuid.uuid4().hex}"
+        path = sc._jvm.org.apache.hadoop.fs.Path(root)
+        files = path.getFileSystem(sc._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+    return root
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: lineage ends here, so a lost executor costs a re-read only."""
     spark = df.sparkSession
-    path = f"{shared_root(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -59,6 +73,11 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns of a row, to decide ties the same way in every run. Columns that hold maps have no hash and don't count."""
+    return F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema if "map<" not in f.dataType.simpleString()])
+
+
 def bounded(df: DataFrame, row_bytes: Column) -> DataFrame:
     """``df`` with a broadcast hint if its measured size allows it; beyond that it is joined by a shuffle."""
     size = df.select(F.coalesce(F.sum(row_bytes + 64), F.lit(0))).first()[0]

@@ -6,8 +6,9 @@ at least two rows hit it. Pass two asks the filter: a row whose positions all ha
 their partition. The filter has no false negatives, so no copy is missed; a false positive costs one
 small shuffled row and ends up in a group of one.
 
-The filter holds 16 bits a row up to ``max_bits`` (2**30 bits, 128 MB), which bounds what is sent to the
-executors. Beyond that size more rows are possibly repeated and shuffle; the result stays exact.
+A filter holds 16 bits a row and at most ``max_bits`` (2**30 bits, 128 MB), which bounds what is sent to
+the executors at a time. More rows than that are dealt by their hash to several filters, made and asked one
+after the other, so that every filter is as sparse at any size.
 """
 
 from __future__ import annotations
@@ -20,11 +21,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.llm.common import SPACE_CLASS, fresh, table, written
+from logweave.llm.common import SPACE_CLASS, fresh, row_hash, table, written
 
 #: Filter positions in one row of the merge step.
 SEGMENT_BITS = 1 << 18
 PROBES = 2
+#: Rows that a task reduces together.
+HELD = 1 << 20
 
 
 def normalised(text: Column) -> Column:
@@ -40,27 +43,35 @@ def _positions(hashes: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _partial_filter(bits: int):
-    """Of each partition: positions hit once and positions hit more often, by segment."""
+    """Of each task: positions hit once and positions hit more often, by segment, reduced in chunks of HELD rows."""
+
+    def reduced(hashes: np.ndarray) -> pa.RecordBatch:
+        # A row counts once at a position, even if two of its probes meet there.
+        probes = np.sort(_positions(hashes, bits), axis=0)
+        keep = np.ones(probes.shape, bool)
+        keep[1:] = probes[1:] != probes[:-1]
+        at, n = np.unique(probes[keep], return_counts=True)
+        segment = at // np.uint64(SEGMENT_BITS)
+        cuts = np.flatnonzero(np.diff(segment)) + 1
+        offset = (at % np.uint64(SEGMENT_BITS)).astype("<u4")
+        ids, ones, twos = [], [], []
+        for a, b in zip([0, *cuts], [*cuts, len(at)], strict=True):
+            ids.append(int(segment[a]))
+            ones.append(offset[a:b].tobytes())
+            twos.append(offset[a:b][n[a:b] > 1].tobytes())
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ones, pa.binary()), pa.array(twos, pa.binary())], ["segment", "ones", "twos"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
-            hashes = batch.column(0).to_numpy(zero_copy_only=False)
-            if not len(hashes):
-                continue
-            # A row counts once at a position, even if two of its probes meet there.
-            probes = np.sort(_positions(hashes, bits), axis=0)
-            keep = np.ones(probes.shape, bool)
-            keep[1:] = probes[1:] != probes[:-1]
-            at, n = np.unique(probes[keep], return_counts=True)
-            segment = at // np.uint64(SEGMENT_BITS)
-            cuts = np.flatnonzero(np.diff(segment)) + 1
-            offset = (at % np.uint64(SEGMENT_BITS)).astype("<u4")
-            ids, ones, twos = [], [], []
-            for a, b in zip([0, *cuts], [*cuts, len(at)], strict=True):
-                ids.append(int(segment[a]))
-                ones.append(offset[a:b].tobytes())
-                twos.append(offset[a:b][n[a:b] > 1].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ones, pa.binary()), pa.array(twos, pa.binary())], ["segment", "ones", "twos"])
+            if len(hashes := batch.column(0).to_numpy(zero_copy_only=False)):
+                held.append(hashes)
+                size += len(hashes)
+                if size >= HELD:
+                    yield reduced(np.concatenate(held))
+                    held, size = [], 0
+        if held:
+            yield reduced(np.concatenate(held))
 
     return run
 
@@ -99,15 +110,30 @@ def repeated_filter(hashes: DataFrame, rows: int, max_bits: int = 1 << 30):
     return maybe_repeated
 
 
+def possibly_repeated(hashes: DataFrame, max_bits: int) -> DataFrame:
+    """``hashes`` (a written table with h, a 64-bit hash) with maybe: whether h may occur more than once."""
+    rows = hashes.count()
+    filters = max(1, -(-16 * rows // max_bits))
+    out = None
+    for i in range(filters):  # one a 67 million rows
+        part = hashes if filters == 1 else hashes.where(F.pmod(F.shiftrightunsigned("h", 40), F.lit(filters)) == i)
+        maybe = repeated_filter(part.select("h"), -(-rows // filters), max_bits)
+        part = part.withColumn("maybe", maybe("h"))
+        if filters > 1:
+            part = written(part, "exact-asked")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 1 << 30) -> DataFrame:
     """One row for each row of ``docs``: id, keep_id, group_size, kept, text_sha256.
 
     Nulls: a null text counts as empty; a null id sorts after all others (keep_id is null only in a group without ids).
     Repeated rows (same id, same text): one of them is kept. Empty input: empty result. Other columns are ignored.
     """
-    hashed = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.sha2(normalised(F.col(text_col)), 256)).alias("sha")), "exact-hashes").withColumn("h", F.xxhash64("sha"))
-    maybe = repeated_filter(hashed.select("h"), hashed.count(), max_bits)
-    tested = written(hashed.withColumn("maybe", maybe("h")).drop("h"), "exact-tested")
+    hashed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.sha2(normalised(F.col(text_col)), 256)).alias("sha"))
+    hashed = written(hashed.withColumn("h", F.xxhash64("sha")), "exact-hashes")
+    tested = written(possibly_repeated(hashed, max_bits).drop("h"), "exact-tested")
     single = tested.where("not maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha")
     # Rows alike in id and text collapse to a count, so a group of copies travels as one row for each id.
     rows = tested.where("maybe").groupBy("sha", "doc_id").agg(F.count(F.lit(1)).alias("n"))
@@ -123,17 +149,22 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 1 << 30) -> DataFrame:
     """``docs`` with one row of each group of equal texts, the one with the smallest id; all columns stay.
 
+    A null text counts as empty; null ids sort last. Of several rows with the smallest id, that with the least
+    hash of all its columns stays, so the result doesn't depend on the order of rows. Empty input: empty result.
     Rows that the filter clears pass straight through; the others are reduced before they are shuffled.
     """
-    sha, h, maybe_col, row = fresh(docs, "sha", "h", "maybe", "row")
+    sha, h, maybe_col, row, asked = fresh(docs, "sha", "h", "maybe", "row", "asked")
+    plain = [F.col(f"`{c}`") for c in docs.columns]
     hashed = docs.withColumn(sha, F.unhex(F.sha2(normalised(F.col(text_col)), 256))).withColumn(h, F.xxhash64(sha))
-    hashes = written(hashed.select(h), "exact-hashes")
-    maybe = repeated_filter(hashes, hashes.count(), max_bits)
-    tested = hashed.withColumn(maybe_col, maybe(h))
-    single = tested.where(~F.col(maybe_col)).select(*docs.columns)
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    order = F.struct(F.col(id_col).isNull(), F.col(id_col))
-    first = tested.where(maybe_col).groupBy(sha).agg(F.min_by(whole, order).alias(row)).select(f"{row}.*")
+    hashes = written(hashed.select(F.col(h).alias("h")), "exact-hashes")
+    if hashes.count() * 16 <= max_bits:
+        tested = hashed.withColumn(maybe_col, repeated_filter(hashes, hashes.count(), max_bits)(F.col(h)))
+    else:  # the filters' answers, of which only possible repeats are kept, join the rows
+        repeats = written(possibly_repeated(hashes, max_bits).where("maybe").select("h").distinct(), "exact-repeats")
+        tested = hashed.join(repeats.select(F.col("h").alias(h), F.lit(True).alias(asked)), h, "left").withColumn(maybe_col, F.coalesce(asked, F.lit(False)))
+    single = tested.where(~F.col(maybe_col)).select(*plain)
+    order = F.struct(F.col(id_col).isNull(), F.col(id_col), row_hash(docs))
+    first = tested.where(maybe_col).groupBy(sha).agg(F.min_by(F.struct(*plain), order).alias(row)).select(f"{row}.*")
     return single.unionByName(first)
 
 

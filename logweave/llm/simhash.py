@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from logweave.llm.common import NULL_ID, bounded, fresh, table, written
+from logweave.llm.common import NULL_ID, bounded, fresh, row_hash, table, written
 
 #: The hash seed of the fingerprints, and the grid for a radius of four.
 SEED, RADIUS, GROUPS = 42, 4, 8
@@ -311,7 +311,8 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 4, id_col: str = "doc_
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each component of similar texts, that of the smallest id; all columns stay.
 
-    Of several rows with the smallest id of one component, one stays.
+    Null texts and texts without words are one component; null ids sort last. Of several rows with the smallest
+    id of one component, that with the least hash of all its columns stays. Empty tables give empty results.
     """
     resolved = _resolved(docs, shingle, id_col, text_col, similarity).where("doc = component")
     doc, text_hash, root, n, row = fresh(docs, "doc", "text_hash", "root", "n", "row")
@@ -322,7 +323,7 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float =
     plain = [F.col(f"`{c}`") for c in docs.columns]
     one = stay.where(F.col(n) == 1).select(*plain)
     # Ids that occur more than once: only these rows are grouped.
-    several = stay.where(F.col(n) > 1).groupBy(doc, root).agg(F.first(F.struct(*plain)).alias(row)).select(f"{row}.*")
+    several = stay.where(F.col(n) > 1).groupBy(doc, root).agg(F.min_by(F.struct(*plain), row_hash(docs)).alias(row)).select(f"{row}.*")
     return one.unionByName(several)
 
 
