@@ -18,13 +18,17 @@ each such fingerprint, whatever the cell's size, spread evenly over tasks.
 
 Equal fingerprints are one point from the start. Links are followed to components by alternating stars.
 
-A radius of four bits of 64 stands for nearly equal texts. Texts whose shingle sets are similar to 0.8 are
-found by an exact join of the sets. Shingles have one order for all texts, those that a sample of the texts
-shows as common last; two sets of that similarity share one of the first fifth of their shingles (and one
-more), so each of these makes a cell. Places in the sets bound the overlap of a cell's pair, and every pair
-left is verified by the similarity of the two sets. Only components are wanted: the members of crowded cells
-are held against their smallest member first, and then all pairs of a cell that are not in one component
-yet, crowded cells block against block. No pair is left out.
+A radius of four bits of 64 stands for nearly equal texts, and no radius of fingerprints stands for a
+similarity of shingle sets of 0.8: at 64 bits such pairs lie about 10 bits apart and unlike ones from 20 on,
+with deviations of 3 and 4, and there segment counts leave hardly any pair out. So texts of that similarity
+are found in two rounds. In the first, fingerprints of the shingle sets are linked as above and every link is
+verified by the similarity of the two sets. The second, an exact join of the sets, adds what the radius
+misses: shingles have one order for all texts, those that a sample of the texts shows as common last; two
+sets of that similarity share one of the first fifth of their shingles (and one more), so each of these makes
+a cell. Places in the sets bound the overlap of a cell's pair, and every pair left is verified by the
+similarity of the two sets. Only components are wanted, so pairs that a round before has put in one component
+are not compared again: members of crowded cells are held against their smallest member first, and then those
+outside a cell's largest component against all others of the cell, block against block. No pair is left out.
 """
 
 from __future__ import annotations
@@ -67,11 +71,16 @@ def _shingle_places(text: str | None, shingle: int) -> tuple[bytes, list[int], l
 def fingerprint(text: str | None, shingle: int, join) -> int:
     """SimHash of the text's word shingles, as a signed integer."""
     line, starts, ends = _shingle_places(text, shingle)
-    total, n = np.zeros(64, np.int64), len(starts)
-    for at in range(0, n, 1 << 16):  # bounds the unpacked bits of very long texts
-        part = np.fromiter([join(line[a:b], SEED) for a, b in zip(starts[at : at + (1 << 16)], ends[at : at + (1 << 16)], strict=True)], np.uint64)
+    return _print_of(np.fromiter([join(line[a:b], SEED) for a, b in zip(starts, ends, strict=True)], np.uint64, len(starts)))
+
+
+def _print_of(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes have, as a signed integer."""
+    total = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 16):  # bounds the unpacked bits of very long texts
+        part = np.ascontiguousarray(hashes[at : at + (1 << 16)])
         total += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * total > n, bitorder="little").view("<i8")[0])
+    return int(np.packbits(2 * total > len(hashes), bitorder="little").view("<i8")[0])
 
 
 def shingle_set(text: str | None, shingle: int, join) -> np.ndarray:
@@ -153,7 +162,7 @@ def links(points: DataFrame) -> DataFrame:
     return pairs.unionByName(stars)
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node, root (the smallest node reachable) for all nodes of ``edges`` (a, b).
 
     Large stars and small stars alternate until no edge changes. Each step groups with partial minima and
@@ -161,7 +170,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """
     edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     last = None
-    for _ in range(rounds):
+    while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "large-star")
         edges = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
@@ -173,7 +182,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if state == last:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
         last = state
-    raise RuntimeError("components did not settle")
 
 
 def _common_shingles(narrow: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -195,8 +203,23 @@ def _common_shingles(narrow: DataFrame, shingle: int) -> tuple[np.ndarray, np.nd
     return token[order], n[order].astype(np.int32)
 
 
+#: Texts whose sets are held together in a worker.
+TEXTS = 1000
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, TEXTS):
+            yield batch.slice(at, TEXTS)
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    offsets = np.r_[0, np.cumsum([len(x) for x in arrays])].astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.array([], np.int64), *arrays])))
+
+
 def _prefixes(narrow: DataFrame, shingle: int, similarity: Fraction) -> DataFrame:
-    """doc, text_hash, node (a hash of the shingle set), size of the set and its first shingles, of each row."""
+    """doc, text_hash, node (a hash of the shingle set), fp (the set's fingerprint), size of the set and its first shingles, of each row."""
     sent = narrow.sparkSession.sparkContext.broadcast(_common_shingles(narrow, shingle))
     num, den = similarity.as_integer_ratio()
 
@@ -204,20 +227,21 @@ def _prefixes(narrow: DataFrame, shingle: int, similarity: Fraction) -> DataFram
         import xxhash
 
         common, count = sent.value
-        for batch in batches:
-            nodes, sizes, first = [], [], []
+        for batch in _pieces(batches):
+            nodes, fps, sizes, first = [], [], [], []
             for t in batch.column(1):
                 h = shingle_set(t.as_py(), shingle, xxhash.xxh64_intdigest)
                 nodes.append(_signed(xxhash.xxh64_intdigest(h.tobytes(), SEED)))
+                fps.append(_print_of(h.view(np.uint64)))
                 sizes.append(len(h))
                 if len(common) and len(h):
                     at = np.minimum(np.searchsorted(common, h), len(common) - 1)
                     h = h[np.argsort(np.where(common[at] == h, count[at], 0), kind="stable")]
                 first.append(h[: len(h) + (-num * len(h) // den) + 1])
-            columns = [batch.column(0), batch.column(2), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(first, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc", "text_hash", "node", "size", "prefix"])
+            columns = [batch.column(0), batch.column(2), pa.array(nodes, pa.int64()), pa.array(fps, pa.int64()), pa.array(sizes, pa.int32()), _lists(first)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc", "text_hash", "node", "fp", "size", "prefix"])
 
-    return narrow.mapInArrow(run, "doc long, text_hash long, node long, size int, prefix array<long>")
+    return narrow.mapInArrow(run, "doc long, text_hash long, node long, fp long, size int, prefix array<long>")
 
 
 def _shingle_sets(narrow: DataFrame, shingle: int, rows: DataFrame) -> DataFrame:
@@ -226,53 +250,71 @@ def _shingle_sets(narrow: DataFrame, shingle: int, rows: DataFrame) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        for batch in batches:
+        for batch in _pieces(batches):
             sets = [shingle_set(t.as_py(), shingle, xxhash.xxh64_intdigest) for t in batch.column(0)]
             nodes = [_signed(xxhash.xxh64_intdigest(h.tobytes(), SEED)) for h in sets]
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), _lists(sets)], ["node", "shingles"])
 
     wanted = narrow.join(bounded(rows, F.lit(16)), ["doc", "text_hash"], "left_semi").select("text")
     return wanted.mapInArrow(run, "node long, shingles array<long>").dropDuplicates(["node"])
 
 
-def similar_links(points: DataFrame, sets: Callable[[DataFrame], DataFrame], similarity: Fraction) -> DataFrame:
+def _verified(pairs: DataFrame, sets: Callable[[DataFrame], DataFrame], similarity: Fraction) -> DataFrame:
+    """The pairs of nodes (a, b) whose sets are similar."""
+    num, den = similarity.as_integer_ratio()
+    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    whole = written(sets(nodes), "similar-sets")
+    of = lambda side: whole.select(F.col("node").alias(side), F.col("shingles").alias(f"{side}_set"))
+    both = F.size(F.array_intersect("a_set", "b_set"))
+    held = pairs.join(of("a"), "a").join(of("b"), "b").where(both * (num + den) >= (F.size("a_set") + F.size("b_set")) * num)
+    return written(held.select("a", "b"), "similar-links")
+
+
+def print_links(first: DataFrame) -> DataFrame:
+    """a, b: nodes (of ``first``, with node and fp) whose fingerprints are linked, by way of the smallest node of each fingerprint."""
+    leads = written(first.groupBy("fp").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("n")), "simhash-leads")
+    of = lambda x: leads.select(F.col("fp").alias(x), F.col("lead").alias(f"{x}_node"))
+    apart = links(leads).join(of("a"), "a").join(of("b"), "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+    equal = first.join(leads.where("n > 1"), "fp").where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b"))
+    return written(apart.unionByName(equal), "simhash-pairs")
+
+
+def similar_links(points: DataFrame, given: DataFrame, sets: Callable[[DataFrame], DataFrame], similarity: Fraction) -> DataFrame:
     """a, b: links that give the components of all pairs of nodes whose sets are similar.
 
-    ``points`` has node, size and prefix, as of _prefixes(); ``sets`` gives node and shingles of the nodes of a frame.
+    ``points`` has node, size and prefix, as of _prefixes(); ``given`` links known before; ``sets`` gives node and shingles of the nodes of a frame.
     """
     num, den = similarity.as_integer_ratio()
-    by_token = Window.partitionBy("token")
-    cells = points.select("node", "size", F.posexplode("prefix").alias("pos", "token"))
-    cells = cells.select("*", F.min("node").over(by_token).alias("low"), F.max("node").over(by_token).alias("high")).where("low < high")
-    cells = cells.groupBy("token", "node").agg(F.min("size").alias("size"), F.min("pos").alias("pos"))
-    lead = F.min(F.struct("node", "size", "pos")).over(by_token)
-    cells = written(cells.select("*", F.count(F.lit(1)).over(by_token).alias("n"), lead.alias("lead")), "similar-cells")
     # A pair's first common shingle leaves at most so many after it: the overlap of similar sets must fit in.
     fits = lambda a, b: F.expr(f"{num + den} * least({a}size - {a}pos, {b}size - {b}pos) >= {num} * ({a}size + {b}size)")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        whole = written(sets(nodes), "similar-sets")
-        of = lambda side: whole.select(F.col("node").alias(side), F.col("shingles").alias(f"{side}_set"))
-        both = F.size(F.array_intersect("a_set", "b_set"))
-        held = pairs.join(of("a"), "a").join(of("b"), "b").where(both * (num + den) >= (F.size("a_set") + F.size("b_set")) * num)
-        return written(held.select("a", "b"), "similar-links")
-
-    stars = cells.where((F.col("n") > CELL_PAIRS) & (F.col("node") != F.col("lead.node")) & fits("", "lead."))
-    stars = written(stars.select(F.col("lead.node").alias("a"), F.col("node").alias("b")).distinct(), "similar-stars")
-    near = verified(stars)
-    roots = components(near)
-    cells = cells.drop("lead").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    cells = cells.select("*", F.min("root").over(by_token).alias("low"), F.max("root").over(by_token).alias("high")).where("low < high").drop("low", "high")
-    cells = cells.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    cells = written(cells.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "similar-open")
+    def open_cells(cells: DataFrame, roots: DataFrame) -> DataFrame:
+        """The members of cells with more than one component, with root. Cells are summed up before they are joined: a crowded one is split over tasks."""
+        rooted = written(cells.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "similar-rooted")
+        several = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("token")
+        return written(rooted.join(written(several, "similar-several"), "token", "left_semi"), "similar-cells")
+
+    one = points.select("node", "size", "prefix").dropDuplicates(["node"])  # equal sets have equal prefixes
+    cells = open_cells(one.select("node", "size", F.posexplode("prefix").alias("pos", "token")), components(given))
+    leads = cells.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lead"), *[F.min_by(x, "node").alias(f"lead_{x}") for x in ("size", "pos", "root")])
+    leads = written(leads.where(F.col("n") > CELL_PAIRS), "similar-leads")
+    stars = cells.join(leads, "token").where((F.col("root") != F.col("lead_root")) & fits("", "lead_"))
+    stars = written(stars.select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct(), "similar-stars")
+    near = written(given.unionByName(_verified(stars, sets, similarity)), "similar-near")
+    cells = open_cells(cells.drop("root"), components(near))
+    # Of each cell the largest component's members meet only those outside it.
+    shares = cells.groupBy("token", "root").agg(F.count(F.lit(1)).alias("n"))
+    shares = written(shares.groupBy("token").agg(F.sum("n").alias("n"), F.max_by("root", F.struct("n", "root")).alias("most")), "similar-shares")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    cells = cells.join(shares, "token").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+    cells = written(cells, "similar-open")
     side = lambda x: F.struct("node", "root", "size", "pos").alias(x)
-    left = cells.select("token", F.col("block").alias("i"), F.explode(F.expr("sequence(block, blocks - 1)")).alias("j"), side("x"))
-    right = cells.select("token", F.explode(F.expr("sequence(0, block)")).alias("i"), F.col("block").alias("j"), side("y"))
-    pairs = left.join(right.hint("merge"), ["token", "i", "j"]).where("x.root <> y.root AND (i < j OR x.node < y.node)").where(fits("x.", "y."))
+    left = cells.where("root <> most").select("token", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), side("x"))
+    right = cells.select("token", "block", side("y"), (F.col("root") == F.col("most")).alias("inner"))
+    pairs = left.join(right.hint("merge"), ["token", "block"]).where("x.root <> y.root AND (inner OR x.node < y.node)").where(fits("x.", "y."))
     pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
     pairs = written(pairs.join(stars, ["a", "b"], "left_anti"), "similar-pairs")
-    return near.unionByName(verified(pairs))
+    return near.unionByName(_verified(pairs, sets, similarity))
 
 
 def _resolved(docs: DataFrame, shingle: int, id_col: str, text_col: str, similarity: float | None = None) -> DataFrame:
@@ -285,10 +327,13 @@ def _resolved(docs: DataFrame, shingle: int, id_col: str, text_col: str, similar
     else:
         narrow, wanted = _narrow(docs, id_col, text_col), Fraction(similarity).limit_denominator(1000)
         points = written(_prefixes(narrow, shingle, wanted), "similar-points")
-        first = written(points.groupBy("node").agg(F.min(F.struct("doc", "text_hash")).alias("row")).select("node", F.col("row.doc").alias("first"), "row.text_hash"), "similar-first")
+        least = F.min(F.struct("doc", "text_hash")).alias("row")
+        first = written(points.groupBy("node").agg(least, F.first("fp").alias("fp")).select("node", "fp", F.col("row.doc").alias("first"), "row.text_hash"), "similar-first")
         rows = lambda nodes: first.join(nodes, "node").select(F.col("first").alias("doc"), "text_hash")
-        roots = components(similar_links(points, lambda nodes: _shingle_sets(narrow, shingle, rows(nodes)), wanted))
-        points = points.drop("size", "prefix")
+        sets = lambda nodes: _shingle_sets(narrow, shingle, rows(nodes))
+        given = _verified(print_links(first), sets, wanted)
+        roots = components(similar_links(points, given, sets, wanted))
+        points = points.drop("size", "prefix", "fp")
     rooted = first.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     named = written(rooted, "simhash-rooted")
     smallest = written(named.groupBy("root").agg(F.min("first").alias("component")), "simhash-smallest")

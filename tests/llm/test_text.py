@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -346,13 +347,102 @@ products derived from this software without specific prior written permission.
 
 def test_every_known_sentence_passes_the_stem_test():
     book = licenses.SentenceBook()
-    for name, forms in licenses.SENTENCES.items():
+    known = set()
+    for name, forms in licenses._all_sentences().items():
+        known.add(name)
         for form in forms:
             text = form.replace("{}", "some name")
             assert licenses._STEMS.search(text)
-            assert book.identify(licenses.normalise(text)) == name
-    known = set(licenses.SENTENCES)
-    assert all(set(rule) <= known for rules in licenses.RULES.values() for rule in rules)
+            assert book.identify(licenses.normalise(text)) == (name,)
+    rng = random.Random(1)
+    for licence, forms in licenses._all_names().items():
+        known |= {f"name:{licence}", f"spdx:{licence}"}
+        for form in rng.sample(forms, min(4, len(forms))):
+            text = " ".join((rng.choice(licenses.SUBJECTS), rng.choice(licenses.VERBS), rng.choice(licenses.LINKS), form))
+            assert licenses._STEMS.search(text) and book.identify(licenses.normalise(text)) == (f"name:{licence}",), text
+    known |= {f"{kind}:{x}" for kind in ("name", "spdx") for x in licenses.MORE_IDS}
+    assert all(set(rule) <= known for rules in licenses._all_rules().values() for rule in rules)
+
+
+def test_identifier_lines():
+    book, rules = licenses.SentenceBook(), licenses._all_rules()
+    found = lambda text: sorted({h[2] for h in licenses.rule_matches(licenses.known_sentences(text, book), rules)})
+    assert found("// SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0\nimport x") == ["GPL-2.0-only"]
+    assert found("# SPDX-License-Identifier: (MIT OR Apache-2.0)") == ["Apache-2.0", "MIT"]
+    assert found("SPDX-License-Identifier: GPL-2.0+") == found("SPDX-License-Identifier: GPL-2.0-or-later") == ["GPL-2.0-or-later"]
+    assert found("SPDX-License-Identifier: NoSuchLicence") == found("SPDX-License-Identifier:") == []
+    for licence in (*licenses._all_names(), *licenses.MORE_IDS):
+        assert found(f"/* SPDX-License-Identifier: {licence} */ code") == [licence]
+    assert found("Licensed under GPL-3.0.") == ["GPL-3.0-only"] and found("GNU GENERAL PUBLIC LICENSE\n  Version 3, 29 June 2007") == ["GPL-3.0-only"]
+
+
+def brute_known(text, book):
+    """Every run of pieces is looked up, without the question whether a sentence may go on."""
+    lines = [x for x in licenses._cut(text) if licenses.normalise(text[slice(*x)])]
+    words = [licenses.normalise(text[a:b]) for a, b in lines]
+    runs = []
+    for i in range(len(words)):
+        ends = {}
+        for j in range(i, len(words)):
+            sentence = " ".join(words[i : j + 1])
+            if names := book.identify(sentence):
+                ends[j] = names
+                if sentence not in book.whole and not sentence.startswith("spdx") and not any(True for _ in book._led(sentence)):
+                    break
+        runs.append(ends)
+    out = []
+    for i, ends in enumerate(runs):
+        single = [e for e in ends if not any(m < e and e in runs[m + 1] for m in ends)]
+        if single:
+            a, b = lines[i][0], lines[max(single)][1]
+            out += [(a + len(text[a:b]) - len(text[a:b].lstrip()), b, n) for n in ends[max(single)]]
+    return sorted(out)
+
+
+def brute_rules(sequence, rules, gap):
+    hits = []
+    for licence, variants in rules.items():
+        for rule in variants:
+            for i in range(len(sequence)):
+                if sequence[i][4] != rule[0]:
+                    continue
+                used = [i]
+                while len(used) < len(rule):
+                    last = sequence[used[-1]]
+                    later = [j for j in range(used[-1] + 1, len(sequence)) if sequence[j][4] == rule[len(used)] and all(sequence[k][2] - last[3] <= gap + 1 for k in range(used[-1] + 1, j + 1))]
+                    if not later:
+                        break
+                    used.append(later[0])
+                if len(used) == len(rule):
+                    hits.append((sequence[i][0], sequence[used[-1]][1], licence, set(used)))
+    return sorted({(s, e, x, len(u)) for s, e, x, u in hits if not any(u < v for *_, v in hits)})
+
+
+def test_licences_against_brute_force():
+    book, rules, rng = licenses.SentenceBook(), licenses._all_rules(), random.Random(8)
+    forms = [f.replace("{}", "a b c") for fs in licenses.SENTENCES.values() for f in fs] + ["Licensed under the MIT License", "SPDX-License-Identifier: MIT OR Zlib", "Some words", "GNU General Public License", "version 2"]
+    for _ in range(150):
+        text = "".join(rng.choice(forms) + rng.choice([".", ". ", "\n", "\n\n", "; ", ":\n# "]) for _ in range(rng.randint(0, 12)))
+        if rng.random() < 0.5:
+            text = text.replace(" ", rng.choice(["\n", " "]), rng.randint(0, 30))
+        got = licenses.known_sentences(text, book)
+        assert sorted((a, b, n) for a, b, _, _, n in got) == (brute_known(text, book) if licenses._STEMS.search(text) else [])
+        assert licenses.rule_matches(got, rules) == brute_rules(got, rules, licenses.GAP)
+
+
+def test_many_notices_take_linear_time():
+    book, rules = licenses.SentenceBook(), licenses._all_rules()
+    text = "Licensed under the MIT License.\n" * 20_000
+    started = time.process_time()
+    assert len(licenses.rule_matches(licenses.known_sentences(text, book), rules)) == 20_000
+    assert time.process_time() - started < 5
+
+
+def test_licences_odd_rows(spark):
+    df = frame(spark, [MIT, MIT, None, "", MIT * 50], [1, 1, None, None, None])
+    got = sorted(((r.doc_id, r.n_sentences, r.licenses) for r in licenses.license_scan(df).collect()), key=repr)
+    assert got == sorted([(1, 3, "MIT"), (1, 3, "MIT"), (None, 0, ""), (None, 0, ""), (None, 150, "MIT")], key=repr)
+    assert licenses.license_scan(df.limit(0)).count() == 0
 
 
 def test_license_rules(spark):
@@ -437,7 +527,7 @@ def test_wrapped_licences(spark):
 def test_every_known_form_is_found_in_a_text():
     """As one line within a text, and with a line for each word."""
     book = licenses.SentenceBook()
-    for name, forms in licenses.SENTENCES.items():
+    for name, forms in licenses._all_sentences().items():
         for form in forms:
             text = form.replace("{}", "some name")
             for inside in (text, text.replace(" ", "\n")):
