@@ -16,15 +16,17 @@ import struct
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from logweave.llm.common import fresh, table
+from logweave.llm.common import fresh, give_back, table
 from logweave.llm.token_counts import pieces, tokenizer_path, word_splitter
 
 KNOWN_ENTRIES, KNOWN_PIECE = 700_000, 64
+#: Rows whose ids are held together in a worker.
+ROWS = 500
 
 
 def byte_letters() -> list[str]:
@@ -119,6 +121,8 @@ class PrefixEncoder:
         split = self.split(piece)
         if split is None:  # as the library cuts it
             return b"".join(pack(self.encode_word(w.translate(self.code))) for w, _ in self.library_split(piece))
+        if len(split) == 1:  # known as a piece
+            return pack(self.encode_word(piece.encode().decode("latin-1")))
         out, words = [], self.words
         for word in split:
             ids = words.get(word)
@@ -170,21 +174,25 @@ def encode_decode(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", text_co
     Where ``docs`` has a column of such a name, underscores go before the new one. A null text is encoded as
     the empty text. All rows and columns stay, repeated rows and null ids too; empty tables give empty results.
     """
-    packed, ids_name, decoded_name = fresh(docs, "packed", ids_col, decoded_col)
-    both = docs.withColumn(packed, _encoder(tokenizer)(F.col(text_col)))
-    return both.select(*[F.col(f"`{c}`") for c in docs.columns], F.col(f"{packed}.ids").alias(ids_name), F.col(f"{packed}.decoded").alias(decoded_name))
+    ids_name, decoded_name = fresh(docs, ids_col, decoded_col)
+    at = docs.columns.index(text_col)
+    schema = T.StructType([*docs.schema.fields, T.StructField(ids_name, T.ArrayType(T.LongType())), T.StructField(decoded_name, T.StringType())])
 
-
-def _encoder(tokenizer: str):
-    @F.pandas_udf("struct<ids array<long>, decoded string>")
-    def both(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = None
-        for texts in series:
+        for batch in batches:
             encoder = encoder or PrefixEncoder(tokenizer)
-            ids = [encoder.encode(t or "") for t in texts]
-            yield pd.DataFrame({"ids": [np.frombuffer(i, "<u4").astype(np.int64) for i in ids], "decoded": [encoder.decode(i) for i in ids]})
-
-    return both
+            for start in range(0, batch.num_rows, ROWS):
+                rows = batch.slice(start, ROWS)
+                ids = [encoder.encode(t.as_py() or "") for t in rows.column(at)]
+                offsets = np.r_[0, np.cumsum([len(i) // 4 for i in ids])].astype(np.int32)
+                flat = np.frombuffer(b"".join(ids), "<u4").astype(np.int64)
+                arrays = [*rows.columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array([encoder.decode(i) for i in ids], pa.string())]
+                yield pa.RecordBatch.from_arrays(arrays, [*rows.schema.names, ids_name, decoded_name])
+        del encoder
+        give_back()
+
+    return docs.mapInArrow(run, schema)
 
 
 def encode_digests(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

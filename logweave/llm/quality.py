@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.llm.common import bounded, fresh, table, written
+from logweave.llm.common import bounded, fresh, give_back, table, written
 
 ORDER, SYMBOL_BITS = 5, 12
 #: Code points that are one symbol; PAIR leads and as many trails cover all others.
@@ -91,6 +91,7 @@ def _gram_counts(order: int):
                         yield from flush()
                         size = 0
         yield from flush()
+        give_back()
 
     return run
 
@@ -171,18 +172,17 @@ def _by_table(scores: DataFrame, order: int) -> Callable[[DataFrame], DataFrame]
     sent = scores.sparkSession.sparkContext.broadcast(_score_tables(scores))
 
     @F.pandas_udf("struct<n long, total double>")
-    def score(langs: pd.Series, texts: pd.Series) -> pd.DataFrame:
-        n, total = [], []
-        for lang, text in zip(langs, texts, strict=True):
-            t = sent.value.get(lang)
-            if t is None or not text:
-                n.append(0)
-                total.append(0.0)
-                continue
-            gram = grams(text, order)
-            n.append(len(gram))
-            total.append(float(t[1][np.searchsorted(t[0], gram)].sum(dtype=np.float64)))
-        return pd.DataFrame({"n": n, "total": total})
+    def score(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        tables = sent.value
+        for langs, texts in pairs:
+            n, total = [], []
+            for lang, text in zip(langs, texts, strict=True):
+                t = tables.get(lang)
+                gram = grams(text, order) if t is not None and text else None
+                n.append(0 if gram is None else len(gram))
+                total.append(0.0 if gram is None else float(t[1][np.searchsorted(t[0], gram)].sum(dtype=np.float64)))
+            yield pd.DataFrame({"n": n, "total": total})
+        give_back()
 
     return lambda frame: frame.withColumn("score", score("lang", "text"))
 

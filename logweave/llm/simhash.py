@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from logweave.llm.common import NULL_ID, bounded, fresh, row_hash, table, written
+from logweave.llm.common import NULL_ID, bounded, fresh, give_back, row_hash, table, written
 
 #: The hash seed of the fingerprints, and the grid for a radius of four.
 SEED, RADIUS, GROUPS = 42, 4, 8
@@ -106,6 +106,7 @@ def fingerprints(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col
         for batch in batches:
             fps = [fingerprint(t.as_py(), shingle, xxhash.xxh64_intdigest) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps, pa.int64())], ["doc", "text_hash", "fp"])
+        give_back()
 
     return _narrow(docs, id_col, text_col).mapInArrow(run, "doc long, text_hash long, fp long")
 
@@ -190,9 +191,9 @@ def _common_shingles(narrow: DataFrame, shingle: int) -> tuple[np.ndarray, np.nd
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        for batch in batches:
-            for t in batch.column(0):
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t.as_py(), shingle, xxhash.xxh64_intdigest))], ["token"])
+        for batch in _pieces(batches):
+            yield pa.RecordBatch.from_arrays([_lists([shingle_set(t.as_py(), shingle, xxhash.xxh64_intdigest) for t in batch.column(0)]).flatten()], ["token"])
+        give_back()
 
     share = min(SAMPLE_SHARE, max(1, narrow.count() // SAMPLE_ROWS))
     some = narrow.where(F.pmod("text_hash", F.lit(share)) == 0).select("text")
@@ -240,6 +241,7 @@ def _prefixes(narrow: DataFrame, shingle: int, similarity: Fraction) -> DataFram
                 first.append(h[: len(h) + (-num * len(h) // den) + 1])
             columns = [batch.column(0), batch.column(2), pa.array(nodes, pa.int64()), pa.array(fps, pa.int64()), pa.array(sizes, pa.int32()), _lists(first)]
             yield pa.RecordBatch.from_arrays(columns, ["doc", "text_hash", "node", "fp", "size", "prefix"])
+        give_back()
 
     return narrow.mapInArrow(run, "doc long, text_hash long, node long, fp long, size int, prefix array<long>")
 
@@ -254,6 +256,7 @@ def _shingle_sets(narrow: DataFrame, shingle: int, rows: DataFrame) -> DataFrame
             sets = [shingle_set(t.as_py(), shingle, xxhash.xxh64_intdigest) for t in batch.column(0)]
             nodes = [_signed(xxhash.xxh64_intdigest(h.tobytes(), SEED)) for h in sets]
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), _lists(sets)], ["node", "shingles"])
+        give_back()
 
     wanted = narrow.join(bounded(rows, F.lit(16)), ["doc", "text_hash"], "left_semi").select("text")
     return wanted.mapInArrow(run, "node long, shingles array<long>").dropDuplicates(["node"])

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.llm.common import BROADCAST_BYTES, table, written
+from logweave.llm.common import BROADCAST_BYTES, give_back, table, written
 
 WINDOW, GRAM = 50, 8
 #: Odd multiplier of the rolling hashes, and the two of the bit mixer.
@@ -191,6 +191,7 @@ def _index_rows(window: int):
                         yield key, void, *_distinct(p.anchors, p.stretches, p.first)
 
         yield from _batches(rows(), ["anchor", "stretch", "key", "void", "place"])
+        give_back()
 
     return run
 
