@@ -11,7 +11,12 @@ from logweave.model import EVENT_LOGS_SQL, LogFilter, event_logs
 from logweave.operators import bins as B
 from logweave.operators import kv, sched
 from logweave.operators import ranges as R
-from logweave.plans.query import CachedQuery, DividedQuery, point_lookup, size_sieve, tip_of
+from logweave.operators.stores import CodedStore, LogStore, TieredStore, optimised
+from logweave.plans.query import CachedQuery, DividedQuery, size_sieve
+from logweave.shared import fresh_path
+from logweave.sources import files
+from logweave.sources.bins import BinStore
+from logweave.sources.logs import EventSource, NarrowSource, SievedSource, layered
 
 #: Blocks in a bin of the views below, whose blocks hold four logs.
 BIN = 50
@@ -53,25 +58,25 @@ ORDER_RANGES = "r AS (SELECT o_custkey % 97 AS lane, o_orderkey * 7 AS from_bloc
 @query(f"WITH {EVENT_LOGS_SQL} SELECT address, block_number, block_hash, log_index, tx_hash, data FROM logs WHERE topic0 = 'error' AND block_number BETWEEN 100 AND 2000")
 def range_scan(spark, sf_dir):
     query = DividedQuery(LogFilter(topics=(("error",),), from_block=100, to_block=2000), max_range=BIN, align=BIN)
-    return query.execute(event_logs(spark, sf_dir)).select(*LOG)
+    return query.execute(EventSource(spark, sf_dir)).select(*LOG)
 
 
 @query(f"WITH {EVENT_LOGS_SQL} SELECT address, block_number, block_hash, log_index, tx_hash, data FROM logs WHERE topic0 IN ('click', 'view') AND address IN ('0x' || lpad('7', 40, '0'), '0x' || lpad('8', 40, '0'))")
 def address_topic_scan(spark, sf_dir):
     wanted = LogFilter(addresses=tuple("0x" + n.rjust(40, "0") for n in "78"), topics=(("CLICK", "view"),))
-    return DividedQuery(wanted).execute(event_logs(spark, sf_dir)).select(*LOG)
+    return DividedQuery(wanted).execute(EventSource(spark, sf_dir)).select(*LOG)
 
 
 @query(f"WITH {EVENT_LOGS_SQL}, tip AS (SELECT max(block_number) AS tip FROM logs) SELECT address, block_number, block_hash, log_index, tx_hash, data FROM logs, tip WHERE block_number BETWEEN tip - 10 AND least(tip + 1000, tip)")
 def tip_clamp(spark, sf_dir):
-    logs = event_logs(spark, sf_dir)
-    tip = tip_of(logs)
-    return DividedQuery(LogFilter(from_block=tip - 10, to_block=tip + 1000)).execute(logs, tip).select(*LOG)
+    source = EventSource(spark, sf_dir)
+    tip = source.tip()
+    return DividedQuery(LogFilter(from_block=tip - 10, to_block=tip + 1000)).execute(source, tip).select(*LOG)
 
 
 @query(f"WITH {EVENT_LOGS_SQL} SELECT address, block_number, block_hash, log_index, tx_hash, data FROM logs WHERE block_hash = '0x' || lpad('42', 64, '0')")
 def point_by_hash(spark, sf_dir):
-    return point_lookup(event_logs(spark, sf_dir), LogFilter(block_hash="0x" + "42".rjust(64, "0"))).select(*LOG)
+    return DividedQuery(LogFilter(block_hash="0x" + "42".rjust(64, "0"))).execute(EventSource(spark, sf_dir)).select(*LOG)
 
 
 # --- ranges --------------------------------------------------------------------
@@ -188,7 +193,7 @@ CACHED = CachedQuery(LogFilter(topics=(("error",),), from_block=100, to_block=20
 
 @query(f"WITH {EVENT_LOGS_SQL}, {MANIFEST}, {WANTED} SELECT bin_start, bin_start + {BIN - 1} AS bin_end FROM wanted WHERE bin_start IN (SELECT bin_start FROM hit)")
 def cache_hits(spark, sf_dir):
-    return CACHED.plan(event_logs(spark, sf_dir), manifest(spark, sf_dir))[0]
+    return CACHED.plan(manifest(spark, sf_dir), EventSource(spark, sf_dir).tip())[0]
 
 
 @query(
@@ -196,13 +201,23 @@ def cache_hits(spark, sf_dir):
     "SELECT min(from_block) AS from_block, max(to_block) AS to_block FROM i GROUP BY island"
 )
 def cache_gaps(spark, sf_dir):
-    return CACHED.plan(event_logs(spark, sf_dir), manifest(spark, sf_dir))[1]
+    return CACHED.plan(manifest(spark, sf_dir), EventSource(spark, sf_dir).tip())[1]
+
+
+def earlier_bins(spark, sf_dir) -> BinStore:
+    """A store with the bins of manifest()."""
+    source, store = EventSource(spark, sf_dir), BinStore(spark, fresh_path(spark, "bins"))
+    rows = [(r.bin_start, r.fetched_to, r.fetched_at, r.fetched_at_block) for r in manifest(spark, sf_dir).collect()]  # a bin for each thousands of logs
+    logs = source.logs(LogFilter(topics=CACHED.filter.topics), [(a, b) for a, b, _, _ in rows])
+    store.write(B.bin_logs(logs, BIN), rows)
+    return store
 
 
 @query(SQL["range_scan"])
 def cached_range_query(spark, sf_dir):
-    logs = event_logs(spark, sf_dir)
-    return CACHED.execute(logs, B.bin_logs(logs, BIN), manifest(spark, sf_dir)).select(*LOG)
+    """Every third bin was written before, some not to their end; the others are fetched, stored and read."""
+    source, store = EventSource(spark, sf_dir), earlier_bins(spark, sf_dir)
+    return CACHED.execute(source, store).select(*LOG)
 
 
 # --- freshness -------------------------------------------------------------------
@@ -291,7 +306,14 @@ def group_by_prefix(spark, sf_dir):
     return parts.groupBy(F.col("k.group").alias("key_group")).agg(F.count(F.lit(1)).alias("n_keys"), F.max("k.rest").alias("last_rest"))
 
 
-@query()
+@query(
+    """WITH RECURSIVE t(item_id, place, n, largest) AS (
+      SELECT item_id, CAST(1 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM benchmark
+      UNION ALL
+      SELECT item_id, place + k, n + 1, greatest(largest, strlen(substr(text, place, k))) FROM (
+        SELECT t.*, b.text, coalesce(list_max(list_filter(range(1, 49), lambda k: strlen(substr(b.text, t.place, k)) <= 48 AND t.place + k - 1 <= length(b.text))), 0) AS k FROM t JOIN benchmark b USING (item_id) WHERE t.place <= length(b.text))
+    ) SELECT item_id, greatest(max(n), 1) AS n_shards, max(largest) AS largest, true AS joins_back FROM t GROUP BY item_id"""
+)
 def shard_greedy(spark, sf_dir):
     """Pieces of each question: number, bytes of the largest, and whether they join back."""
     text = F.col("text")
@@ -344,7 +366,7 @@ def tiered_lookup(spark, sf_dir):
 @query("WITH k AS (SELECT DISTINCT c_mktsegment || CASE WHEN c_custkey % 2 = 0 THEN ' x' ELSE '' END AS key FROM customer) SELECT key, row_number() OVER (ORDER BY '\"' || key || '\"') AS position FROM k")
 def rawkey_sort(spark, sf_dir):
     keys = table(spark, sf_dir, "customer").select(F.concat("c_mktsegment", F.when(F.col("c_custkey") % 2 == 0, " x").otherwise("")).alias("key")).distinct()
-    return keys.select("key", F.row_number().over(Window.orderBy(S.raw_key(F.col("key")))).cast("long").alias("position"))
+    return R.numbered(keys.withColumn("raw", S.raw_key(F.col("key"))), "raw", "position").drop("raw")
 
 
 @query(
@@ -355,7 +377,7 @@ def line_map_merge(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", F.col("event_type").isin("view", "click").alias("old"), F.concat(F.lit("k"), F.lpad(F.col("user_id").cast("string"), 4, "0")).alias("key"), F.col("props").alias("value"))
     stored = B.latest_per_key(e.where("old"), "key", "event_id", "value")
     line = F.concat(F.lit('{"key":'), S.raw_key(F.col("key")), F.lit(',"value":'), "value", F.lit("}"))
-    lines = stored.select(F.row_number().over(Window.orderBy("key")).alias("line_no"), line.alias("line"))
+    lines = R.numbered(stored.select("key", line.alias("line")), "key", "line_no").drop("key")
     pending = e.where("NOT old").select(S.raw_key(F.col("key")).alias("raw"), "key", "value", F.col("event_id").alias("seq"))
     return kv.merge_lines(kv.parse_lines(lines), pending).select("key", "value")
 
@@ -368,7 +390,17 @@ def sharded_values(spark, sf_dir):
     return kv.from_shards(shards.withColumn("payload", torn), "c_custkey", "v").select("c_custkey", F.decode("v", "utf-8").alias("value"))
 
 
-@query()
+@query(
+    """WITH RECURSIVE o AS (SELECT user_id % 16 AS cache_id, event_id AS seq, CASE WHEN event_type IN ('view', 'click') THEN 'get' WHEN event_type = 'error' THEN 'delete' ELSE 'set' END AS op, user_id AS k, CAST(strlen(props) AS BIGINT) AS b,
+      row_number() OVER (PARTITION BY user_id % 16 ORDER BY event_id) AS i FROM events),
+    t(cache_id, i, seq, hit, held) AS (
+      SELECT DISTINCT cache_id, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), false, CAST([] AS STRUCT(k BIGINT, b BIGINT)[]) FROM o
+      UNION ALL
+      SELECT cache_id, i, seq, hit, CASE WHEN op = 'get' THEN CASE WHEN hit THEN list_append(others, mine[1]) ELSE others END WHEN op = 'delete' OR b > 60 THEN others
+        ELSE list_append(list_filter(others, lambda e, j: list_sum(list_transform(others[j:], lambda x: x.b)) + b <= 60), {'k': k, 'b': b}) END FROM (
+        SELECT o.*, list_filter(t.held, lambda e: e.k <> o.k) AS others, list_filter(t.held, lambda e: e.k = o.k) AS mine, len(list_filter(t.held, lambda e: e.k = o.k)) > 0 AS hit FROM t JOIN o ON t.cache_id = o.cache_id AND o.i = t.i + 1)
+    ) SELECT cache_id, seq, hit, CAST(coalesce(list_sum(list_transform(held, lambda x: x.b)), 0) AS BIGINT) AS cached_bytes FROM t WHERE i > 0"""
+)
 def lru_hits(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     op = F.when(F.col("event_type").isin("view", "click"), "get").when(F.col("event_type") == "error", "delete").otherwise("set")
@@ -376,10 +408,17 @@ def lru_hits(spark, sf_dir):
     return kv.lru(ops, 60)
 
 
-@query()
+@query(
+    """WITH RECURSIVE o AS (SELECT user_id % 16 AS lane, event_id, CAST(strlen(props) AS BIGINT) AS n_bytes, row_number() OVER (PARTITION BY user_id % 16 ORDER BY event_id) AS i FROM events),
+    t(lane, event_id, n_bytes, i, flush_id, held) AS (
+      SELECT lane, event_id, n_bytes, i, CAST(0 AS BIGINT), n_bytes FROM o WHERE i = 1
+      UNION ALL
+      SELECT o.lane, o.event_id, o.n_bytes, o.i, CASE WHEN t.held >= 100 THEN t.flush_id + 1 ELSE t.flush_id END, CASE WHEN t.held >= 100 THEN o.n_bytes ELSE t.held + o.n_bytes END FROM t JOIN o ON t.lane = o.lane AND o.i = t.i + 1
+    ) SELECT lane, event_id, n_bytes, flush_id FROM t"""
+)
 def flush_threshold(spark, sf_dir):
     e = table(spark, sf_dir, "events").select((F.col("user_id") % 16).alias("lane"), "event_id", F.octet_length("props").cast("long").alias("n_bytes"))
-    return kv.flush_ids(e, 100, ["lane"], "event_id", "n_bytes")
+    return kv.flush_ids(e, 100, "lane", "event_id", "n_bytes")
 
 
 # --- scheduling ----------------------------------------------------------------------
@@ -422,19 +461,52 @@ def debounce_sessions(spark, sf_dir):
     return sched.debounce_sessions(trace(spark, sf_dir), "user_id", "arrival_us", 3_600_000_000, "seq")
 
 
-@query()
+@query(
+    """WITH RECURSIVE x AS (SELECT user_id, epoch_us(ts) AS moment, event_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS i FROM events),
+    t(user_id, i, moment, seq, first, n) AS (
+      SELECT user_id, i, moment, seq, moment, CAST(1 AS BIGINT) FROM x WHERE i = 1
+      UNION ALL
+      SELECT x.user_id, x.i, x.moment, x.seq, CASE WHEN least(t.moment + 3600000000, t.first + 9000000000) < x.moment THEN x.moment ELSE t.first END, CASE WHEN least(t.moment + 3600000000, t.first + 9000000000) < x.moment THEN 1 ELSE t.n + 1 END
+      FROM t JOIN x ON t.user_id = x.user_id AND x.i = t.i + 1
+    ), w AS (SELECT *, least(moment + 3600000000, first + 9000000000) AS due, lead(moment) OVER (PARTITION BY user_id ORDER BY i) AS next FROM t)
+    SELECT user_id, due AS written_at, seq, n AS n_coalesced FROM w WHERE (next IS NULL OR due < next) AND due - moment <= 7200000000"""
+)
 def debounce_full(spark, sf_dir):
     ops = trace(spark, sf_dir).select("user_id", F.col("arrival_us").alias("at"), "seq")
     return sched.debounced_writes(ops, "user_id", 3_600_000_000, 9_000_000_000, 7_200_000_000)
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {TRACE}, o AS (SELECT x.user_id, x.seq, CAST(x.arrival_us AS DOUBLE) AS a, CAST(x.duration_us AS DOUBLE) AS d, row_number() OVER (PARTITION BY x.user_id ORDER BY x.arrival_us, x.seq) AS i,
+      CASE e.event_type WHEN 'error' THEN 0.0::DOUBLE WHEN 'purchase' THEN 1.0::DOUBLE ELSE 9.0::DOUBLE END AS p FROM x JOIN events e ON x.seq = e.event_id),
+    t(user_id, i, now, tokens, stamp, waiting, running, seq, start) AS (
+      SELECT DISTINCT user_id, CAST(0 AS BIGINT), 0.0::DOUBLE, 2.0::DOUBLE, 0.0::DOUBLE, CAST([] AS STRUCT(p DOUBLE, s BIGINT, d DOUBLE)[]), CAST([] AS DOUBLE[]), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT) FROM o
+      UNION ALL
+      SELECT user_id, CASE WHEN comes THEN i + 1 ELSE i END,
+        CASE WHEN comes THEN greatest(now, a) WHEN len(busy) >= 2 THEN greatest(now, list_min(busy)) WHEN have < 1 - 1e-9::DOUBLE THEN now + (1 - have) * 10000000000.0::DOUBLE ELSE now END,
+        CASE WHEN comes THEN tokens WHEN starts THEN have - 1 ELSE have END, CASE WHEN comes THEN stamp ELSE now END,
+        CASE WHEN comes THEN list_sort(list_append(waiting, {{'p': p, 's': s, 'd': d}})) WHEN starts THEN waiting[2:] ELSE waiting END,
+        CASE WHEN comes THEN running WHEN starts THEN list_append(busy, now + waiting[1].d) ELSE busy END,
+        CASE WHEN starts THEN waiting[1].s END, CASE WHEN starts THEN CAST(round(now) AS BIGINT) END FROM (
+        SELECT *, NOT comes AND len(busy) < 2 AND have >= 1 - 1e-9::DOUBLE AS starts FROM (
+          SELECT t.*, o.a, o.p, o.seq AS s, o.d, o.a IS NOT NULL AND (len(t.waiting) = 0 OR t.now >= o.a) AS comes, list_filter(t.running, lambda e: e > t.now) AS busy, least(2.0::DOUBLE, t.tokens + (t.now - t.stamp) / 10000000000.0::DOUBLE) AS have
+          FROM (SELECT user_id, i, now, tokens, stamp, waiting, running FROM t) t LEFT JOIN o ON t.user_id = o.user_id AND o.i = t.i + 1 WHERE o.a IS NOT NULL OR len(t.waiting) > 0))
+    ) SELECT user_id, seq, start AS start_us FROM t WHERE seq IS NOT NULL"""
+)
 def limiter_trace(spark, sf_dir):
     priority = F.when(F.col("event_type") == "error", 0.0).when(F.col("event_type") == "purchase", 1.0)
     return sched.limiter(trace(spark, sf_dir).withColumn("priority", priority), "user_id", 2, 0.0001, 2)
 
 
-@query()
+@query(
+    """WITH RECURSIVE x AS (SELECT user_id, epoch_us(ts) AS call_start, epoch_us(ts) + event_id % 50 * 1000000000 AS call_end FROM events),
+    o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY call_start, call_end) AS i FROM x),
+    t(user_id, call_start, call_end, i, lead, until) AS (
+      SELECT user_id, call_start, call_end, i, call_start, call_end FROM o WHERE i = 1
+      UNION ALL
+      SELECT o.user_id, o.call_start, o.call_end, o.i, CASE WHEN o.call_start >= t.until THEN o.call_start ELSE t.lead END, CASE WHEN o.call_start >= t.until THEN o.call_end ELSE t.until END FROM t JOIN o ON t.user_id = o.user_id AND o.i = t.i + 1
+    ) SELECT user_id, call_start, call_end, lead AS leader_start FROM t"""
+)
 def in_flight_calls(spark, sf_dir):
     calls = trace(spark, sf_dir).select("user_id", F.col("arrival_us").alias("call_start"), (F.col("arrival_us") + F.col("duration_us")).alias("call_end"))
     return sched.in_flight_dedupe(calls, "user_id", "call_start", "call_end")
@@ -484,7 +556,7 @@ def next_flush(spark, sf_dir):
 def cold_bins(spark, sf_dir):
     """Bins that the tip has passed: only these can be stored."""
     logs = event_logs(spark, sf_dir)
-    tip = tip_of(logs) - 7
+    tip = EventSource(spark, sf_dir).tip() - 7
     return B.bin_logs(logs, BIN).where(F.col("bin_start") + BIN - 1 <= tip).select("bin_start").distinct()
 
 
@@ -513,6 +585,166 @@ def json_sizes(spark, sf_dir):
     return sized.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_turns"), F.sum("n").alias("n_bytes"))
 
 
+# --- divided and cached execution, layers and stores ---------------------------------------
+
+
+def _of_responses(spark, responses) -> DataFrame:
+    """from_block, to_block, priority and n_logs of each answered range."""
+    out = spark.createDataFrame([], "from_block long, to_block long, priority double, n_logs long")
+    for r in responses:
+        out = out.unionByName(r.logs.agg(F.count(F.lit(1)).alias("n_logs")).select(F.lit(r.from_block).cast("long").alias("from_block"), F.lit(r.to_block).cast("long").alias("to_block"), F.lit(float(r.priority)).alias("priority"), "n_logs"))
+    return out
+
+
+ERRORS = LogFilter(topics=(("error",),), from_block=30, to_block=230)
+
+
+@query(f"WITH {EVENT_LOGS_SQL}, tip AS (SELECT max(block_number) AS tip FROM logs), c AS (SELECT unnest(range(0, 300, 60)) AS f), k AS (SELECT f, least(f + 59, 249, tip) AS t, f / 300.0::DOUBLE AS p FROM c, tip) SELECT f AS from_block, t AS to_block, p AS priority, CAST((SELECT count(*) FROM logs WHERE topic0 = 'error' AND block_number BETWEEN f AND t) AS BIGINT) AS n_logs FROM k WHERE f <= t")
+def progressive_chunks(spark, sf_dir):
+    """What a progressive sink gets: each aligned chunk before the trim, in order of its priority."""
+    seen = []
+    DividedQuery(ERRORS, max_range=60, align=50).execute(EventSource(spark, sf_dir), on_response=seen.append)
+    return _of_responses(spark, seen)
+
+
+@query(
+    f"""WITH RECURSIVE {EVENT_LOGS_SQL}, h AS (SELECT least(999, max(block_number)) AS hi FROM logs), n AS (SELECT hi, hi // 200 + 1 AS n FROM h),
+    t(f, t, p) AS (SELECT 200 * i, least(200 * i + 199, hi), i / CAST(n AS DOUBLE) FROM (SELECT hi, n, unnest(range(0, n)) AS i FROM n)
+      UNION ALL SELECT CASE WHEN s = 0 THEN f ELSE f + (t - f + 1) // 2 END, CASE WHEN s = 0 THEN f + (t - f + 1) // 2 - 1 ELSE t END, p FROM t, (VALUES (0), (1)) v(s) WHERE t - f + 1 > 40)
+    SELECT f AS from_block, t AS to_block, p AS priority, (SELECT count(*) FROM logs WHERE topic0 = 'error' AND block_number BETWEEN f AND t) AS n_logs FROM t WHERE t - f + 1 <= 40"""
+)
+def refused_ranges(spark, sf_dir):
+    """A source that refuses more than 40 blocks: chunks of 200 are halved until it answers, at their chunk's priority."""
+    wanted = LogFilter(topics=(("error",),), from_block=0, to_block=999)
+    return _of_responses(spark, DividedQuery(wanted, max_range=200).responses(NarrowSource(EventSource(spark, sf_dir), 40)))
+
+
+@query(f"WITH {EVENT_LOGS_SQL} SELECT address, block_number, block_hash, log_index, tx_hash, data FROM logs WHERE false")
+def sink_only(spark, sf_dir):
+    """With a sink alone the result is empty."""
+    return DividedQuery(ERRORS, max_range=100).execute(EventSource(spark, sf_dir), on_response=lambda r: None, only=True).select(*LOG)
+
+
+@query(f"WITH {EVENT_LOGS_SQL}, b AS (SELECT unnest(range(0, 1000, {BIN})) AS bin_start), tip AS (SELECT max(block_number) AS tip FROM logs) SELECT bin_start, count(topic0) AS n_logs, min(log_index + 4 * block_number) AS first_event FROM b JOIN tip ON bin_start + {BIN - 1} <= tip LEFT JOIN logs ON block_number // {BIN} * {BIN} = bin_start AND topic0 = 'purchase' GROUP BY bin_start")
+def bins_written(spark, sf_dir):
+    """The bins that a cached query writes: complete ones, each with its logs, and nothing of the bin that the tip is in."""
+    store = BinStore(spark, fresh_path(spark, "bins"))
+    CachedQuery(LogFilter(topics=(("purchase",),), from_block=0, to_block=999), BIN).execute(EventSource(spark, sf_dir), store)
+    held = store.manifest().select("bin_start")
+    logs = B.bin_logs(store.read([r.bin_start for r in held.collect()]), BIN)
+    return held.join(logs, "bin_start", "left").groupBy("bin_start").agg(F.count("block_number").alias("n_logs"), F.min(F.col("log_index") + 4 * F.col("block_number")).alias("first_event"))
+
+
+@query(f"WITH {EVENT_LOGS_SQL} SELECT address, block_number, block_hash, log_index, tx_hash, data FROM logs WHERE topic0 = 'error' AND block_number BETWEEN 30 AND 230 AND {NODE_SIZE} <= 416")
+def layered_query(spark, sf_dir):
+    """A sieve around a source that refuses wide ranges around the table."""
+    source = layered(EventSource(spark, sf_dir), lambda s: NarrowSource(s, 25), lambda s: SievedSource(s, 416))
+    return DividedQuery(ERRORS, max_range=100, align=50).execute(source).select(*LOG)
+
+
+@query(f"WITH {EVENT_LOGS_SQL}, {MANIFEST}, {WANTED}, m AS (SELECT bin_start, bin_start + 1000 - (bin_start + {BIN - 1}) AS confirmations FROM wanted WHERE bin_start IN (SELECT bin_start FROM hit)) SELECT bin_start, bin_start + {BIN - 1} AS bin_end FROM m WHERE bin_start % 100 / CAST(100 AS DOUBLE) >= confirmations / CAST(2000 AS DOUBLE)")
+def refetch_decisions(spark, sf_dir):
+    """Hits under a strategy of the caller and a fixed draw: what falls below the chance is fetched anew."""
+    query_ = CachedQuery(CACHED.filter, BIN, lambda confirmations, age_ms, chunks: confirmations / F.lit(2000.0))
+    return query_.plan(manifest(spark, sf_dir), EventSource(spark, sf_dir).tip(), draw=F.col("bin_start") % 100 / F.lit(100.0))[0]
+
+
+def _entries(df: DataFrame, key: str, value: str) -> DataFrame:
+    return df.select(F.col(key).cast("string").alias("key"), F.encode(value, "utf-8").alias("value"), F.lit("set").alias("op"), F.lit(0).cast("long").alias("seq"))
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS key, p_brand AS value FROM part WHERE p_partkey % 5 = 0 UNION ALL SELECT CAST(s_suppkey AS VARCHAR), s_name FROM supplier WHERE s_suppkey % 5 <> 0 AND s_suppkey % 3 = 0")
+def warmed_tiers(spark, sf_dir):
+    """What the near store holds after reads through both: its own entries and those that the reads missed."""
+    near, far = (LogStore(spark, fresh_path(spark, "store")) for _ in range(2))
+    near.apply(_entries(table(spark, sf_dir, "part").where("p_partkey % 5 = 0"), "p_partkey", "p_brand"))
+    far.apply(_entries(table(spark, sf_dir, "supplier"), "s_suppkey", "s_name"))
+    TieredStore([near, far], populate_on_miss=True).get(table(spark, sf_dir, "part").where("p_partkey % 3 = 0").select(F.col("p_partkey").cast("string").alias("key")))
+    return near.entries().select("key", F.decode("value", "utf-8").alias("value"))
+
+
+@query("SELECT CAST(s_suppkey AS VARCHAR) AS key, CASE WHEN s_suppkey % 7 <> 0 THEN s_name END AS value FROM supplier")
+def checked_values(spark, sf_dir):
+    """Values behind checksums, some of them damaged: these read as none."""
+    raw = LogStore(spark, fresh_path(spark, "store"))
+    store, s = CodedStore(raw), table(spark, sf_dir, "supplier")
+    store.apply(_entries(s, "s_suppkey", "s_name"))
+    bad = raw.entries().where(F.col("key").cast("long") % 7 == 0)
+    raw.apply(bad.select("key", F.concat("value", F.encode(F.lit("!"), "utf-8")).alias("value"), F.lit("set").alias("op"), F.lit(1).cast("long").alias("seq")))
+    return store.get(s.select(F.col("s_suppkey").cast("string").alias("key"))).select("key", F.decode("value", "utf-8").alias("value"))
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS key, CASE WHEN c_custkey % 4 <> 0 THEN c_name END AS value FROM customer WHERE c_custkey % 6 = 0")
+def cached_stack(spark, sf_dir):
+    """Sets and deletes through the cached, debounced stack, read again through a new cache."""
+    remote, c = LogStore(spark, fresh_path(spark, "store")), table(spark, sf_dir, "customer")
+    stack = optimised(remote, LogStore(spark, fresh_path(spark, "cache")))
+    ops = _entries(c, "c_custkey", "c_name").withColumn("at", F.lit(0).cast("long"))
+    gone = ops.where(F.col("key").cast("long") % 4 == 0).select("key", F.lit(None).cast("binary").alias("value"), F.lit("delete").alias("op"), F.lit(1).cast("long").alias("seq"), F.lit(10).cast("long").alias("at"))
+    stack.apply(ops.unionByName(gone).withColumn("seq", F.col("key").cast("long") * 2 + F.col("seq")))
+    again = optimised(remote, LogStore(spark, fresh_path(spark, "cache")))
+    return again.get(c.where("c_custkey % 6 = 0").select(F.col("c_custkey").cast("string").alias("key"))).select("key", F.decode("value", "utf-8").alias("value"))
+
+
+@query("WITH l AS (SELECT c_custkey AS k, '{\"key\":\"' || lpad(CAST(c_custkey AS VARCHAR), 8, '0') || '\",\"value\":' || CAST(c_nationkey AS VARCHAR) || '}' AS line FROM customer) SELECT line, count(*) AS n FROM (SELECT line FROM l WHERE k % 3 > 0 UNION ALL SELECT line FROM l WHERE k % 3 = 2 UNION ALL SELECT 'end') GROUP BY line")
+def compressed_lines(spark, sf_dir):
+    """Compressed lines of a map, each rewritten to none, one or two, with a last line of its own; read again."""
+    c = table(spark, sf_dir, "customer")
+    entries = c.select(S.raw_key(F.lpad(F.col("c_custkey").cast("string"), 8, "0")).alias("raw"), F.col("c_nationkey").cast("string").alias("value"))
+    slot = files.Slot(spark, fresh_path(spark, "lines"))
+    slot.put(lambda path: files.write_map(entries, path))
+    slot.put(lambda path: files.rewrite_lines(slot.lines(), lambda line: [line] * (int(line[8:16]) % 3), path, trailer=["end"]))
+    return slot.lines().groupBy("line").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- values and requests ---------------------------------------------------------------------
+
+
+@query("SELECT event_id, '{\"id\":{\"__bigint__\":\"' || CAST(event_id + 9007199254740992 AS VARCHAR) || '\"},\"type\":\"' || event_type || '\"}' AS json, CASE WHEN event_id % 5 = 0 THEN NULL ELSE event_id + 9007199254740992 END AS parsed FROM events")
+def json_round_trip(spark, sf_dir):
+    """Values as JSON text with marked big integers, and back; broken text reads as none."""
+    value = F.struct(S.big_json(F.col("event_id") + (1 << 53)).alias("id"), F.col("event_type").alias("type"))
+    e = table(spark, sf_dir, "events").select("event_id", F.to_json(value).alias("json"))
+    broken = F.when(F.col("event_id") % 5 == 0, F.substring("json", 1, 9)).otherwise(F.col("json"))
+    return e.withColumn("parsed", F.from_json(broken, "id struct<__bigint__: string>, type string")["id"]["__bigint__"].cast("long"))
+
+
+@query("SELECT event_id, '{' || CASE WHEN event_id % 2 = 0 THEN '\"0xab\":\"0xfe' || CAST(event_id AS VARCHAR) || '\",' ELSE '' END || '\"B\":\"' || event_type || '\",\"c\":\"Xy\"}' AS tree FROM events")
+def transformed_trees(spark, sf_dir):
+    """Objects with sorted keys, lower-case hex in keys and values, and without absent entries."""
+    i = F.col("event_id")
+    tree = F.create_map(F.lit("c"), F.lit("Xy"), F.lit("0xAB"), F.when(i % 2 == 0, F.concat(F.lit("0xFE"), i.cast("string"))), F.lit("B"), F.col("event_type"))
+    return table(spark, sf_dir, "events").select("event_id", F.to_json(S.transform_tree(tree, key=S.lower_hex, leaf=S.lower_hex, include=lambda k, v: v.isNotNull())).alias("tree"))
+
+
+@query(
+    "WITH u AS (SELECT user_id, CASE user_id % 4 WHEN 0 THEN NULL WHEN 1 THEN '\"0xa\"' WHEN 2 THEN '[\"0xb\",\"0xa\"]' ELSE NULL END AS address, CASE user_id % 3 WHEN 0 THEN NULL WHEN 1 THEN '[null,\"0xc\"]' ELSE '[[\"0xd\",\"0xe\"]]' END AS topics FROM (SELECT DISTINCT user_id FROM events)) "
+    "SELECT user_id, coalesce(address, '') AS address, coalesce(topics, '') AS topics FROM u"
+)
+def canonical_filters(spark, sf_dir):
+    """Requests in canonical form: one address stands alone, empty sets and all-open topics are absent."""
+    u = table(spark, sf_dir, "events").select("user_id").distinct()
+    i, strings = F.col("user_id"), "array<string>"
+    address = F.when(i % 4 == 0, F.array().cast(strings)).when(i % 4 == 1, F.array(F.lit("0xA"))).when(i % 4 == 2, F.array(F.lit("0xB"), F.lit("0xa")))
+    topics = F.when(i % 3 == 0, F.array(F.array().cast(strings), F.lit(None).cast(strings))).when(i % 3 == 1, F.array(F.array().cast(strings), F.array(F.lit("0xC")))).otherwise(F.array(F.array(F.lit("0xD"), F.lit("0xe"))))
+    return u.select("user_id", F.coalesce(S.canonical_address(address), F.lit("")).alias("address"), F.coalesce(S.canonical_topics(topics), F.lit("")).alias("topics"))
+
+
+@query("WITH g AS (SELECT b AS bits, r AS radix FROM range(1, 53) x(b), range(2, 37) y(r)) SELECT bits, radix, (SELECT min(k) FROM range(1, 54) z(k) WHERE pow(CAST(radix AS DOUBLE), k) >= pow(2.0::DOUBLE, bits)) AS width FROM g")
+def padding_table(spark, sf_dir):
+    """The digits that hold a number of bits, for every radix."""
+    grid = spark.range(52 * 35).select((F.col("id") % 52 + 1).alias("bits"), (F.floor(F.col("id") / 52) + 2).alias("radix"))
+    return grid.withColumn("width", S.padding_width(F.col("bits"), F.col("radix")))
+
+
+@query("WITH o AS (SELECT user_id % 64 AS lane, event_id, CAST(list_position(['click', 'error', 'purchase', 'signup', 'view'], event_type) AS BIGINT) AS v FROM events), l AS (SELECT lane, list(v ORDER BY event_id) AS vs FROM o GROUP BY lane) SELECT lane, list_reduce(list_prepend(CAST(7 AS BIGINT), vs), lambda a, x: (a * 31 + x) % 1000003) AS folded FROM l")
+def fold_records(spark, sf_dir):
+    """A fold with a reducer of the caller that depends on the order of records."""
+    names = F.array(*map(F.lit, ["click", "error", "purchase", "signup", "view"]))
+    records = table(spark, sf_dir, "events").select((F.col("user_id") % 64).alias("lane"), "event_id", F.array_position(names, F.col("event_type")).alias("v"))
+    return kv.fold(records, "lane", "event_id", "v", lambda a, x: (a * 31 + x) % 1_000_003, 7, "folded", "long")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cached_range_query(spark, sf_dir)
 

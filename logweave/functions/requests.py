@@ -76,3 +76,17 @@ def loads(text: str, strict: bool = False) -> Any:
         if strict:
             raise
         return ABSENT
+
+
+def is_plain_object(value: Any) -> bool:
+    return isinstance(value, dict)
+
+
+def strip_options(params: list) -> tuple[list, dict | None]:
+    """Parameters without a last one that is exactly a limiter's options, and these."""
+    last = params[-1] if params else None
+    if is_plain_object(last) and last.get("__rateLimiter") is True and set(last) <= {"__rateLimiter", "priority"}:
+        priority = last.get("priority")
+        if priority is None or isinstance(priority, (int, float)) and not isinstance(priority, bool):
+            return params[:-1], last
+    return params, None

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -85,6 +86,12 @@ def padding(bits: int, radix: int) -> int:
     return next(k for k in range(1, 54) if radix**k >= 1 << bits)
 
 
+def padding_width(bits: Column, radix: Column) -> Column:
+    """padding() of columns: the powers are doubles, exact wherever they decide."""
+    fits = F.filter(F.sequence(F.lit(1), F.lit(53)), lambda k: F.pow(radix.cast("double"), k) >= F.pow(F.lit(2.0), bits))
+    return F.element_at(fits, 1).cast("long")
+
+
 def cyrb64_hash(s: Column, radix: int = 36, seed: int = HASH_SEED) -> Column:
     """Both halves in ``radix``, padded: 14 characters at radix 36."""
     width = padding(32, radix)
@@ -153,6 +160,47 @@ def node_log(block: str = "block_number") -> Column:
 NODE_LOG_TYPE = T.StructType([T.StructField(n, T.ArrayType(T.StringType()) if n == "topics" else T.BooleanType() if n == "removed" else T.StringType()) for n in ("address", "topics", "data", "blockNumber", "transactionHash", "transactionIndex", "blockHash", "logIndex", "removed")])
 
 
+def big_json(number: Column) -> Column:
+    """A big integer as it travels in JSON: an object with its digits."""
+    return F.struct(number.cast("string").alias("__bigint__"))
+
+
+# --- trees and requests ----------------------------------------------------
+
+
+def lower_hex(x: Column) -> Column:
+    return F.when(F.substring(x, 1, 2) == "0x", F.lower(x)).otherwise(x)
+
+
+def transform_tree(tree: Column, key=None, leaf=None, include=None) -> Column:
+    """A map with sorted keys: keys and leaves transformed, entries kept where ``include(key, value)`` holds."""
+    out = F.transform_keys(tree, lambda k, v: key(k)) if key else tree
+    out = F.transform_values(out, lambda k, v: leaf(v)) if leaf else out
+    out = F.map_filter(out, include) if include else out
+    return F.map_from_entries(F.array_sort(F.map_entries(out)))
+
+
+def _quoted(x: Column) -> Column:
+    return F.concat(F.lit('"'), x, F.lit('"'))
+
+
+def _one_or_more(xs: Column) -> Column:
+    """A set as JSON: one element stands alone, of none there is none."""
+    low = F.transform(xs, lambda x: _quoted(lower_hex(x)))
+    return F.when(F.size(xs) == 1, low[0]).when(F.size(xs) > 1, F.concat(F.lit("["), F.array_join(low, ","), F.lit("]")))
+
+
+def canonical_address(addresses: Column) -> Column:
+    """An address set in canonical form, null if it is empty or absent."""
+    return F.when(F.size(addresses) > 0, F.when(F.size(addresses) == 1, _quoted(lower_hex(addresses[0]))).otherwise(_one_or_more(addresses)))
+
+
+def canonical_topics(topics: Column) -> Column:
+    """Topics by position in canonical form, null if every position is open."""
+    each = F.transform(topics, lambda ts: F.coalesce(_one_or_more(ts), F.lit("null")))
+    return F.when(F.exists(each, lambda x: x != "null"), F.concat(F.lit("["), F.array_join(each, ","), F.lit("]")))
+
+
 # --- freshness -------------------------------------------------------------
 
 DAY_MS = 24 * 60 * 60 * 1000
@@ -184,6 +232,11 @@ def is_range_error(code: Column, message: Column) -> Column:
     return F.coalesce(code.isin(*RANGE_CODES), F.lit(False)) | F.coalesce(said, F.lit(False))
 
 
+def says_range_error(code: int | None, message: str) -> bool:
+    """is_range_error() of one error, on the driver."""
+    return code in RANGE_CODES or bool(re.search("|".join(RANGE_MESSAGES), message, re.I))
+
+
 # --- interchange -----------------------------------------------------------
 
 

@@ -83,9 +83,9 @@ def _hex(number: Column, width: int) -> Column:
     return F.concat(F.lit("0x"), F.lpad(number.cast("string"), width, "0"))
 
 
-def event_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events as logs, four a block; no duplicates."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+def event_logs(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    """The events (or some of them) as logs, four a block; no duplicates."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet") if events is None else events
     block = F.expr("event_id div 4")
     return e.select(
         _hex(F.col("user_id"), 40).alias("address"),

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections import OrderedDict
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logweave.functions import scalars as S
+from logweave.operators.replay import Flushes, Fold, Lru, replay
 
 
 def upsert(stored: DataFrame, incoming: DataFrame, key: str, value: str) -> DataFrame:
@@ -59,15 +59,16 @@ def tiered(keys: DataFrame, tiers: list[DataFrame], key: str, value: str) -> Dat
     return out.select(key, F.coalesce(*[F.col(f"_v{i}") for i in range(1, len(tiers) + 1)]).alias(value), F.coalesce(*found).alias("tier"))
 
 
-def to_shards(values: DataFrame, key: str, value: str, most: int, write_id: str) -> DataFrame:
-    """key, shard_no, n_shards, payload: base64 text in pieces that fit ``most`` bytes with their write id."""
+def to_shards(values: DataFrame, key: str, value: str, most: int, write_id: str | Column) -> DataFrame:
+    """key, shard_no, n_shards, payload: base64 text in pieces that fit ``most`` bytes with their write id (one, or one for each row)."""
     room = most - 17
     if room < 1:
         raise ValueError("a shard must hold more than its write id")
     text = F.base64(F.col(value))
     n = F.greatest(F.lit(1), F.ceil(F.length(text) / room)).cast("int")
-    rows = values.select(key, text.alias("_t"), n.alias("n_shards"), F.explode(F.sequence(F.lit(0), n - 1)).alias("shard_no"))
-    return rows.select(key, "shard_no", "n_shards", F.concat(F.lit(write_id + "|"), F.substring(F.col("_t"), F.col("shard_no") * room + 1, F.lit(room))).alias("payload"))
+    write = F.lit(write_id) if isinstance(write_id, str) else write_id
+    rows = values.select(key, write.alias("_w"), text.alias("_t"), n.alias("n_shards"), F.explode(F.sequence(F.lit(0), n - 1)).alias("shard_no"))
+    return rows.select(key, "shard_no", "n_shards", F.concat("_w", F.lit("|"), F.substring(F.col("_t"), F.col("shard_no") * room + 1, F.lit(room))).alias("payload"))
 
 
 def from_shards(shards: DataFrame, key: str, value: str) -> DataFrame:
@@ -78,45 +79,24 @@ def from_shards(shards: DataFrame, key: str, value: str) -> DataFrame:
     return agg.select(key, F.when((F.col("have") == F.col("n")) & (F.col("ids") == 1), F.unbase64(text)).alias(value))
 
 
+def fold(records: DataFrame, group: str, order: str, value: str, reducer: Callable, start, name: str, kind: str) -> DataFrame:
+    """The fold of each group's values in order, as a stream: no group is held as a whole. An associative reducer belongs in agg()."""
+    return replay(records.select(group, order, value), group, [order], lambda: Fold(reducer, start, value), f"{name} {kind}")
+
+
 def lru(ops: DataFrame, budget: int, cache: str = "cache_id") -> DataFrame:
-    """seq, hit and bytes after each operation of each cache's log (cache, seq, op: get/set/delete, key, bytes).
+    """seq, hit and bytes after each operation of each cache's log (cache, seq, op: get/set/delete, key, bytes)."""
+    return replay(ops.select(cache, "seq", "op", "key", "bytes"), cache, ["seq"], lambda: Lru(budget), "seq long, hit boolean, cached_bytes long")
 
-    Sequential by nature: one task replays one cache's log in order, holding the cached keys only.
-    """
 
-    def replay(log: pd.DataFrame) -> pd.DataFrame:
-        held: OrderedDict[str, int] = OrderedDict()
-        total, out = 0, []
-        for row in log.sort_values("seq").itertuples():
-            hit = row.key in held
-            if row.op == "get":
-                if hit:
-                    held.move_to_end(row.key)
-            else:
-                total -= held.pop(row.key, 0)
-                if row.op == "set" and row.bytes <= budget:
-                    while total + row.bytes > budget:
-                        total -= held.popitem(last=False)[1]
-                    held[row.key] = row.bytes
-                    total += row.bytes
-            out.append((getattr(row, cache), row.seq, hit, total))
-        return pd.DataFrame(out, columns=[cache, "seq", "hit", "cached_bytes"])
-
-    kind = dict(ops.dtypes)[cache]
-    return ops.groupBy(cache).applyInPandas(replay, f"{cache} {kind}, seq long, hit boolean, cached_bytes long")
-
-
-def flush_ids(upserts: DataFrame, threshold: int, group: list[str], order: str, size: str) -> DataFrame:
-    """The flush that each buffered write falls into: a flush starts once the bytes since the last one reach ``threshold``."""
+def lru_keys(ops: DataFrame, budget: int, cache: str = "cache_id", order: str = "at") -> DataFrame:
+    """The keys that each cache holds at the end of its log."""
+    log = ops.select(cache, F.col(f"{order}.*"), "op", F.col("key").alias("_key"), "bytes").drop("key").withColumnRenamed("_key", "key")
+    return replay(log, cache, [*[f for f in ops.select(f"{order}.*").columns if f != "key"], "key"], lambda: Lru(budget, keys_only=True), "key string")
+
 
-    def number(log: pd.DataFrame) -> pd.DataFrame:
-        log = log.sort_values(order)
-        flush, held, ids = 0, 0, []
-        for b in log[size]:
-            ids.append(flush)
-            held += b
-            if held >= threshold:
-                flush, held = flush + 1, 0
-        return log.assign(flush_id=ids)
-
-    return upserts.groupBy(*group).applyInPandas(number, ", ".join(f"{n} {t}" for n, t in upserts.dtypes) + ", flush_id long")
+def flush_ids(upserts: DataFrame, threshold: int, group: str, order: str, size: str) -> DataFrame:
+    """The flush that each buffered write falls into: a flush starts once the bytes since the last one reach ``threshold``."""
+    rest = [c for c in upserts.columns if c != group]
+    kinds = dict(upserts.dtypes)
+    return replay(upserts, group, [order], lambda: Flushes(threshold, size, rest), ", ".join(f"{c} {kinds[c]}" for c in rest) + ", flush_id long")

@@ -8,6 +8,41 @@ from pyspark.sql import functions as F
 LONG = "long"
 
 
+def chunks_of(low: int, high: int, most: int | None, align: int | None = None) -> list[tuple[int, int]]:
+    """divide() of one range, on the driver."""
+    if most is not None and most < 1:
+        raise ValueError("a chunk has at least one block")
+    if low > high:
+        return []
+    if align:
+        low, high = low - low % align, high - high % align + align - 1
+    step = most or high - low + 1
+    return [(a, min(a + step - 1, high)) for a in range(low, high + 1, step)]
+
+
+def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """merge() of a query's few ranges, on the driver."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(ranges):
+        if out and a <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def numbered(rows: DataFrame, by: str, name: str) -> DataFrame:
+    """``rows`` with their number, from 1, in the order of ``by`` (no repeats): sorted by ranges, numbered in each, and set off by the sizes of the ranges before."""
+    part = rows.repartitionByRange(by).withColumn("_part", F.spark_partition_id())
+    bounds = part.groupBy("_part").agg(F.min(by).alias("_low"), F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_low").rowsBetween(Window.unboundedPreceding, -1))  # a row for each partition
+    bounds = F.broadcast(bounds.select("_low", F.coalesce(before, F.lit(0)).alias("_before"), F.coalesce(F.lead("_low").over(Window.orderBy("_low")), F.lit(None)).alias("_next")))
+    # The second pass may deal rows to other partitions; their range is found by their value.
+    held = rows.join(bounds, (F.col(by) >= F.col("_low")) & (F.col("_next").isNull() | (F.col(by) < F.col("_next"))))
+    within = F.row_number().over(Window.partitionBy("_low").orderBy(by))
+    return held.withColumn(name, (within + F.col("_before")).cast(LONG)).drop("_low", "_next", "_before")
+
+
 def in_range(block: Column, low: Column | int, high: Column | int) -> Column:
     """Whether a block lies in the closed range; a missing block never does."""
     return F.coalesce(block.between(low, high), F.lit(False))

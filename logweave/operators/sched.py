@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-import heapq
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from logweave.operators.replay import Debounce, DebouncedWriter, Limiter, Shared, replay
+
 
 def token_bucket(trace: DataFrame, by: list[str], burst: int, micros_per_token: int, arrival: str = "arrival_us", order: str = "seq") -> DataFrame:
-    """start_us and wait_us of FIFO requests to a bucket that starts full: request i waits for its token, the (i − j + 1 − burst)-th after any earlier arrival j."""
+    """start_us and wait_us of FIFO requests to a bucket that starts full: request i waits for its token, the (i − j + 1 − burst)-th after any earlier arrival j.
+
+    Without a rate (``micros_per_token`` 0) the burst starts on arrival and no other request ever does: its start is null.
+    """
     w = Window.partitionBy(*by).orderBy(order)
     lane = trace.withColumn("_i", F.row_number().over(w).cast("long"))
+    if not micros_per_token:
+        start = F.when(F.col("_i") <= burst, F.max(arrival).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        return lane.withColumn("start_us", start).withColumn("wait_us", F.col("start_us") - F.col(arrival)).drop("_i")
     running = F.max(F.col(arrival) - F.col("_i") * micros_per_token).over(w.rowsBetween(Window.unboundedPreceding, 0))
     start = F.greatest(F.col(arrival), running + (F.col("_i") + 1 - burst) * micros_per_token)
     return lane.withColumn("start_us", start).withColumn("wait_us", F.col("start_us") - F.col(arrival)).drop("_i")
@@ -42,53 +47,16 @@ def debounce_sessions(writes: DataFrame, key: str, time: str, gap: int, order: s
 
 def in_flight_dedupe(calls: DataFrame, call_id: str, start: str, end: str) -> DataFrame:
     """leader_start of each call: calls with the id of one under way share its result; the id is free again once that one ends."""
-
-    def share(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values([start, end])
-        lead, until, out = None, -1, []
-        for s, e in zip(group[start], group[end], strict=True):
-            if lead is None or s >= until:
-                lead, until = s, e
-            out.append(lead)
-        return group.assign(leader_start=out)
-
-    return calls.groupBy(call_id).applyInPandas(share, ", ".join(f"{n} {t}" for n, t in calls.dtypes) + ", leader_start long")
+    return replay(calls.select(call_id, start, end), call_id, [start, end], lambda: Shared(start, end), f"{start} long, {end} long, leader_start long")
 
 
 def limiter(trace: DataFrame, by: str, burst: int, per_second: float, slots: int) -> DataFrame:
-    """start_us of each request (seq, arrival_us, duration_us, priority) under a token bucket and a cap on requests under way; lower priorities first, FIFO among equals, null last."""
-    step = 1e6 / per_second
-
-    def simulate(group: pd.DataFrame) -> pd.DataFrame:
-        rows = sorted(zip(group.arrival_us, group.seq, group.duration_us, group.priority.fillna(float("inf")), strict=True))
-        waiting: list = []
-        running: list = []
-        now, tokens, stamp, i, out = 0.0, float(burst), 0.0, 0, []
-        while i < len(rows) or waiting:
-            while i < len(rows) and rows[i][0] <= now:
-                arrival, seq, duration, priority = rows[i]
-                heapq.heappush(waiting, (priority, seq, duration))
-                i += 1
-            while running and running[0] <= now:
-                heapq.heappop(running)
-            tokens, stamp = min(burst, tokens + (now - stamp) / step), now
-            if waiting and len(running) < slots and tokens >= 1 - 1e-9:
-                priority, seq, duration = heapq.heappop(waiting)
-                tokens -= 1
-                heapq.heappush(running, now + duration)
-                out.append((group[by].iloc[0], seq, round(now)))
-                continue
-            nexts = [rows[i][0]] if i < len(rows) else []
-            if waiting:
-                if len(running) >= slots:
-                    nexts.append(running[0])
-                elif tokens < 1:
-                    nexts.append(now + (1 - tokens) * step)
-            now = max(now, min(nexts))
-        return pd.DataFrame(out, columns=[by, "seq", "start_us"])
-
-    kind = dict(trace.dtypes)[by]
-    return trace.groupBy(by).applyInPandas(simulate, f"{by} {kind}, seq long, start_us long")
+    """start_us of each request (seq, arrival_us, duration_us, priority) under a token bucket and a cap on requests under way; lower priorities first, FIFO among equals, null last.
+
+    Requests that never start (no rate, and the burst used up) have no row.
+    """
+    log = trace.select(by, "arrival_us", "seq", "duration_us", "priority")
+    return replay(log, by, ["arrival_us", "seq"], lambda: Limiter(burst, per_second, slots), "seq long, start_us long")
 
 
 def debounced_writes(ops: DataFrame, key: str, debounce: int, max_delay: int, staleness: int) -> DataFrame:
@@ -96,25 +64,10 @@ def debounced_writes(ops: DataFrame, key: str, debounce: int, max_delay: int, st
 
     A key is due at min(last + debounce, first + max_delay); what waited longer than ``staleness`` since its last write is dropped.
     """
+    return replay(ops.select(key, "at", "seq"), key, ["at", "seq"], lambda: Debounce(debounce, max_delay, staleness), "written_at long, seq long, n_coalesced long")
+
 
-    def simulate(group: pd.DataFrame) -> pd.DataFrame:
-        out, first, last, n, seq = [], None, None, 0, None
-        name = group[key].iloc[0]
-
-        def settle(until: float):
-            nonlocal first
-            if first is not None and (due := min(last + debounce, first + max_delay)) <= until:
-                if due - last <= staleness:
-                    out.append((name, due, seq, n))
-                first = None
-
-        for at, s in sorted(zip(group["at"], group["seq"], strict=True)):
-            settle(at - 1)
-            if first is None:
-                first, n = at, 0
-            last, seq, n = at, s, n + 1
-        settle(float("inf"))
-        return pd.DataFrame(out, columns=[key, "written_at", "seq", "n_coalesced"])
-
-    kind = dict(ops.dtypes)[key]
-    return ops.groupBy(key).applyInPandas(simulate, f"{key} {kind}, written_at long, seq long, n_coalesced long")
+def debounced_store(ops: DataFrame, store: str, options) -> DataFrame:
+    """The writes of whole stores (at, seq, key, op, duration): seq, outcome, started and ended, under ``options`` (see stores.DebounceOptions)."""
+    log = ops.select(store, "at", "seq", "key", "op", "duration")
+    return replay(log, store, ["at", "seq"], lambda: DebouncedWriter(options), "seq long, outcome string, started long, ended long")

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import threading
+import uuid
 from collections.abc import Callable
+from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logweave.model import LOG_SCHEMA
 from logweave.operators import kv
+from logweave.plans.control import limited
 
 
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
@@ -41,13 +46,49 @@ def upsert_map(spark: SparkSession, path: str, pending: DataFrame, out: str) ->
     write_map(kv.merge_lines(read_map(spark, path), pending), out)
 
 
-def rewrite_lines(lines: DataFrame, rewrite: Callable[[str], list[str]], out: str, codec: str = "gzip") -> None:
-    """Each line as any number of lines, written to a new path."""
+def rewrite_lines(lines: DataFrame, rewrite: Callable[[str], list[str]], out: str, codec: str = "gzip", trailer: list[str] | None = None) -> None:
+    """Each line as any number of lines, then the lines of ``trailer``, written to a new path."""
 
     def run(frames):
         import pandas as pd
 
         for frame in frames:
-            yield pd.DataFrame({"value": [x for line in frame["line"] for x in rewrite(line)]})
+            if out := [x for line in frame["line"] for x in rewrite(line)]:
+                yield pd.DataFrame({"value": out})
 
-    lines.select("line").mapInPandas(run, "value string").write.mode("overwrite").option("compression", codec).text(out)
+    done = lines.select("line").mapInPandas(run, "value string")
+    if trailer:
+        done = done.unionByName(lines.sparkSession.createDataFrame([(x,) for x in trailer], "value string"))
+    done.write.mode("overwrite").option("compression", codec).text(out)
+
+
+@dataclass
+class Slot:
+    """A place for lines that is replaced as a whole: each write goes to a folder of its own, and a pointer names the one that counts.
+
+    Work that fails or is aborted leaves the pointer, and so what readers see, as it was.
+    """
+
+    spark: SparkSession
+    path: str
+
+    def _pointers(self) -> DataFrame:
+        try:
+            return self.spark.read.schema("n long, folder string").json(f"{self.path}/pointers")
+        except AnalysisException:  # nothing written yet
+            return self.spark.createDataFrame([], "n long, folder string")
+
+    def current(self) -> str | None:
+        last = self._pointers().orderBy(F.desc("n")).first()
+        return last.folder if last else None
+
+    def lines(self) -> DataFrame:
+        folder = self.current()
+        return self.spark.createDataFrame([], "line_no long, line string") if folder is None else read_lines(self.spark, folder)
+
+    def put(self, write: Callable[[str], None], timeout_ms: float | None = None, abort: threading.Event | None = None) -> None:
+        """Replace the lines by what ``write`` puts into the folder it is given."""
+        folder = f"{self.path}/{uuid.uuid4().hex}"
+        limited(self.spark, lambda: write(folder), timeout_ms, abort)
+        n = self._pointers().agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+        self.spark.createDataFrame([(n + 1, folder)], "n long, folder string").coalesce(1).write.mode("append").json(f"{self.path}/pointers")
