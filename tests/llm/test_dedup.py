@@ -76,6 +76,48 @@ def test_substring_digest_and_spans(spark):
         assert len(covered) == r.n_removed
 
 
+@pytest.mark.parametrize("window", [50, 12, 3])
+def test_factors_are_substrings_of_earlier_documents(spark, window):
+    docs = dict(corpus(window + 5, window))
+    words = {i: space_words(t) for i, t in docs.items()}
+    n = 0
+    for r in substring_dedup.substring_dedup(frame(spark, list(docs.values())).repartition(3), window).collect():
+        for s in r.spans:
+            assert s.source < r.doc_id and s.end - s.start >= window
+            assert words[r.doc_id][s.start : s.end] == words[s.source][s.source_start : s.source_start + s.end - s.start]
+            n += 1
+    assert n > 5
+
+
+def test_substring_without_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "BROADCAST_BYTES", -1)
+    docs = corpus(4, 12)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substring_dedup.substring_dedup(frame(spark, [t for _, t in docs]), 12).collect()}
+    assert got == brute_substring(docs, 12)
+
+
+def test_substring_rows_without_ids(spark):
+    """Null ids come last, each row for itself; where windows differ within a stretch too."""
+    rng = random.Random(8)
+    docs = corpus(3, 12)
+    void = [docs[rng.randint(0, 30)][1] + " tail " + " ".join(rng.choice("abcdefgh") for _ in range(9)) for _ in range(12)]
+    got = substring_dedup.substring_dedup(frame(spark, [t for _, t in docs] + void, [i for i, _ in docs] + [None] * len(void)), 12).collect()
+    first = {tuple(w[o : o + 12]) for _, t in docs for w in [space_words(t)] for o in range(len(w) - 11)}
+    want = []
+    for t in void:
+        w = space_words(t)
+        gone = {j for o in range(len(w) - 11) if tuple(w[o : o + 12]) in first for j in range(o, o + 12)}
+        want.append((len(w), len(gone), " ".join(x for j, x in enumerate(w) if j not in gone)))
+    assert sorted((r.n_words, r.n_removed, r.kept) for r in got if r.doc_id is None) == sorted(want)
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in got if r.doc_id is not None} == brute_substring(docs, 12)
+
+
+def test_substring_long_text(spark):
+    text = " ".join(f"w{i % 5000}x{i // 7}" for i in range(200_000))
+    got = {r.doc_id: r.n_removed for r in substring_dedup.substring_dedup(frame(spark, [text, text]), digest=True).collect()}
+    assert got == {0: 0, 1: 200_000}
+
+
 def test_substring_odd_rows(spark):
     long = " ".join(f"w{i}" for i in range(60))
     df = frame(spark, [None, "", long, long, long, "short"], [1, 2, None, 3, 3, 4])
@@ -122,6 +164,31 @@ def test_filter_has_no_false_negatives(spark):
     assert hit.issuperset(twice) and len(hit.intersection(once)) < 50
 
 
+def test_exact_with_several_filters(spark):
+    rng = random.Random(4)
+    texts = [rng.choice(["a b", "a  b", f"u{i}", f"v{i % 40}", None]) for i in range(400)]
+    got = exact_dedup.exact_duplicates(frame(spark, texts), max_bits=1600).collect()
+    assert sorted((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got) == brute_exact(list(enumerate(texts)))
+    left = [sorted(r.doc_id for r in exact_dedup.drop_exact_duplicates(frame(spark, texts), max_bits=m).collect()) for m in (1600, 1 << 30)]
+    assert left[0] == left[1] == sorted({r.keep_id for r in got})
+
+
+def test_ties_do_not_depend_on_the_order_of_rows(spark):
+    texts, ids = ["same text of several words here"] * 6 + ["other"], [1, 1, 1, 2, None, None, 3]
+    df = frame(spark, texts, ids).withColumn("x.y", F.monotonically_increasing_id() % 5)
+    first = [sorted(map(tuple, drop(df).collect())) for drop in (exact_dedup.drop_exact_duplicates, simhash.drop_near_duplicates)]
+    for parts in (1, 5):
+        mixed = df.repartition(parts, "`x.y`").orderBy(F.desc("`x.y`"))
+        assert [sorted(map(tuple, drop(mixed).collect())) for drop in (exact_dedup.drop_exact_duplicates, simhash.drop_near_duplicates)] == first
+    assert [r[0] for r in first[0]] == [1, 3] and len(first[1]) == 2
+
+
+def test_exact_long_text(spark):
+    long = "word \t" * 300_000
+    got = exact_dedup.exact_duplicates(frame(spark, [long, long.replace("\t", "\n"), "x"])).collect()
+    assert sorted((r.doc_id, r.keep_id, r.group_size) for r in got) == [(0, 0, 2), (1, 0, 2), (2, 2, 1)]
+
+
 def test_exact_odd_rows(spark):
     df = frame(spark, ["x", "x", "x", None, ""], [5, 5, None, None, 7])
     got = sorted(((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_duplicates(df).collect()), key=repr)
@@ -316,3 +383,44 @@ def test_near_odd_rows(spark):
     left = simhash.drop_near_duplicates(df)
     assert left.columns == df.columns and sorted(((r.doc_id, r.text) for r in left.collect()), key=repr) == sorted([(2, "a b c d e f"), (9, "q r s t u v w"), (None, None)], key=repr)
     assert simhash.near_duplicate_groups(df.limit(0)).count() == 0 and simhash.drop_near_duplicates(df.limit(0)).count() == 0
+
+
+def test_recall_of_near_pairs_in_crowded_cells(spark):
+    """Over a thousand pairs from 0.8 on, many among texts that share a template: every one is found, and only they."""
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(3))
+    template = [word() for _ in range(60)]
+    texts = []
+    for _ in range(60):
+        base = template + [word() for _ in range(60)]
+        for _ in range(rng.choice([1, 2, 8])):
+            w = list(base)
+            for _ in range(rng.randint(0, 3)):
+                w[rng.randrange(len(w))] = word()
+            texts.append(" ".join(w))
+    sets = []
+    for t in texts:
+        w = t.split()
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)})
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, j in pairs:
+        a, b = find(i), find(j)
+        root[max(a, b)] = min(a, b)
+    got = similar_components(spark, texts)
+    assert len(pairs) >= 300 and got == {i: find(i) for i in range(len(texts))}
+
+
+def test_near_odd_tables(spark):
+    df = frame(spark, [None, "", "one two", "one two", "a b c d e f g h"], [4, None, 2, 2, 1]).withColumn("a.b", F.lit(1))
+    left = simhash.drop_near_duplicates(df)
+    assert left.columns == df.columns and sorted((r.doc_id, r.text) for r in left.collect()) == [(1, "a b c d e f g h"), (2, "one two"), (4, None)]
+    assert simhash.drop_near_duplicates(df.limit(0)).count() == 0
+    long = " ".join(f"w{i}" for i in range(150_000))
+    assert [r.doc_id for r in simhash.drop_near_duplicates(frame(spark, [long, long + " end"])).collect()] == [0]

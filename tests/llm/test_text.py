@@ -8,6 +8,7 @@ import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from logweave.llm import bpe, decontaminate, html_extract, licenses, quality, secrets, token_counts
@@ -180,14 +181,98 @@ def test_secret_base_spans(spark):
     assert got == {i: brute_spans(t or "") for i, t in enumerate(texts)}
 
 
-def test_randomness_battery(spark):
+def brute_battery(v):
+    """encoding and the four p-values of a string, from the definitions."""
+    upper = lambda z: max(1e-40, 0.5 * math.erfc(z / math.sqrt(2)))
+    encoding = "hex" if re.fullmatch("[0-9a-f]+|[0-9A-F]+", v) else "word" if v.isalnum() else "base64"
+    alphabet = {"hex": secrets.HEX_ALPHABET, "word": secrets.WORD_ALPHABET, "base64": secrets.BASE64_ALPHABET}[encoding]
+    v = v.lower() if encoding == "hex" else v.replace("-", "+").replace("_", "/")
+    n, k = len(v), len(alphabet)
+
+    def chi_tail(counts, shares):
+        chi = sum((c - n * p) ** 2 / (n * p) for c, p in zip(counts, shares))
+        free = len(shares) - 1
+        return upper(((max(chi, 0) / free) ** (1 / 3) - (1 - 2 / (9 * free))) / math.sqrt(2 / (9 * free)))
+
+    groups = ["0123456789", "abcdef"] if encoding == "hex" else ["0123456789", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "aeiou", "bcdfghjklmnpqrstvwxyz", "+/"][: 5 + (encoding == "base64")]
+    x = [alphabet.index(c) for c in v]
+    turns = sum((a >= k / 2) != (b >= k / 2) for a, b in zip(x, x[1:]))
+    mean = sum(x) / n
+    power = sum((a - mean) ** 2 for a in x)
+    serial = abs(sum((a - mean) * (b - mean) for a, b in zip(x, x[1:])) / power + 1 / n) * math.sqrt(n) if power else math.sqrt(n)
+    both = lambda z: min(1.0, 2 * upper(z))
+    vowel = [c in "AEIOUaeiou" for c in v]
+    p = 10 / k
+    variance = (n - 1) * 2 * p * (1 - p) * (1 - 2 * p * (1 - p)) + 2 * (n - 2) * (p * (1 - p) - 4 * (p * (1 - p)) ** 2)
+    vowels = 1.0 if encoding == "hex" else upper((sum(a != b for a, b in zip(vowel, vowel[1:])) - (n - 1) * 2 * p * (1 - p)) / math.sqrt(variance))
+    return encoding, vowels, chi_tail([v.count(c) for c in alphabet], [1 / k] * k), chi_tail([sum(v.count(c) for c in g) for g in groups], [len(g) / k for g in groups]), both(abs(turns - (n - 1) / 2) * 2 / math.sqrt(n - 1)), both(serial)
+
+
+def test_battery_matches_definitions(spark):
+    rng = random.Random(9)
+    values = ["".join(rng.choice(a) for _ in range(rng.randint(20, 90))) for a in ("0123456789abcdef", "0123456789ABCDEF", secrets.WORD_ALPHABET, secrets.BASE64_ALPHABET + "-_", "ab", "getUserName2") for _ in range(40)] + ["a" * 30, "A1" * 40]
+    rows = secrets.battery(spark.createDataFrame([(v,) for v in values], "value string")).collect()
+    for r in rows:
+        encoding, *p = brute_battery(r.value)
+        assert r.encoding == encoding
+        for got, want in zip((r.p_vowels, r.p_uniform, r.p_classes, r.p_runs, r.p_serial), p):
+            assert got == pytest.approx(want, rel=2e-2, abs=3e-7)
+
+
+def test_false_discovery_control(spark):
+    """The rule over cells against its definition over single tokens."""
+    rng = random.Random(2)
+    schema = "value string, encoding string, score double"
+    rows = [("x" * rng.choice([20, 30, 50, 90]), rng.choice(["word", "base64"]), rng.choice([rng.uniform(0, 30), rng.uniform(20, 150)])) for _ in range(600)]
+    names = [(e, c, s, rng.randint(0, 40)) for e in ("word", "base64") for c in range(3) for s in range(20, 401)]
+    ordinary, table = [], {}
+    for e in ("word", "base64"):
+        for c in range(3):
+            total, upto = sum(n for x, y, _, n in names if (x, y) == (e, c)), 0
+            for cell in range(401):
+                upto += sum(n for x, y, s, n in names if (x, y, s) == (e, c, cell))
+                table[e, c, cell] = (upto + 1) / (total + 1)
+                ordinary.append((e, c, cell, table[e, c, cell]))
+    tested = spark.createDataFrame(rows, schema)
+    got = sorted((r.value, r.encoding, r.score) for r in secrets.random_tokens(tested, spark.createDataFrame(ordinary, "encoding string, class int, cell int, p double"), 0.05).collect())
+    level = lambda v: min(7, int(math.log2(len(v) / 20)))
+    want = []
+    for c in range(3):
+        mine = [(table[e, c, min(400, int(s * 2))], v, e, s) for v, e, s in rows if level(v) == c]
+        ps = sorted(p for p, *_ in mine)
+        cut = max((p for i, p in enumerate(ps, 1) if p <= sum(q <= p for q in ps) / len(ps) * 0.05), default=-1)
+        want += [x[1:] for x in mine if x[0] <= cut]
+    assert got == sorted(want) and got
+
+
+def test_random_tokens_and_ordinary_names(spark):
+    """At most one name in twenty of each style is reported, and nineteen random tokens in twenty."""
     rng = random.Random(5)
-    letters = secrets.WORD_ALPHABET
-    rows = ["x " + "".join(rng.choice(letters + "+/" * (i % 2)) for _ in range(rng.choice([20, 32, 64]))) + " y" for i in range(100)]
-    plain = ["a " + "/".join(rng.choice(["src", "main", "java", "utils2", "test", "v1", "handler"]) for _ in range(9)) + " b" for _ in range(100)]
-    plain += ["q " + "abc123" * rng.randint(4, 12) for _ in range(50)] + ["A1b2" * 5000]
-    got = {r.doc_id: r.n_random for r in secrets.secret_spans(frame(spark, rows + plain)).collect()}
-    assert sum(got[i] for i in range(100)) >= 90 and sum(got[i] for i in range(100, len(got))) == 0
+    words = "customer invoice payment address country thread socket kernel buffer stream packet router gateway metric alert get user name file path handler of the on main java src utils test index".split()
+    several = lambda: [rng.choice(words) for _ in range(rng.randint(4, 8))]
+    camel = lambda: "".join(w.capitalize() for w in several())
+    sets = {
+        "camel": [camel() for _ in range(300)],
+        "digit": [camel() + str(rng.randint(0, 9)) for _ in range(300)],
+        "snake": ["_".join(several()) for _ in range(300)],
+        "kebab": ["-".join(several()) for _ in range(300)],
+        "path": ["/".join(several()) for _ in range(300)],
+        "stamp": [f"20{rng.randint(10, 30)}{rng.randint(1, 12):02}{rng.randint(1, 28):02}" + f"{rng.randint(0, 9999):012}" for _ in range(300)],
+    }
+    sets = {k: [x for x in v if len(x) >= secrets.LEAST] for k, v in sets.items()}
+    for n in (20, 32, 64):
+        sets[f"random {n}"] = ["".join(rng.choice(secrets.BASE64_ALPHABET[: 62 + 2 * (i % 2)]) for _ in range(n)) for i in range(100)]
+    sets["random HEX"] = ["".join(rng.choice("0123456789ABCDEF") for _ in range(40)) for _ in range(100)]
+    kinds = [(k, x) for k, v in sets.items() for x in v] + [("repeated", "abc123" * 9)] * 20
+    got = {r.doc_id: r.n_random for r in secrets.secret_spans(frame(spark, [f"a {x} b" for _, x in kinds])).collect()}
+    found = {k: sum(got[i] for i, (kind, _) in enumerate(kinds) if kind == k) / max(1, len(v)) for k, v in sets.items()}
+    assert {k: share for k, share in found.items() if not (share >= 0.95 if k.startswith("random") else share <= 0.05)} == {}
+
+
+def test_many_matches_take_linear_time(spark):
+    text = "0123456789abcdef x " * 100_000
+    row = frame(spark, [text]).select(secrets.matches(F.col("text"), secrets.HEX).alias("m")).selectExpr("size(m) AS n", "m[99999].start AS a", "m[99999].end AS b").first()
+    assert tuple(row) == (100_000, 19 * 99_999, 19 * 99_999 + 16)
 
 
 def test_secret_odd_rows(spark):
@@ -275,12 +360,54 @@ def test_odd_trusted_texts_do_not_set_the_limit(spark):
     assert set(range(60)) <= kept and not kept & set(range(64, 74))
 
 
+def test_symbols_keep_every_character():
+    rng = random.Random(3)
+    for _ in range(200):
+        text = "".join(chr(rng.choice([rng.randint(1, 300), rng.randint(0x370, 0xD7FF), rng.randint(0xE000, 0x10FFFF)])) for _ in range(rng.randint(0, 20)))
+        s, out = quality.symbols(text).tolist(), ""
+        while s:
+            x = s.pop(0)
+            out += chr(x) if x < quality.PLAIN else chr(quality.PLAIN + (x - quality.PLAIN) * quality.PAIR + s.pop(0) - quality.PLAIN - quality.PAIR)
+        assert out == text
+    assert len(set(quality.grams("\u4eca\u5929\u5929\u6c14\u5f88\u597d\u6211\u4eec\u53bb\u516c\u56ed", 5).tolist())) == 22
+
+
+def test_quality_of_other_scripts(spark):
+    """Chinese and Korean texts are told from shuffled characters of the same script."""
+    rng = random.Random(11)
+    words = {"zh": "\u4eca\u5929 \u5929\u6c14 \u5f88\u597d \u6211\u4eec \u4e00\u8d77 \u53bb\u516c\u56ed \u6563\u6b65 \u7136\u540e \u56de\u5bb6 \u5403\u996d".split(), "ko": "\uc624\ub298\uc740 \ub0a0\uc528\uac00 \uc88b\uc544\uc11c \uc6b0\ub9ac\ub294 \uacf5\uc6d0\uc5d0\uc11c \uc0b0\ucc45\uc744 \ud588\ub2e4".split()}
+    rows = []
+    for lang, ws in words.items():
+        for i in range(90):
+            text = "".join(rng.choice(ws) + " " * (lang == "ko") for _ in range(80))
+            rows.append((len(rows), "".join(rng.sample(text, len(text))) if i >= 80 else text, lang, i))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, i int")
+    ids = df.where("i < 60").select("doc_id")
+    scored = quality.perplexities(df, ids)
+    kept = {r.doc_id for r in scored.where(scored.columns[-1]).collect()}
+    assert kept == {r[0] for r in rows if r[3] < 80}
+
+
+def test_both_ways_of_scoring_agree(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    ids = quality.trusted(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"))
+    ways = [{r.doc_id: (r.perplexity, r.threshold, r.accepted) for r in quality.perplexities(docs, ids, max_score_bytes=room).collect()} for room in (1 << 28, 0)]
+    assert ways[0].keys() == ways[1].keys()
+    for i, (p, t, a) in ways[0].items():
+        q, u, b = ways[1][i]
+        assert a == b and (p, t) == pytest.approx((q, u), rel=1e-9)
+
+
 def test_quality_odd_tables(spark):
     df = frame(spark, ["abc", None, "abc"], [1, 2, None], lang=None)
     none = spark.createDataFrame([], "doc_id long")
     scored = quality.perplexities(df, none)
     assert sorted((r[scored.columns[-1]] for r in scored.collect())) == [False, True, True]
     assert quality.perplexities(df.limit(0), none).count() == 0
+    clash = df.selectExpr("*", "1 AS Perplexity", "2 AS `a.b`")
+    assert quality.perplexities(clash, none).columns[-3:] == ["_perplexity", "threshold", "accepted"]
+    long = frame(spark, ["the river " * 100_000, "the river " * 3])
+    assert quality.perplexities(long, spark.createDataFrame([(0,), (1,)], "doc_id long")).count() == 2
 
 
 # --- extraction -----------------------------------------------------------------------
