@@ -176,7 +176,9 @@ def encode_decode(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", text_co
     """
     ids_name, decoded_name = fresh(docs, ids_col, decoded_col)
     at = docs.columns.index(text_col)
-    schema = T.StructType([*docs.schema.fields, T.StructField(ids_name, T.ArrayType(T.LongType())), T.StructField(decoded_name, T.StringType())])
+    names = [f"c{i}" for i in range(len(docs.columns))]  # a worker's rows can't have dots in their names
+    old = [T.StructField(n, f.dataType, f.nullable) for n, f in zip(names, docs.schema.fields, strict=True)]
+    schema = T.StructType([*old, T.StructField("ids", T.ArrayType(T.LongType())), T.StructField("decoded", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = None
@@ -188,11 +190,11 @@ def encode_decode(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", text_co
                 offsets = np.r_[0, np.cumsum([len(i) // 4 for i in ids])].astype(np.int32)
                 flat = np.frombuffer(b"".join(ids), "<u4").astype(np.int64)
                 arrays = [*rows.columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array([encoder.decode(i) for i in ids], pa.string())]
-                yield pa.RecordBatch.from_arrays(arrays, [*rows.schema.names, ids_name, decoded_name])
+                yield pa.RecordBatch.from_arrays(arrays, [*names, "ids", "decoded"])
         del encoder
         give_back()
 
-    return docs.mapInArrow(run, schema)
+    return docs.toDF(*names).mapInArrow(run, schema).toDF(*docs.columns, ids_name, decoded_name)
 
 
 def encode_digests(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

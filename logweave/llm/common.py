@@ -84,6 +84,11 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def fields_of(struct: str, names: list[str]) -> list[Column]:
+    """The fields of a struct as columns of their own, whatever their names hold."""
+    return [F.col(struct)[name].alias(name) for name in names]
+
+
 def row_hash(df: DataFrame) -> Column:
     """A hash of all columns of a row, to decide ties the same way in every run. Columns that hold maps have no hash and don't count."""
     return F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema if "map<" not in f.dataType.simpleString()])

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.llm.common import SPACE_CLASS, fresh, row_hash, table, written
+from logweave.llm.common import SPACE_CLASS, fields_of, fresh, row_hash, table, written
 
 #: Filter positions in one row of the merge step.
 SEGMENT_BITS = 1 << 18
@@ -164,7 +164,7 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
         tested = hashed.join(repeats.select(F.col("h").alias(h), F.lit(True).alias(asked)), h, "left").withColumn(maybe_col, F.coalesce(asked, F.lit(False)))
     single = tested.where(~F.col(maybe_col)).select(*plain)
     order = F.struct(F.col(id_col).isNull(), F.col(id_col), row_hash(docs))
-    first = tested.where(maybe_col).groupBy(sha).agg(F.min_by(F.struct(*plain), order).alias(row)).select(f"{row}.*")
+    first = tested.where(maybe_col).groupBy(sha).agg(F.min_by(F.struct(*plain), order).alias(row)).select(*fields_of(row, docs.columns))
     return single.unionByName(first)
 
 

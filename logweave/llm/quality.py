@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.llm.common import bounded, fresh, give_back, table, written
+from logweave.llm.common import bounded, fields_of, fresh, give_back, table, written
 
 ORDER, SYMBOL_BITS = 5, 12
 #: Code points that are one symbol; PAIR leads and as many trails cover all others.
@@ -252,7 +252,7 @@ def perplexities(docs: DataFrame, trusted_ids: DataFrame, order: int = ORDER, sp
     out = add_score(whole).join(limits.withColumnRenamed("lang", "limit_lang"), F.col("lang") == F.col("limit_lang"), "left")
     out = out.select("row", perplexity.alias("p"), F.col("limit"), F.col("text"))
     accepted = F.coalesce(F.octet_length("text") > 0, F.lit(False)) & F.coalesce(F.col("p") <= F.col("limit"), F.lit(True))
-    return out.select("row.*", F.col("p").alias(p_col), F.col("limit").alias(t_col), accepted.alias(a_col))
+    return out.select(*fields_of("row", docs.columns), F.col("p").alias(p_col), F.col("limit").alias(t_col), accepted.alias(a_col))
 
 
 def trusted(labels: DataFrame) -> DataFrame:

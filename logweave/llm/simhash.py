@@ -25,7 +25,8 @@ are found in two rounds. In the first, fingerprints of the shingle sets are link
 verified by the similarity of the two sets. The second, an exact join of the sets, adds what the radius
 misses: shingles have one order for all texts, those that a sample of the texts shows as common last; two
 sets of that similarity share one of the first fifth of their shingles (and one more), so each of these makes
-a cell. Places in the sets bound the overlap of a cell's pair, and every pair left is verified by the
+a cell. Places in the sets bound the overlap of a cell's pair; so do 256 parity bits of each set, of which two
+sets differ in no more than the shingles that only one of them has. Every pair left is verified by the
 similarity of the two sets. Only components are wanted, so pairs that a round before has put in one component
 are not compared again: members of crowded cells are held against their smallest member first, and then those
 outside a cell's largest component against all others of the cell, block against block. No pair is left out.
@@ -42,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from logweave.llm.common import NULL_ID, bounded, fresh, give_back, row_hash, table, written
+from logweave.llm.common import NULL_ID, bounded, fields_of, fresh, give_back, row_hash, table, written
 
 #: The hash seed of the fingerprints, and the grid for a radius of four.
 SEED, RADIUS, GROUPS = 42, 4, 8
@@ -219,8 +220,17 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.array([], np.int64), *arrays])))
 
 
+PARITY = ["b0", "b1", "b2", "b3"]
+
+
+def _parity(hashes: np.ndarray) -> np.ndarray:
+    """256 bits, each whether an odd number of the hashes falls on it. Two sets differ in at most as many bits as in elements."""
+    odd = np.bincount((hashes & np.uint64(255)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def _prefixes(narrow: DataFrame, shingle: int, similarity: Fraction) -> DataFrame:
-    """doc, text_hash, node (a hash of the shingle set), fp (the set's fingerprint), size of the set and its first shingles, of each row."""
+    """doc, text_hash, node (a hash of the shingle set), fp (the set's fingerprint), size of the set, its parity bits and its first shingles, of each row."""
     sent = narrow.sparkSession.sparkContext.broadcast(_common_shingles(narrow, shingle))
     num, den = similarity.as_integer_ratio()
 
@@ -229,21 +239,23 @@ def _prefixes(narrow: DataFrame, shingle: int, similarity: Fraction) -> DataFram
 
         common, count = sent.value
         for batch in _pieces(batches):
-            nodes, fps, sizes, first = [], [], [], []
+            nodes, fps, sizes, parity, first = [], [], [], [], []
             for t in batch.column(1):
                 h = shingle_set(t.as_py(), shingle, xxhash.xxh64_intdigest)
                 nodes.append(_signed(xxhash.xxh64_intdigest(h.tobytes(), SEED)))
                 fps.append(_print_of(h.view(np.uint64)))
                 sizes.append(len(h))
+                parity.append(_parity(h.view(np.uint64)))
                 if len(common) and len(h):
                     at = np.minimum(np.searchsorted(common, h), len(common) - 1)
                     h = h[np.argsort(np.where(common[at] == h, count[at], 0), kind="stable")]
                 first.append(h[: len(h) + (-num * len(h) // den) + 1])
-            columns = [batch.column(0), batch.column(2), pa.array(nodes, pa.int64()), pa.array(fps, pa.int64()), pa.array(sizes, pa.int32()), _lists(first)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc", "text_hash", "node", "fp", "size", "prefix"])
+            bits = np.array(parity, np.int64).reshape(-1, 4)
+            columns = [batch.column(0), batch.column(2), pa.array(nodes, pa.int64()), pa.array(fps, pa.int64()), pa.array(sizes, pa.int32()), *[pa.array(bits[:, i].copy()) for i in range(4)], _lists(first)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc", "text_hash", "node", "fp", "size", *PARITY, "prefix"])
         give_back()
 
-    return narrow.mapInArrow(run, "doc long, text_hash long, node long, fp long, size int, prefix array<long>")
+    return narrow.mapInArrow(run, "doc long, text_hash long, node long, fp long, size int, b0 long, b1 long, b2 long, b3 long, prefix array<long>")
 
 
 def _shingle_sets(narrow: DataFrame, shingle: int, rows: DataFrame) -> DataFrame:
@@ -285,7 +297,7 @@ def print_links(first: DataFrame) -> DataFrame:
 def similar_links(points: DataFrame, given: DataFrame, sets: Callable[[DataFrame], DataFrame], similarity: Fraction) -> DataFrame:
     """a, b: links that give the components of all pairs of nodes whose sets are similar.
 
-    ``points`` has node, size and prefix, as of _prefixes(); ``given`` links known before; ``sets`` gives node and shingles of the nodes of a frame.
+    ``points`` has node, size, parity bits and prefix, as of _prefixes(); ``given`` links known before; ``sets`` gives node and shingles of the nodes of a frame.
     """
     num, den = similarity.as_integer_ratio()
     # A pair's first common shingle leaves at most so many after it: the overlap of similar sets must fit in.
@@ -298,6 +310,7 @@ def similar_links(points: DataFrame, given: DataFrame, sets: Callable[[DataFrame
         return written(rooted.join(written(several, "similar-several"), "token", "left_semi"), "similar-cells")
 
     one = points.select("node", "size", "prefix").dropDuplicates(["node"])  # equal sets have equal prefixes
+    parity = points.select("node", *PARITY).dropDuplicates(["node"])
     cells = open_cells(one.select("node", "size", F.posexplode("prefix").alias("pos", "token")), components(given))
     leads = cells.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lead"), *[F.min_by(x, "node").alias(f"lead_{x}") for x in ("size", "pos", "root")])
     leads = written(leads.where(F.col("n") > CELL_PAIRS), "similar-leads")
@@ -310,11 +323,13 @@ def similar_links(points: DataFrame, given: DataFrame, sets: Callable[[DataFrame
     shares = written(shares.groupBy("token").agg(F.sum("n").alias("n"), F.max_by("root", F.struct("n", "root")).alias("most")), "similar-shares")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     cells = cells.join(shares, "token").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
-    cells = written(cells, "similar-open")
-    side = lambda x: F.struct("node", "root", "size", "pos").alias(x)
+    cells = written(cells.join(parity, "node"), "similar-open")
+    side = lambda x: F.struct("node", "root", "size", "pos", *PARITY).alias(x)
+    apart = " + ".join(f"bit_count(x.{b} ^ y.{b})" for b in PARITY)
+    near_enough = F.expr(f"{num + den} * ({apart}) <= {den - num} * (x.size + y.size)")
     left = cells.where("root <> most").select("token", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), side("x"))
     right = cells.select("token", "block", side("y"), (F.col("root") == F.col("most")).alias("inner"))
-    pairs = left.join(right.hint("merge"), ["token", "block"]).where("x.root <> y.root AND (inner OR x.node < y.node)").where(fits("x.", "y."))
+    pairs = left.join(right.hint("merge"), ["token", "block"]).where("x.root <> y.root AND (inner OR x.node < y.node)").where(fits("x.", "y.") & near_enough)
     pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
     pairs = written(pairs.join(stars, ["a", "b"], "left_anti"), "similar-pairs")
     return near.unionByName(_verified(pairs, sets, similarity))
@@ -336,7 +351,7 @@ def _resolved(docs: DataFrame, shingle: int, id_col: str, text_col: str, similar
         sets = lambda nodes: _shingle_sets(narrow, shingle, rows(nodes))
         given = _verified(print_links(first), sets, wanted)
         roots = components(similar_links(points, given, sets, wanted))
-        points = points.drop("size", "prefix", "fp")
+        points = points.drop("size", "prefix", "fp", *PARITY)
     rooted = first.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     named = written(rooted, "simhash-rooted")
     smallest = written(named.groupBy("root").agg(F.min("first").alias("component")), "simhash-smallest")
@@ -371,7 +386,7 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float =
     plain = [F.col(f"`{c}`") for c in docs.columns]
     one = stay.where(F.col(n) == 1).select(*plain)
     # Ids that occur more than once: only these rows are grouped.
-    several = stay.where(F.col(n) > 1).groupBy(doc, root).agg(F.min_by(F.struct(*plain), row_hash(docs)).alias(row)).select(f"{row}.*")
+    several = stay.where(F.col(n) > 1).groupBy(doc, root).agg(F.min_by(F.struct(*plain), row_hash(docs)).alias(row)).select(*fields_of(row, docs.columns))
     return one.unionByName(several)
 
 
