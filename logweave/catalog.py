@@ -697,6 +697,25 @@ def compressed_lines(spark, sf_dir):
     return slot.lines().groupBy("line").agg(F.count(F.lit(1)).alias("n"))
 
 
+# --- streams -----------------------------------------------------------------------------------
+
+
+@query(f"SELECT event_type, count(*) AS n_writes, CAST(sum(last) AS BIGINT) AS last_events FROM (SELECT event_type, event_id // 4 AS block, max(event_id) AS last FROM events GROUP BY 1, 2) GROUP BY event_type")
+def streamed_first_wins(spark, sf_dir):
+    """A stream of events with one write for each type and block: the last one of each, kept by a stateful operator over micro-batches."""
+    events, arrived, out = table(spark, sf_dir, "events"), fresh_path(spark, "arrived"), fresh_path(spark, "stream")
+    events.repartition(6).write.parquet(arrived)
+    source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(arrived)
+    keyed = source.groupBy("event_type", F.expr("event_id div 4").alias("block")).agg(F.max("event_id").alias("last"))
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/part={number}")
+
+    keyed.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", fresh_path(spark, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    last = spark.read.parquet(out).groupBy("event_type", "block").agg(F.max("last").alias("last"))
+    return last.groupBy("event_type").agg(F.count(F.lit(1)).alias("n_writes"), F.sum("last").alias("last_events"))
+
+
 # --- values and requests ---------------------------------------------------------------------
 
 
