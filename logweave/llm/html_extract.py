@@ -56,7 +56,7 @@ _UNSEEN = re.compile(r"type\s*=\s*[\"']?(?:hidden|checkbox)", re.I)
 _PART = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=\d)")
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in RAW_TAGS}
 #: The classifier's log-odds of a block by its own text.
-WEIGHTS = {"bias": -1.0, "length": 0.8, "sentence": 0.6, "p": 0.8, "heading": 0.4, "links": -3.5, "control": -2.5}
+WEIGHTS = {"bias": -1.0, "length": 0.8, "sentence": 0.6, "p": 0.8, "heading": 0.4, "links": -3.5, "control": -2.5, "legal": -2.0}
 #: Costs of going against a mark, for the element itself, and the ties between nodes.
 FIRM, LOOSE, MAIN = 40.0, 5.0, 12.0
 HELD, ADJACENT, SIBLING, ACROSS = 3.0, 0.6, 0.5, 0.1
@@ -272,6 +272,8 @@ def log_odds(b: Block) -> float:
     score += w["links"] * min(1.0, b.linked / len(b.text))
     if b.frame.controls or b.outer.controls and b.outer.tag not in ("", "body", *MAIN_TAGS):
         score += w["control"] * min(1.0, 3 / max(1, b.outer.held))  # a form has few lines
+    if b.text[0] == "©" or b.text[:9].lower() == "copyright":
+        score += w["legal"]
     return score + (w["sentence"] if b.text[-1] in ".!?。…:\"”" else 0.0)
 
 
