@@ -59,20 +59,23 @@ def tiered(keys: DataFrame, tiers: list[DataFrame], key: str, value: str) -> Dat
     return out.select(key, F.coalesce(*[F.col(f"_v{i}") for i in range(1, len(tiers) + 1)]).alias(value), F.coalesce(*found).alias("tier"))
 
 
-def to_shards(values: DataFrame, key: str, value: str, most: int, write_id: str | Column) -> DataFrame:
-    """key, shard_no, n_shards, payload: base64 text in pieces that fit ``most`` bytes with their write id (one, or one for each row)."""
+def to_shards(values: DataFrame, key: str, value: str, most: int, write_id: str | Column, expires_at: Column | None = None) -> DataFrame:
+    """key, shard_no, n_shards, payload: base64 text in pieces that fit ``most`` bytes with their write id (one, or one for each row), and expires_at if given."""
     room = most - 17
     if room < 1:
         raise ValueError("a shard must hold more than its write id")
     text = F.base64(F.col(value))
     n = F.greatest(F.lit(1), F.ceil(F.length(text) / room)).cast("int")
     write = F.lit(write_id) if isinstance(write_id, str) else write_id
-    rows = values.select(key, write.alias("_w"), text.alias("_t"), n.alias("n_shards"), F.explode(F.sequence(F.lit(0), n - 1)).alias("shard_no"))
-    return rows.select(key, "shard_no", "n_shards", F.concat("_w", F.lit("|"), F.substring(F.col("_t"), F.col("shard_no") * room + 1, F.lit(room))).alias("payload"))
+    expiry = [] if expires_at is None else [expires_at.alias("expires_at")]
+    rows = values.select(key, *expiry, write.alias("_w"), text.alias("_t"), n.alias("n_shards"), F.explode(F.sequence(F.lit(0), n - 1)).alias("shard_no"))
+    return rows.select(key, *(["expires_at"] if expiry else []), "shard_no", "n_shards", F.concat("_w", F.lit("|"), F.substring(F.col("_t"), F.col("shard_no") * room + 1, F.lit(room))).alias("payload"))
 
 
-def from_shards(shards: DataFrame, key: str, value: str) -> DataFrame:
-    """The values whose shards are all there and of one write; others are null."""
+def from_shards(shards: DataFrame, key: str, value: str, now: int | None = None) -> DataFrame:
+    """The values whose shards are all there and of one write; others are null. What has expired by ``now`` isn't there."""
+    if now is not None:
+        shards = shards.where(F.col("expires_at").isNull() | (F.col("expires_at") > now))
     part = shards.withColumn("_p", S.write_id(F.col("payload")))
     agg = part.groupBy(key).agg(F.max("n_shards").alias("n"), F.countDistinct("shard_no").alias("have"), F.countDistinct("_p.id").alias("ids"), F.array_sort(F.collect_list(F.struct("shard_no", F.col("_p.body").alias("body")))).alias("s"))
     text = F.array_join(F.transform("s", lambda x: x["body"]), "")

@@ -96,3 +96,13 @@ def test_requests():
     assert Q.loads("{") is Q.ABSENT
     with pytest.raises(ValueError):
         Q.loads("{", strict=True)
+
+
+def test_strip_options():
+    from logweave.functions.requests import is_plain_object, strip_options
+
+    assert strip_options([1, {"__rateLimiter": True, "priority": 2}]) == ([1], {"__rateLimiter": True, "priority": 2})
+    assert strip_options([{"__rateLimiter": True}]) == ([], {"__rateLimiter": True})
+    for params in ([], [1], [{"__rateLimiter": False}], [{"__rateLimiter": True, "x": 1}], [{"__rateLimiter": True, "priority": "a"}], [{"priority": 1}]):
+        assert strip_options(params) == (params, None)
+    assert is_plain_object({}) and not is_plain_object([]) and not is_plain_object(None)

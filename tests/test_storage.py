@@ -70,6 +70,14 @@ def test_shards_round_trip(spark):
     assert {r.k: r.v for r in kv.from_shards(shards.where("NOT (k = 1 AND shard_no = 1)"), "k", "v").collect()}[1] is None
 
 
+def test_shards_of_several_writes_that_expire(spark):
+    df = spark.createDataFrame([(1, b"one" * 30, 100), (2, b"two" * 30, None), (3, b"three" * 30, 50)], "k long, v binary, until long")
+    shards = kv.to_shards(df, "k", "v", 40, F.lpad(F.col("k").cast("string"), 16, "0"), F.col("until"))
+    assert {r.k: bytes(r.v) for r in kv.from_shards(shards, "k", "v", now=60).collect()} == {1: b"one" * 30, 2: b"two" * 30}
+    mixed = shards.withColumn("k", F.when(F.col("k") == 3, 2).otherwise(F.col("k")))
+    assert {r.k: r.v is None for r in kv.from_shards(mixed, "k", "v").collect()} == {1: False, 2: True}
+
+
 def test_token_bucket(spark):
     rng = random.Random(9)
     at = sorted(rng.randint(0, 4000) for _ in range(60))
