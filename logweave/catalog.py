@@ -136,6 +136,22 @@ def deploy_block(spark, sf_dir):
     return R.boundary(probes, "user_id", 10, (1 << 62)).fillna(-1, ["deploy_block"])
 
 
+@query(
+    """WITH RECURSIVE h AS (SELECT max(event_id) AS hi FROM events), e AS (SELECT user_id, event_id, event_type <> 'signup' AS c FROM events),
+    t(user_id, lo, hi, x) AS (
+      SELECT user_id, CAST(10 AS BIGINT), any_value(h.hi), CAST(NULL AS BIGINT) FROM e, h GROUP BY user_id
+      UNION ALL
+      SELECT user_id, CASE WHEN c THEN lo ELSE mid + 1 END, CASE WHEN c THEN mid - 1 ELSE hi END, CASE WHEN c THEN mid ELSE x END FROM (
+        SELECT t.user_id, t.lo, t.hi, t.x, (t.lo + t.hi) // 2 AS mid, coalesce((SELECT arg_max(e.c, e.event_id) FROM e WHERE e.user_id = t.user_id AND e.event_id <= (t.lo + t.hi) // 2), false) AS c FROM t WHERE t.lo <= t.hi)
+    ), tip AS (SELECT user_id, arg_max(c, event_id) AS c FROM e GROUP BY user_id)
+    SELECT t.user_id, CASE WHEN tip.c THEN x END AS deploy_block FROM t JOIN tip ON t.user_id = tip.user_id WHERE t.lo > t.hi"""
+)
+def boundary_search(spark, sf_dir):
+    """The binary search where code comes and goes."""
+    probes = table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("block_number"), (F.col("event_type") != "signup").alias("has_code"))
+    return R.boundary_search(probes, "user_id", 10, probes.agg(F.max("block_number")).first()[0])
+
+
 # --- bins ------------------------------------------------------------------------
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from logweave.operators.replay import Boundary, replay
+
 LONG = "long"
 
 
@@ -130,3 +132,9 @@ def boundary(probes: DataFrame, key: str, low: int, high: int) -> DataFrame:
     inside = F.col("has_code") & F.col("block_number").between(low, high)
     return probes.groupBy(key).agg(F.min(F.when(inside, F.col("block_number"))).alias("_first"), F.max_by("has_code", F.when(F.col("block_number") <= high, F.col("block_number"))).alias("_at_high"))\
         .select(key, F.when(F.col("_at_high"), F.col("_first")).alias("deploy_block"))
+
+
+def boundary_search(probes: DataFrame, key: str, low: int, high: int) -> DataFrame:
+    """What a binary search for the first block with code in [low, high] finds for each key, whether or not code stays once it is there; null if there is none at ``high``."""
+    log = probes.where(F.col("block_number") <= high).select(key, "block_number", "has_code")
+    return replay(log, key, ["block_number"], lambda: Boundary("block_number", "has_code", low, high), "deploy_block long")

@@ -7,6 +7,7 @@ spills; no log is held as a whole.
 
 from __future__ import annotations
 
+import bisect
 import heapq
 from collections import OrderedDict
 from collections.abc import Callable, Iterator
@@ -115,6 +116,40 @@ class Fold(Machine):
         return [(self.state,)]
 
 
+class Boundary(Machine):
+    """A binary search for the first block with code in [low, high], over a log of (block, has code); a block is as its last entry says.
+
+    It holds the blocks at which the answer changes. Where code comes and goes it finds what the search would find.
+    """
+
+    def __init__(self, block: str, has_code: str, low: int, high: int):
+        self.block, self.has_code, self.low, self.high = block, has_code, low, high
+        self.changes: list[int] = []  # code is there after an odd number of them
+
+    def feed(self, row: Row) -> list[tuple]:
+        if bool(row[self.has_code]) != bool(len(self.changes) % 2):
+            if self.changes and self.changes[-1] == row[self.block]:
+                self.changes.pop()
+            else:
+                self.changes.append(row[self.block])
+        return []
+
+    def _at(self, block: int) -> bool:
+        return bool(bisect.bisect_right(self.changes, block) % 2)
+
+    def close(self) -> list[tuple]:
+        low, high, found = self.low, self.high, None
+        if not self._at(high):
+            return [(None,)]
+        while low <= high:
+            middle = (low + high) // 2
+            if self._at(middle):
+                found, high = middle, middle - 1
+            else:
+                low = middle + 1
+        return [(found,)]
+
+
 class Shared(Machine):
     """Calls with one id: those that begin while a leader is under way share its result."""
 
