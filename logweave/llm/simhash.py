@@ -171,6 +171,8 @@ def components(edges: DataFrame) -> DataFrame:
     joins its written result, so a node with very many neighbours is split over tasks.
     """
     edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    if not edges.head(1):
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     last = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -275,7 +277,9 @@ def _shingle_sets(narrow: DataFrame, shingle: int, rows: DataFrame) -> DataFrame
 
 
 def _verified(pairs: DataFrame, sets: Callable[[DataFrame], DataFrame], similarity: Fraction) -> DataFrame:
-    """The pairs of nodes (a, b) whose sets are similar."""
+    """Those of the pairs of nodes (a, b, a written table) whose sets are similar."""
+    if not pairs.head(1):
+        return pairs.select("a", "b")
     num, den = similarity.as_integer_ratio()
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     whole = written(sets(nodes), "similar-sets")
