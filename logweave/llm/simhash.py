@@ -28,7 +28,7 @@ sets of that similarity share one of the first fifth of their shingles (and one
 a cell. Places in the sets bound the overlap of a cell's pair; so do 256 parity bits of each set, of which two
 sets differ in no more than the shingles that only one of them has. Every pair left is verified by the
 similarity of the two sets. Only components are wanted, so pairs that a round before has put in one component
-are not compared again: members of crowded cells are held against their smallest member first, and then those
+are not compared again: members of crowded cells are held against one of them first, in rounds, and then those
 outside a cell's largest component against all others of the cell, block against block. No pair is left out.
 """
 
@@ -48,8 +48,8 @@ from logweave.llm.common import NULL_ID, bounded, fields_of, fresh, give_back, r
 #: The hash seed of the fingerprints, and the grid for a radius of four.
 SEED, RADIUS, GROUPS = 42, 4, 8
 CELL_ROWS = 64
-#: Similar texts: the wanted similarity, the largest cell without a first round, the members of a block, and the order's sample and length.
-SIMILARITY, CELL_PAIRS, BLOCK = 0.8, 8, 256
+#: Similar texts: the wanted similarity, the largest cell without rounds, the members of a block, the rounds, and the order's sample and length.
+SIMILARITY, CELL_PAIRS, BLOCK, ROUNDS = 0.8, 8, 256, 3
 SAMPLE_ROWS, SAMPLE_SHARE, COMMON = 50_000, 16, 1 << 19
 GRIDS = list(combinations(range(GROUPS), GROUPS - RADIUS))
 
@@ -316,12 +316,26 @@ def similar_links(points: DataFrame, given: DataFrame, sets: Callable[[DataFrame
     one = points.select("node", "size", "prefix").dropDuplicates(["node"])  # equal sets have equal prefixes
     parity = points.select("node", *PARITY).dropDuplicates(["node"])
     cells = open_cells(one.select("node", "size", F.posexplode("prefix").alias("pos", "token")), components(given))
-    leads = cells.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lead"), *[F.min_by(x, "node").alias(f"lead_{x}") for x in ("size", "pos", "root")])
-    leads = written(leads.where(F.col("n") > CELL_PAIRS), "similar-leads")
-    stars = cells.join(leads, "token").where((F.col("root") != F.col("lead_root")) & fits("", "lead_"))
-    stars = written(stars.select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct(), "similar-stars")
-    near = written(given.unionByName(_verified(stars, sets, similarity)), "similar-near")
-    cells = open_cells(cells.drop("root"), components(near))
+    near, held = given, None
+    for i in range(ROUNDS):
+        crowded = cells.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+        crowded = written(crowded.where(F.col("n") > CELL_PAIRS), "similar-crowded")
+        if not crowded.head(1):
+            break
+        # First the member with the most company: the text that the others come from. Then others, in an order of their own each time.
+        rank = F.xxhash64("node", F.lit(i))
+        members = cells.join(crowded, "token")
+        if i == 0:
+            company = written(members.groupBy("node").agg(F.sum("n").alias("company")), "similar-company")
+            members, rank = members.join(company, "node"), F.struct("company", rank)
+        members = written(members.withColumn("rank", rank), "similar-members")
+        leads = members.groupBy("token").agg(F.max_by(F.struct("node", "size", "pos", "root"), "rank").alias("lead"))
+        stars = members.join(written(leads, "similar-leads"), "token").where((F.col("root") != F.col("lead.root")) & fits("", "lead."))
+        stars = stars.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct()
+        stars = written(stars if held is None else stars.join(held, ["a", "b"], "left_anti"), "similar-stars")
+        held = stars if held is None else held.unionByName(stars)
+        near = written(near.unionByName(_verified(stars, sets, similarity)), "similar-near")
+        cells = open_cells(cells.drop("root"), components(near))
     # Of each cell the largest component's members meet only those outside it.
     shares = cells.groupBy("token", "root").agg(F.count(F.lit(1)).alias("n"))
     shares = written(shares.groupBy("token").agg(F.sum("n").alias("n"), F.max_by("root", F.struct("n", "root")).alias("most")), "similar-shares")
@@ -335,7 +349,7 @@ def similar_links(points: DataFrame, given: DataFrame, sets: Callable[[DataFrame
     right = cells.select("token", "block", side("y"), (F.col("root") == F.col("most")).alias("inner"))
     pairs = left.join(right.hint("merge"), ["token", "block"]).where("x.root <> y.root AND (inner OR x.node < y.node)").where(fits("x.", "y.") & near_enough)
     pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    pairs = written(pairs.join(stars, ["a", "b"], "left_anti"), "similar-pairs")
+    pairs = written(pairs if held is None else pairs.join(held, ["a", "b"], "left_anti"), "similar-pairs")
     return near.unionByName(_verified(pairs, sets, similarity))
 
 
