@@ -48,10 +48,11 @@ PAD = "\n"
 
 def symbols(text: str) -> np.ndarray:
     """The text's symbols."""
-    codes = np.frombuffer(text.encode("utf-32-le", "replace"), "<u4").astype(np.int64)
-    wide = codes >= PLAIN
-    if not wide.any():
+    codes = np.frombuffer(text.encode("utf-32-le", "replace"), "<u4")
+    if not len(codes) or codes.max() < PLAIN:
         return codes
+    codes = codes.astype(np.int64)
+    wide = codes >= PLAIN
     at = np.cumsum(wide) + np.arange(len(codes))  # the place of each character's last symbol
     out = np.empty(len(codes) + int(wide.sum()), np.int64)
     lead, trail = np.divmod(codes - PLAIN, PAIR)
@@ -61,12 +62,24 @@ def symbols(text: str) -> np.ndarray:
 
 
 def grams(text: str, order: int) -> np.ndarray:
-    """The n-gram that ends at each symbol, after line ends as padding."""
-    codes = np.concatenate([np.full(order - 1, ord(PAD), np.int64), symbols(text)])
-    out = np.zeros(len(codes) - order + 1, np.int64)
-    for i in range(order):
-        out = (out << SYMBOL_BITS) | codes[i : len(codes) - order + 1 + i]
-    return out
+    """The n-gram that ends at each symbol, after line ends as padding; runs of twice the length are made of two."""
+    codes = symbols(text)
+    have = np.empty(len(codes) + order - 1, np.int64)
+    have[: order - 1], have[order - 1 :] = ord(PAD), codes
+    total, out, done, k = len(have), None, 0, 1
+    while True:
+        if order & k:
+            if out is None:
+                out, done = have, k
+            else:
+                done += k
+                n = total - done + 1
+                out = (out[:n] << k * SYMBOL_BITS) | have[done - k : done - k + n]
+        if 2 * k > order:
+            return out
+        n = total - 2 * k + 1
+        have = (have[:n] << k * SYMBOL_BITS) | have[k : k + n]
+        k *= 2
 
 
 def _gram_counts(order: int):
@@ -178,7 +191,7 @@ def _by_table(scores: DataFrame, order: int) -> Callable[[DataFrame], DataFrame]
             n, total = [], []
             for lang, text in zip(langs, texts, strict=True):
                 t = tables.get(lang)
-                gram = grams(text, order) if t is not None and text else None
+                gram = np.sort(grams(text, order)) if t is not None and text else None  # sorted ones are found faster
                 n.append(0 if gram is None else len(gram))
                 total.append(0.0 if gram is None else float(t[1][np.searchsorted(t[0], gram)].sum(dtype=np.float64)))
             yield pd.DataFrame({"n": n, "total": total})
@@ -243,8 +256,9 @@ def perplexities(docs: DataFrame, trusted_ids: DataFrame, order: int = ORDER, sp
     else:
         add_score = _by_join(written(scores.join(wanted, ["lang", "gram"]), "kn-counted-scores"), order)
     perplexity = F.when(F.col("score.n") > 0, F.exp(-F.col("score.total") / F.col("score.n")))
-    unseen = add_score(narrow.join(held, narrow.id == held.trusted_id, "left_semi")).select("lang", perplexity.alias("p"))
-    unseen = written(unseen.where("p IS NOT NULL").select("lang", F.log("p").alias("log_p")), "kn-held")
+    # The filter comes after the scores are written: before, it would have them computed twice.
+    unseen = written(add_score(narrow.join(held, narrow.id == held.trusted_id, "left_semi")).select("lang", F.log(perplexity).alias("log_p")), "kn-held")
+    unseen = unseen.where("log_p IS NOT NULL")
     middle = unseen.groupBy("lang").agg(F.percentile_approx("log_p", 0.5, 20_000).alias("middle"))
     apart = unseen.join(middle, "lang").groupBy("lang", "middle").agg((F.percentile_approx(F.abs(F.col("log_p") - F.col("middle")), 0.5, 20_000) * 1.4826).alias("spread"))
     limits = apart.select("lang", F.exp(F.col("middle") + F.greatest(F.col("spread") * spreads, F.lit(log(slack)))).alias("limit"))
