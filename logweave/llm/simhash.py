@@ -43,13 +43,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from logweave.llm.common import NULL_ID, bounded, fields_of, fresh, give_back, row_hash, table, written
+from logweave.llm.common import NULL_ID, bounded, discard, fields_of, fresh, give_back, row_hash, table, written
 
 #: The hash seed of the fingerprints, and the grid for a radius of four.
 SEED, RADIUS, GROUPS = 42, 4, 8
 CELL_ROWS = 64
 #: Similar texts: the wanted similarity, the largest cell without rounds, the members of a block, the rounds, and the order's sample and length.
-SIMILARITY, CELL_PAIRS, BLOCK, ROUNDS = 0.8, 8, 256, 3
+SIMILARITY, CELL_PAIRS, BLOCK, ROUNDS = 0.8, 8, 256, 1
 SAMPLE_ROWS, SAMPLE_SHARE, COMMON = 50_000, 16, 1 << 19
 GRIDS = list(combinations(range(GROUPS), GROUPS - RADIUS))
 
@@ -286,7 +286,9 @@ def _verified(pairs: DataFrame, sets: Callable[[DataFrame], DataFrame], similari
     of = lambda side: whole.select(F.col("node").alias(side), F.col("shingles").alias(f"{side}_set"))
     both = F.size(F.array_intersect("a_set", "b_set"))
     held = pairs.join(of("a"), "a").join(of("b"), "b").where(both * (num + den) >= (F.size("a_set") + F.size("b_set")) * num)
-    return written(held.select("a", "b"), "similar-links")
+    held = written(held.select("a", "b"), "similar-links")
+    discard(whole)
+    return held
 
 
 def print_links(first: DataFrame) -> DataFrame:
@@ -311,7 +313,10 @@ def similar_links(points: DataFrame, given: DataFrame, sets: Callable[[DataFrame
         """The members of cells with more than one component, with root. Cells are summed up before they are joined: a crowded one is split over tasks."""
         rooted = written(cells.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "similar-rooted")
         several = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("token")
-        return written(rooted.join(written(several, "similar-several"), "token", "left_semi"), "similar-cells")
+        several = written(several, "similar-several")
+        out = written(rooted.join(several, "token", "left_semi"), "similar-cells")
+        discard(rooted, several)
+        return out
 
     one = points.select("node", "size", "prefix").dropDuplicates(["node"])  # equal sets have equal prefixes
     parity = points.select("node", *PARITY).dropDuplicates(["node"])
@@ -329,13 +334,15 @@ def similar_links(points: DataFrame, given: DataFrame, sets: Callable[[DataFrame
             company = written(members.groupBy("node").agg(F.sum("n").alias("company")), "similar-company")
             members, rank = members.join(company, "node"), F.struct("company", rank)
         members = written(members.withColumn("rank", rank), "similar-members")
-        leads = members.groupBy("token").agg(F.max_by(F.struct("node", "size", "pos", "root"), "rank").alias("lead"))
-        stars = members.join(written(leads, "similar-leads"), "token").where((F.col("root") != F.col("lead.root")) & fits("", "lead."))
+        leads = written(members.groupBy("token").agg(F.max_by(F.struct("node", "size", "pos", "root"), "rank").alias("lead")), "similar-leads")
+        stars = members.join(leads, "token").where((F.col("root") != F.col("lead.root")) & fits("", "lead."))
         stars = stars.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct()
         stars = written(stars if held is None else stars.join(held, ["a", "b"], "left_anti"), "similar-stars")
+        discard(members, leads)
         held = stars if held is None else held.unionByName(stars)
         near = written(near.unionByName(_verified(stars, sets, similarity)), "similar-near")
-        cells = open_cells(cells.drop("root"), components(near))
+        before, cells = cells, open_cells(cells.drop("root"), components(near))
+        discard(before)
     # Of each cell the largest component's members meet only those outside it.
     shares = cells.groupBy("token", "root").agg(F.count(F.lit(1)).alias("n"))
     shares = written(shares.groupBy("token").agg(F.sum("n").alias("n"), F.max_by("root", F.struct("n", "root")).alias("most")), "similar-shares")
