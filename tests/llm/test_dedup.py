@@ -257,6 +257,30 @@ def test_links_reach_all_near_points(spark, monkeypatch, cell_rows):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, expected.values()))
 
 
+def broadcast_midpoints(df):
+    """Whether the plan broadcasts rows that it makes from others."""
+    lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    for i, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            for below in lines[i + 1 :]:
+                if depth(below) <= depth(line):
+                    break
+                if "Generate" in below:
+                    return True
+    return False
+
+
+def test_midpoints_of_a_crowd_are_not_broadcast(spark, monkeypatch):
+    # 2,081 rows each, from a file of few bytes: a broadcast of them takes the driver's memory.
+    monkeypatch.setattr(simhash, "CELL_ROWS", 2)
+    df = spark.createDataFrame([(simhash._signed(1 << i),) for i in range(64)], "fp long")
+    crowd = simhash.links(df)
+    assert "Generate" in crowd._jdf.queryExecution().executedPlan().toString()
+    assert not broadcast_midpoints(crowd)
+    assert len({r.root for r in simhash.components(crowd).collect()}) == 1
+
+
 def test_embedding_is_a_lower_bound(spark):
     rng = random.Random(8)
     pairs = [(rng.getrandbits(64), rng.getrandbits(64)) for _ in range(50)]
