@@ -281,6 +281,16 @@ def test_midpoints_of_a_crowd_are_not_broadcast(spark, monkeypatch):
     assert len({r.root for r in simhash.components(crowd).collect()}) == 1
 
 
+def test_near_stage_broadcasts_no_midpoints(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CELL_ROWS", 2)
+    plans, write = [], simhash.written
+    monkeypatch.setattr(simhash, "written", lambda df, label: plans.append((label, broadcast_midpoints(df))) or write(df, label))
+    first = spark.createDataFrame([(i, simhash._signed(1 << i)) for i in range(64)], "node long, fp long")
+    pairs = simhash.print_links(first)
+    assert "simhash-pairs" in dict(plans) and not any(bad for _, bad in plans)
+    assert {r.root for r in simhash.components(pairs).collect()} == {0}
+
+
 def test_embedding_is_a_lower_bound(spark):
     rng = random.Random(8)
     pairs = [(rng.getrandbits(64), rng.getrandbits(64)) for _ in range(50)]
