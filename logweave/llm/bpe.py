@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from logweave.llm.common import fresh, give_back, table
 from logweave.llm.token_counts import pieces, tokenizer_path, word_splitter
 
-KNOWN_ENTRIES, KNOWN_PIECE = 700_000, 64
+KNOWN_ENTRIES, KNOWN_PIECE, KNOWN_LETTERED = 700_000, 64, 200_000
 #: Rows whose ids are held together in a worker.
 ROWS = 500
 
@@ -69,6 +69,7 @@ class PrefixEncoder:
         self.automaton.make_automaton()
         self.fits: dict[int, bool] = {}
         self.words: dict[str, bytes] = {}
+        self.lettered: dict[str, bytes] = {}  # by the letters of the library's cut
         self.known: dict[str, bytes] = {}
 
     def merged(self, text: str) -> list[str]:
@@ -120,7 +121,17 @@ class PrefixEncoder:
     def encode_words(self, piece: str) -> bytes:
         split = self.split(piece)
         if split is None:  # as the library cuts it
-            return b"".join(pack(self.encode_word(w.translate(self.code))) for w, _ in self.library_split(piece))
+            out, lettered = [], self.lettered
+            for word, _ in self.library_split(piece):
+                ids = lettered.get(word)
+                if ids is None:
+                    ids = pack(self.encode_word(word.translate(self.code)))
+                    if len(word) <= KNOWN_PIECE:
+                        if len(lettered) >= KNOWN_LETTERED:
+                            lettered.clear()
+                        lettered[word] = ids
+                out.append(ids)
+            return b"".join(out)
         if len(split) == 1:  # known as a piece
             return pack(self.encode_word(piece.encode().decode("latin-1")))
         out, words = [], self.words

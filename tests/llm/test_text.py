@@ -666,3 +666,12 @@ def test_padded_licences(spark):
     """Indents and comment signs don't count as length."""
     text = "".join(" " * 400 + "#" * 40 + line + " " * 100 + "\n" for line in MIT.splitlines())
     assert [(r.licenses, r.n_sentences) for r in licenses.license_scan(frame(spark, [text])).collect()] == [("MIT", 3)]
+
+
+def test_words_of_other_scripts_are_encoded_once(monkeypatch):
+    encoder = bpe.PrefixEncoder("byte_bpe_50k.json")
+    piece = "слово-слово" * 20  # too long to be known as a piece
+    first = encoder.encode(piece)
+    assert encoder.decode(first) == piece
+    monkeypatch.setattr(encoder, "encode_word", lambda word: pytest.fail("encoded again"))
+    assert encoder.encode(piece) == first
