@@ -11,7 +11,7 @@ from logweave.model import EVENT_LOGS_SQL, LogFilter, event_logs
 from logweave.operators import bins as B
 from logweave.operators import kv, sched
 from logweave.operators import ranges as R
-from logweave.operators.stores import CodedStore, LogStore, TieredStore, optimised
+from logweave.operators.stores import OPTIMISED, CodedStore, LogStore, TieredStore, optimised
 from logweave.plans.query import CachedQuery, DividedQuery, size_sieve
 from logweave.shared import fresh_path
 from logweave.sources import files
@@ -692,11 +692,14 @@ def checked_values(spark, sf_dir):
 
 @query("SELECT CAST(c_custkey AS VARCHAR) AS key, CASE WHEN c_custkey % 4 <> 0 THEN c_name END AS value FROM customer WHERE c_custkey % 6 = 0")
 def cached_stack(spark, sf_dir):
-    """Sets and deletes through the cached, debounced stack, read again through a new cache."""
+    """Sets and deletes through the cached, debounced stack, read again through a new cache.
+
+    The keys come at the rate at which the stack writes: of more at once it drops, by its staleness, what it can't write in time.
+    """
     remote, c = LogStore(spark, fresh_path(spark, "store")), table(spark, sf_dir, "customer")
     stack = optimised(remote, LogStore(spark, fresh_path(spark, "cache")))
-    ops = _entries(c, "c_custkey", "c_name").withColumn("at", F.lit(0).cast("long"))
-    gone = ops.where(F.col("key").cast("long") % 4 == 0).select("key", F.lit(None).cast("binary").alias("value"), F.lit("delete").alias("op"), F.lit(1).cast("long").alias("seq"), F.lit(10).cast("long").alias("at"))
+    ops = _entries(c, "c_custkey", "c_name").withColumn("at", F.floor(F.col("key").cast("long") * 1000 / OPTIMISED[1].per_second))
+    gone = ops.where(F.col("key").cast("long") % 4 == 0).select("key", F.lit(None).cast("binary").alias("value"), F.lit("delete").alias("op"), F.lit(1).cast("long").alias("seq"), (F.col("at") + 10).alias("at"))
     stack.apply(ops.unionByName(gone).withColumn("seq", F.col("key").cast("long") * 2 + F.col("seq")))
     again = optimised(remote, LogStore(spark, fresh_path(spark, "cache")))
     return again.get(c.where("c_custkey % 6 = 0").select(F.col("c_custkey").cast("string").alias("key"))).select("key", F.decode("value", "utf-8").alias("value"))

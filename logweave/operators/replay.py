@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import bisect
 import heapq
-from collections import OrderedDict
+from collections import OrderedDict, deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -225,86 +225,140 @@ class Debounce(Machine):
         return self._settle(float("inf"))
 
 
+#: The number of no flush: after all others.
+NO_FLUSH = float("inf")
+
+
+class Buffered:
+    """A key's buffered write. ``order`` is its place among the keys of the buffer; ``mark`` numbers the times it waits, 0 while it is under way."""
+
+    __slots__ = ("seq", "first", "last", "version", "duration", "order", "mark")
+
+    def __init__(self, first: int, order: int):
+        self.first, self.order, self.version, self.mark = first, order, 0, 0
+
+
 class DebouncedWriter(Machine):
     """A store's write buffer over all its keys: deadlines, one write under way for each key, a token bucket, a timeout, staleness, flushes.
 
     Rows have at, seq, key, op (set, delete, flush) and duration of the write upstream. Rows given: seq, outcome
     (written, timeout, stale, flushed), started and ended. Within one millisecond ends come first, then operations,
     then new writes. Tokens are counted in thousandths.
+
+    Keys that wait lie in heaps by deadline and by age, and those that may be written in one by flush and deadline,
+    so a step costs the logarithm of the buffer. A write to a key raises its values; its entries follow once they are
+    least. What is no longer in the buffer, or waits anew, is passed over.
     """
 
     def __init__(self, options):
         self.o = options
-        self.buffer: dict[str, dict] = {}
-        self.under_way: dict[str, tuple[int, dict]] = {}
-        self.flushes: list[tuple[int, dict[str, int], int]] = []  # seq, versions by key, asked at
+        self.buffer: dict[str, Buffered] = {}
+        self.under_way: dict[str, tuple] = {}  # started, seq, version, duration
+        self.flushes: dict[int, tuple[int, dict[str, int], int]] = {}  # by number: seq, versions by key, asked at
+        self.blocks: dict[str, deque[int]] = {}  # the flushes that wait for a key, oldest first
+        self.due: list[tuple] = []  # deadline, order, mark, key
+        self.age: list[tuple] = []  # last, order, mark, key
+        self.ready: list[tuple] = []  # (flush, deadline), order, mark, key
+        self.ends: list[tuple] = []  # end, key
+        self.marks = self.orders = self.asked = 0
         self.now, self.tokens, self.stamp = 0, options.burst * 1000, 0
 
     def _resolve(self, key: str, version: int) -> list[tuple]:
-        out = []
-        for flush in list(self.flushes):
-            seq, keys, asked = flush
-            if version >= keys.get(key, float("inf")):
-                del keys[key]
-                if not keys:
-                    self.flushes.remove(flush)
-                    out.append((seq, "flushed", asked, self.now))
+        out, waiting = [], self.blocks.get(key)
+        while waiting and self.flushes[waiting[0]][1][key] <= version:  # later flushes wait for later versions
+            number = waiting.popleft()
+            seq, keys, asked = self.flushes[number]
+            del keys[key]
+            if not keys:
+                del self.flushes[number]
+                out.append((seq, "flushed", asked, self.now))
+        if waiting is not None and not waiting:
+            del self.blocks[key]
         return out
 
+    def _wait(self, key: str, entry: Buffered) -> None:
+        self.marks += 1
+        entry.mark, due = self.marks, self._deadline(entry)
+        heapq.heappush(self.due, (due, entry.order, entry.mark, key))
+        heapq.heappush(self.age, (entry.last, entry.order, entry.mark, key))
+        if key in self.blocks:
+            heapq.heappush(self.ready, ((self.blocks[key][0], due), entry.order, entry.mark, key))
+
+    def _top(self, heap: list[tuple]) -> tuple | None:
+        """The least entry of a heap with its present value."""
+        while heap:
+            at, order, mark, key = heap[0]
+            entry = self.buffer.get(key)
+            if entry is None or entry.mark != mark:
+                heapq.heappop(heap)
+                continue
+            value = entry.last if heap is self.age else self._deadline(entry)
+            if heap is self.ready:
+                value = (at[0], value)
+            if value == at:
+                return heap[0]
+            if heap is self.ready and at[0] == NO_FLUSH and value[1] > self.now:
+                heapq.heappop(heap)
+                heapq.heappush(self.due, (value[1], order, mark, key))
+            else:
+                heapq.heapreplace(heap, (value, order, mark, key))
+        return None
+
     def _end(self) -> list[tuple]:
         out = []
-        for key, (end, snap) in sorted(self.under_way.items()):
-            if end <= self.now:
-                del self.under_way[key]
-                late = snap["duration"] >= self.o.timeout
-                entry = self.buffer.get(key)
-                if entry and entry["version"] == snap["version"]:
-                    del self.buffer[key]
-                elif entry and not late:
-                    entry["first"] = entry["last"]
-                out.append((snap["seq"], "timeout" if late else "written", snap["started"], self.now))
-                out += self._resolve(key, snap["version"])
+        while self.ends and self.ends[0][0] <= self.now:
+            _, key = heapq.heappop(self.ends)
+            started, seq, version, duration = self.under_way.pop(key)
+            late = duration >= self.o.timeout
+            entry = self.buffer.get(key)
+            if entry and entry.version == version:
+                del self.buffer[key]
+                entry = None
+            elif entry and not late:
+                entry.first = entry.last
+            out.append((seq, "timeout" if late else "written", started, self.now))
+            out += self._resolve(key, version)
+            if entry:
+                self._wait(key, entry)
         return out
 
-    def _deadline(self, entry: dict) -> int:
-        return min(entry["last"] + self.o.debounce, entry["first"] + self.o.max_delay)
+    def _deadline(self, entry: Buffered) -> int:
+        return min(entry.last + self.o.debounce, entry.first + self.o.max_delay)
 
     def _pump(self) -> list[tuple]:
         out = []
+        while (old := self._top(self.age)) and self.now - old[0] > self.o.max_staleness:
+            entry = self.buffer.pop(old[-1])
+            out.append((entry.seq, "stale", entry.first, self.now))
+            out += self._resolve(old[-1], entry.version)
         while True:
-            best = None
-            for key, entry in list(self.buffer.items()):
-                if key in self.under_way:
-                    continue
-                if self.now - entry["last"] > self.o.max_staleness:
-                    del self.buffer[key]
-                    out.append((entry["seq"], "stale", entry["first"], self.now))
-                    out += self._resolve(key, entry["version"])
-                    continue
-                rank = max((len(self.flushes) - i for i, f in enumerate(self.flushes) if key in f[1]), default=0)
-                due = self._deadline(entry)
-                if (rank or due <= self.now) and (best is None or (-rank, due) < best[:2]):
-                    best = (-rank, due, key)
+            while (least := self._top(self.due)) and least[0] <= self.now:
+                due, order, mark, key = heapq.heappop(self.due)
+                if key not in self.blocks:  # else it is there with its flush
+                    heapq.heappush(self.ready, ((NO_FLUSH, due), order, mark, key))
+            best = self._top(self.ready)
             if best is None:
                 return out
             self.tokens, self.stamp = min(self.o.burst * 1000, self.tokens + (self.now - self.stamp) * self.o.per_second), self.now
             if self.tokens < 1000:
                 return out
             self.tokens -= 1000
-            entry = self.buffer[best[2]]
-            self.under_way[best[2]] = (self.now + min(entry["duration"], self.o.timeout), {**entry, "started": self.now})
-            if entry["duration"] <= 0:
+            key, entry = best[-1], self.buffer[best[-1]]
+            entry.mark = 0
+            self.under_way[key] = (self.now, entry.seq, entry.version, entry.duration)
+            heapq.heappush(self.ends, (self.now + min(entry.duration, self.o.timeout), key))
+            if entry.duration <= 0:
                 out += self._end()
 
     def _next(self) -> float:
         """The next time at which something may happen by itself."""
-        times = [end for end, _ in self.under_way.values()]
-        idle = [e for k, e in self.buffer.items() if k not in self.under_way]
-        if idle:
-            times += [t for e in idle for t in (self._deadline(e), e["last"] + self.o.max_staleness + 1) if t > self.now]
-            wanted = [e for k, e in self.buffer.items() if k not in self.under_way and (self._deadline(e) <= self.now or any(k in f[1] for f in self.flushes))]
-            if wanted and self.o.per_second > 0:
-                times.append(self.now + max(1, -int(-(1000 - self.tokens) // self.o.per_second)))
+        times = [self.ends[0][0]] if self.ends else []
+        if least := self._top(self.due):
+            times.append(least[0])
+        if old := self._top(self.age):
+            times.append(old[0] + self.o.max_staleness + 1)
+        if self._top(self.ready) and self.o.per_second > 0:
+            times.append(self.now + max(1, -int(-(1000 - self.tokens) // self.o.per_second)))
         return min(times, default=float("inf"))
 
     def _until(self, time: float) -> list[tuple]:
@@ -322,15 +376,27 @@ class DebouncedWriter(Machine):
             self.now = row["at"]
             out += self._end()
         if row["op"] == "flush":
-            keys = {k: e["version"] for k, e in self.buffer.items()}
-            if keys:
-                self.flushes.append((row["seq"], keys, self.now))
+            if self.buffer:
+                self.asked += 1
+                self.flushes[self.asked] = (row["seq"], {k: e.version for k, e in self.buffer.items()}, self.now)
+                for key, entry in self.buffer.items():
+                    if key in self.blocks:
+                        self.blocks[key].append(self.asked)
+                        continue
+                    self.blocks[key] = deque([self.asked])
+                    if key not in self.under_way:
+                        heapq.heappush(self.ready, ((self.asked, self._deadline(entry)), entry.order, entry.mark, key))
             else:
                 out.append((row["seq"], "flushed", self.now, self.now))
             return out
-        entry = self.buffer.get(row["key"])
-        first, version = (entry["first"], entry["version"]) if entry else (self.now, 0)
-        self.buffer[row["key"]] = {"seq": row["seq"], "first": first, "last": self.now, "version": version + 1, "duration": row["duration"]}
+        key = row["key"]
+        entry = self.buffer.get(key)
+        if entry is None:
+            self.orders += 1
+            entry = self.buffer[key] = Buffered(self.now, self.orders)
+        entry.seq, entry.last, entry.version, entry.duration = row["seq"], self.now, entry.version + 1, row["duration"]
+        if entry.version == 1:
+            self._wait(key, entry)
         return out
 
     def close(self) -> list[tuple]:
