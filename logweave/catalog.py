@@ -223,9 +223,11 @@ def cache_gaps(spark, sf_dir):
 def earlier_bins(spark, sf_dir) -> BinStore:
     """A store with the bins of manifest()."""
     source, store = EventSource(spark, sf_dir), BinStore(spark, fresh_path(spark, "bins"))
-    rows = [(r.bin_start, r.fetched_to, r.fetched_at, r.fetched_at_block) for r in manifest(spark, sf_dir).collect()]  # a bin for each thousands of logs
-    logs = source.logs(LogFilter(topics=CACHED.filter.topics), [(a, b) for a, b, _, _ in rows])
-    store.write(B.bin_logs(logs, BIN), rows)
+    bins = manifest(spark, sf_dir)
+    low, high = bins.agg(F.min("bin_start"), F.max("fetched_to")).first()
+    logs = B.bin_logs(source.logs(LogFilter(topics=CACHED.filter.topics), [] if low is None else [(low, high)]), BIN)
+    held = logs.join(bins.select("bin_start", "fetched_to"), "bin_start").where(F.col("block_number") <= F.col("fetched_to"))
+    store.write(held.drop("fetched_to"), bins)
     return store
 
 

@@ -2,7 +2,7 @@
 
 Ranges, chunks and bins are control data: a few numbers for each ten thousand blocks, handled on the driver.
 Logs stay in DataFrames. All ranges that a source accepts become one scan with their bounds as pushed-down
-comparisons; stored bins are partitions, so only those that answer are read.
+comparisons; stored bins lie sorted in files, and those that answer are pushed down too.
 """
 
 from __future__ import annotations

@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from logweave.functions import scalars as S
 from logweave.model import LogFilter, event_logs
+from logweave.operators import ranges as R
 
 Range = tuple[int, int]
-#: Ranges that a predicate holds; beyond them a join takes their place.
+#: Ranges (or bins) that a predicate holds; beyond them a join takes their place.
 MOST_RANGES = 500
 
 
@@ -61,21 +62,25 @@ class TableSource:
         return self.table.agg(F.coalesce(F.max("block_number"), F.lit(0))).first()[0]
 
     def logs(self, wanted: LogFilter, ranges: list[Range]) -> DataFrame:
-        return self.table.where(within(self.table, "block_number", ranges) & wanted.predicate())
+        return within(self.table, "block_number", ranges).where(wanted.predicate())
 
     def block(self, wanted: LogFilter) -> DataFrame:
         return self.table.where((F.col("block_hash") == wanted.block_hash) & wanted.predicate())
 
 
-def within(table: DataFrame, column: str, ranges: list[Range]) -> Column:
-    """any_range() while the ranges are few, else one comparison with their hull and a search in their sorted bounds."""
+def within(table: DataFrame, column: str, ranges: list[Range]) -> DataFrame:
+    """The rows of any_range() while the ranges are few, else those in their hull that a binary search in their broadcast bounds finds."""
     if len(ranges) <= MOST_RANGES:
-        return any_range(F.col(column), ranges)
-    ranges = sorted(ranges)
-    lows, highs = (F.array(*[F.lit(int(r[i])) for r in ranges]) for i in (0, 1))
-    # The number of starts up to the block, less that of ends before it, is one inside a range.
-    inside = F.size(F.filter(lows, lambda x: x <= F.col(column))) - F.size(F.filter(highs, lambda x: x < F.col(column)))
-    return F.col(column).between(ranges[0][0], ranges[-1][1]) & (inside > 0)
+        return table.where(any_range(F.col(column), ranges))
+    ranges = R.merged([(int(a), int(b)) for a, b in ranges if a <= b])
+    if not ranges:
+        return table.where(F.lit(False))
+    bounds = table.sparkSession.createDataFrame([([a for a, _ in ranges], [b for _, b in ranges])], "_lows array<long>, _highs array<long>")
+    # How many ranges start up to the number: the sum of those powers of two at which one still does. get() is null outside the bounds.
+    powers = F.array(*[F.lit(1 << i) for i in reversed(range(len(ranges).bit_length()))])
+    longer = lambda n, step: F.when(F.get("_lows", n + step - 1) <= F.col(column), n + step).otherwise(n)
+    inside = F.aggregate(powers, F.lit(0), longer, lambda n: F.get("_highs", n - 1) >= F.col(column))
+    return table.where(F.col(column).between(ranges[0][0], ranges[-1][1])).join(F.broadcast(bounds), inside, "left_semi")
 
 
 @dataclass(frozen=True)
@@ -102,7 +107,7 @@ class EventSource:
 
     def logs(self, wanted: LogFilter, ranges: list[Range]) -> DataFrame:
         events = self._events()
-        return self._view(wanted, events.where(within(events, "event_id", [(4 * a, 4 * b + 3) for a, b in ranges])))
+        return self._view(wanted, within(events, "event_id", [(4 * a, 4 * b + 3) for a, b in ranges]))
 
     def block(self, wanted: LogFilter) -> DataFrame:
         digits = wanted.block_hash[2:]
